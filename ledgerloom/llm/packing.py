@@ -36,6 +36,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, en
                     for start in range(0, len(own), window):
                         part = own[start : start + window].tobytes()
                         rows.append((first + k, start, len(part) // 4, zlib.crc32(part), len(own), part if with_ids else None))
+                if not rows:
+                    continue
                 who, start, length, crc, total, body = zip(*rows)
                 columns = [names.take(pa.array(who)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
                 labels = ["id", "start", "length", "ids_crc32", "doc_tokens"]

@@ -106,10 +106,10 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, length_col: str = "length",
     def fill(batches):
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        own = [b for b in batches if b.num_rows]
+        if not own:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(own).combine_chunks()
         order = pc.sort_indices(table, sort_keys=[(length_col, "descending"), *((k, "ascending") for k in key_cols)])
         table = table.take(order)
         window, offset = best_fit(table.column(length_col).to_numpy(), capacity)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bitplanes, packing, sharding
+from ledgerloom.llm import bitplanes, decontaminate, packing, quality_model, sharding
 from ledgerloom.llm.shared import read_table, shared_root
 
 
@@ -38,10 +38,22 @@ def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.document_checksums(spark, path)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), cut=0.3)
+    return scored.select("row.doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op6_packing": op6_packing,
     "op7_bit_planes": op7_bit_planes,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality_model": op10_quality_model,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -4,8 +4,8 @@ A file set is a folder of two Parquet tables, so it lies on any storage that Spa
 
 ``chunks``  one row for each block of ``block`` ids of a file: file, chunk, first (ids of the file
             before it), n_ids, planes (one zstandard frame for each bit or byte plane, lowest first),
-            raw (the plane kind) and the documents that begin in it: doc_ids, doc_firsts, doc_tokens.
-``index``   one row for each chunk without its planes: file, chunk, first, n_ids, n_docs, n_bytes.
+            kind (of the planes) and the documents that have ids in it: doc_ids, doc_firsts (place in the file), doc_tokens.
+``index``   one row for each chunk without its planes: file, chunk, first, n_ids, n_docs (with ids there), n_bytes.
 """
 
 from __future__ import annotations
@@ -65,7 +65,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, block:
         held, n_held, chunk, first, at, starts = [], 0, 0, 0, 0, []
 
         def row(ids):
-            docs_in = [starts.pop(0) for _ in range(sum(s[1] < first + len(ids) for s in starts))]
+            stop = first + len(ids)
+            docs_in = [d for d in starts if d[1] < stop]
+            starts[:] = [d for d in starts if d[1] + d[2] > stop]
             return pa.RecordBatch.from_pylist(
                 [{"file": file, "chunk": chunk, "first": first, "n_ids": len(ids), "planes": to_planes(ids, kind), "kind": kind, "doc_ids": [d[0] for d in docs_in], "doc_firsts": [d[1] for d in docs_in], "doc_tokens": [d[2] for d in docs_in]}],
                 schema=pa.schema([("file", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("planes", pa.list_(pa.binary())), ("kind", pa.string()), ("doc_ids", pa.list_(id_type)), ("doc_firsts", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64()))]),
@@ -134,20 +136,7 @@ def _placed(spark: SparkSession, rows: DataFrame, path: str, id_col: str) -> Dat
 
 
 def _document_pieces(chunks: DataFrame, whole_ids: bool) -> DataFrame:
-    """The part of each document that each chunk holds; documents inside one chunk get their checksum at once.
-
-    A document that began in an earlier chunk is known there by its first id, so each chunk also
-    needs the last document of those before it: its place is found from the chunk that holds it.
-    """
-    last = F.element_at("doc_firsts", -1)
-    starts = chunks.where(F.size("doc_ids") > 0).select("file", F.col("chunk").alias("from"), last.alias("first"), F.element_at("doc_ids", -1).alias("id"), F.element_at("doc_tokens", -1).alias("n_tokens"), (F.col("first") + F.col("n_ids")).alias("ends"))
-    # chunks that a document runs on into
-    block = F.col("ends") - F.col("first")
-    on = starts.where(block < F.col("n_tokens"))
-    sizes = chunks.groupBy().agg(F.max("n_ids").alias("block"))
-    on = on.crossJoin(F.broadcast(sizes)).select(
-        "file", F.explode(F.sequence(F.col("from") + 1, (F.col("from") + F.ceil((F.col("n_tokens") - block) / F.col("block"))).cast("int"))).alias("chunk"), F.col("first").alias("over_first"), F.col("id").alias("over_id"), F.col("n_tokens").alias("over_tokens")
-    )
+    """The part of each document that each chunk holds; documents inside one chunk get their checksum at once."""
     id_type = chunks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decode(batches):
@@ -157,13 +146,10 @@ def _document_pieces(chunks: DataFrame, whole_ids: bool) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 ids, at = from_planes(r["planes"], r["n_ids"], r["kind"]), r["first"]
-                inside = list(zip(r["doc_ids"], r["doc_firsts"], r["doc_tokens"]))
-                if r["over_first"] is not None:
-                    inside.insert(0, (r["over_id"], r["over_first"], r["over_tokens"]))
-                for name, first, n in inside:
+                for name, first, n in zip(r["doc_ids"], r["doc_firsts"], r["doc_tokens"]):
                     part = ids[max(0, first - at) : first + n - at].tobytes()
                     whole = len(part) == 4 * n
                     rows.append({"file": r["file"], "chunk": r["chunk"], "first": first, "id": name, "n_tokens": n, "crc": zlib.crc32(part) if whole else None, "ids": part if whole_ids or not whole else None})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("id", batch.column("over_id").type), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())]))
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("id", batch.column("doc_ids").type.value_type), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())]))
 
-    return chunks.join(on, ["file", "chunk"], "left").mapInArrow(decode, f"file int, chunk int, first long, id {id_type}, n_tokens long, crc long, ids binary")
+    return chunks.mapInArrow(decode, f"file int, chunk int, first long, id {id_type}, n_tokens long, crc long, ids binary")

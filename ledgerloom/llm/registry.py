@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bitplanes, decontaminate, packing, quality_model, sharding
+from ledgerloom.llm import bitplanes, decontaminate, packing, quality_model, quality_rules, sharding
 from ledgerloom.llm.shared import read_table, shared_root
 
 
@@ -23,6 +23,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), 24)
 
@@ -49,6 +53,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
     "op6_packing": op6_packing,
     "op7_bit_planes": op7_bit_planes,
@@ -56,4 +61,24 @@ QUERIES = {
     "op10_quality_model": op10_quality_model,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": r"""
+WITH d AS (SELECT doc_id, source, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+counts AS (
+  SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered USING (r)),
+rules AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+broken AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 50 * n_dup_lines > n_words AS is_broken FROM rules),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (is_broken) AS failed FROM broken GROUP BY source),
+spread AS (SELECT sum(failed) / sum(n) AS mean, sum(n) AS total, count(*) AS k, sum(n * (failed / n) * (failed / n)) AS squares FROM hosts),
+prior AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(squares / total - mean * mean - mean * (1 - mean) * k / total, 1e-12) - 1, 1.0), 10000.0) AS strength FROM spread),
+verdict AS (SELECT source, (failed + strength * mean) / (n + strength) <= 0.5 AS host_kept FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+FROM broken JOIN verdict ON broken.source IS NOT DISTINCT FROM verdict.source""",
+}

@@ -13,7 +13,9 @@ from ledgerloom.llm.shared import plain_strings
 from ledgerloom.llm.words import pieces_of
 
 #: Chunks that a Python worker remembers; later ones are encoded again.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Bytes of text that are cut and encoded at a time.
+PIECE_BYTES = 4 << 20
 
 _LETTER, _STOP, _SPACE, _LINE = 1, 2, 3, 4
 
@@ -87,7 +89,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        # what is remembered: each chunk's number, and the ids of all numbered chunks end to end
+        self.number: dict[str, int] = {}
+        self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         # chunks are encoded many at a time, apart from each other by a character that is a token of its own
         self.between, self.mark = self._separator()
 
@@ -103,41 +107,48 @@ class Encoder:
                 return between, alone[0]
         return "", -1
 
-    def _encode(self, chunks: list[str]) -> list[np.ndarray]:
-        """The ids of distinct chunks."""
-        out: list = [None] * len(chunks)
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the chunks' places in the order in which they were encoded, sizes, ids end to end)."""
         shape = self.between.strip() or self.between
-        joined = [i for i, c in enumerate(chunks) if self.mark >= 0 and shape not in c and c.isprintable() and not c.startswith("  ") and not c.endswith(" ")]
+        order, sizes, ids, rest = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], []
+        joined = []
+        for i, c in enumerate(chunks):
+            (joined if self.mark >= 0 and c.isprintable() and shape not in c and c[:2] != "  " and c[-1] != " " else rest).append(i)
         for at in range(0, len(joined), 2000):
             own = joined[at : at + 2000]
-            ids = np.array(self._plain([self.between.join(chunks[i] for i in own)])[0], np.uint32)
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(own) - 1:
-                continue  # encoded one by one below
-            for i, part in zip(own, np.split(ids, ends)):
-                out[i] = part[1:] if len(part) and part[0] == self.mark else part
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._plain([chunks[i] for i in rest]) if rest else ()):
-            out[i] = np.array(ids, np.uint32)
-        return out
+            got = np.array(self._plain([self.between.join([chunks[i] for i in own])])[0], np.uint32)
+            marks = got == self.mark
+            if np.count_nonzero(marks) != len(own) - 1:
+                rest += own  # encoded one by one below
+                continue
+            order += own
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(marks), [len(got)]])) - 1)
+            ids.append(got[~marks])
+        for at in range(0, len(rest), 1000):
+            got = self._plain([chunks[i] for i in rest[at : at + 1000]])
+            order += rest[at : at + 1000]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids += [np.array(x, np.uint32) for x in got]
+        return np.array(order, np.int64), np.concatenate(sizes), np.concatenate(ids)
 
     def encode(self, texts: pa.Array):
         """Yield (number of the first text, ids of a run of texts as one array, offsets of each text's ids)."""
-        for first, part in pieces_of(plain_strings(texts)):
+        for first, part in pieces_of(plain_strings(texts), PIECE_BYTES):
             chunks, offsets = cut(part)
             coded = chunks.dictionary_encode()
             words = coded.dictionary.to_pylist()
-            ids = [self.known.get(w) for w in words]
-            new = [i for i, x in enumerate(ids) if x is None]
-            for i, found in zip(new, self._encode([words[i] for i in new])):
-                ids[i] = found
-                if len(self.known) < REMEMBERED:
-                    self.known[words[i]] = found.copy()
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            begins = np.concatenate([[0], np.cumsum(sizes)])
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            each = sizes[codes]
+            known = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+            new = np.flatnonzero(known < 0)
+            order, sizes, ids = self._encode([words[i] for i in new.tolist()])
+            held = len(self.number)
+            known[new[order]] = held + np.arange(len(new))
+            flat, begins = np.concatenate([self.ids, ids]), np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+            for n, i in enumerate(new[order][: max(0, REMEMBERED - held)].tolist()):
+                self.number[words[i]] = held + n
+            held = len(self.number)
+            self.ids, self.begins = flat[: begins[held]], begins[: held + 1]
+            codes = known[coded.indices.to_numpy(zero_copy_only=False)]
+            each = begins[codes + 1] - begins[codes]
             ends = np.cumsum(each)
             place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - each), each)
             yield first, flat[place], np.concatenate([[0], ends])[offsets]

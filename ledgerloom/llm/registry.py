@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bitplanes, decontaminate, line_dedup, packing, quality_model, quality_rules, secret_scan, sharding
+from ledgerloom.llm import bitplanes, decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secret_scan, sharding
 from ledgerloom.llm.shared import read_table, shared_root
 
 
@@ -36,6 +36,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), 24)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
+    "op4_minhash": op4_minhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
     "op7_bit_planes": op7_bit_planes,

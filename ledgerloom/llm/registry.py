@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bitplanes, decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secret_scan, sharding
+from ledgerloom.llm import bitplanes, decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secret_scan, sharding, substring_dedup
 from ledgerloom.llm.shared import read_table, shared_root
 
 
@@ -59,6 +59,10 @@ def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.document_checksums(spark, path)
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"), words=50, similarity=0.8)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -77,6 +81,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
     "op7_bit_planes": op7_bit_planes,
+    "op8_compact_windows": op8_compact_windows,
     "op9_decontamination": op9_decontamination,
     "op10_quality_model": op10_quality_model,
 }

@@ -185,10 +185,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, rows:
 
     Documents with equal sets form a class, named by its smallest id, and only the class goes on.
     Signatures of ``rows * bands`` minima are cut into bands; classes that share a band are
-    candidates (a pair at 0.85 shares none of 24 bands of 5 with chance 8e-7). In each bucket all
-    members are compared with the smallest; after the components of those links are known, members
-    of one bucket that lie in different components are compared in blocks of 64 by 64, so every
-    candidate pair is either compared or already linked through others, and no group is listed pair by pair.
+    candidates (a pair at 0.85 shares none of 24 bands of 5 with chance 8e-7). The smallest member of a bucket leads it.
+    Each class is compared with the smallest of its leaders; then with its other leaders, where components
+    still differ; then members of one bucket that still lie in different components are compared in blocks of 64 by
+    64. So every candidate pair is either compared or already linked through others, and no group is listed pair by pair.
     Comparing means: batches of ``step`` hashes, dropping a pair once the posterior chance that it reaches the
     threshold is under ``miss``; survivors are verified on their full sets.
 
@@ -210,22 +210,33 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, rows:
         return signature.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"))
 
     alike_size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    stars = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    first = stars.join(side("b"), "b").join(side("a"), "a").where(alike_size).where(_prune(F.col("sig_a"), F.col("sig_b"), schedule)).select("a", "b").distinct()
-    links = _links(first, texts, width, percent)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        signed_pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(alike_size)
+        return _links(signed_pairs.where(_prune(F.col("sig_a"), F.col("sig_b"), schedule)).select("a", "b").distinct(), texts, width, percent)
+
+    def placed_by(links: DataFrame, rows_: DataFrame, node: str, name: str) -> DataFrame:
+        known = links.select(F.col("node").alias(node), F.col("component").alias(name))
+        return rows_.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
     # an id with more than one text joins their classes
     repeated = usable.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("id")
     same_id = usable.select("id", "s1", "s2").join(kept(repeated), "id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = kept(links.union(same_id))
-
+    # one pair a class: with the smallest of its leaders, which in a group of copies is the same for nearly all
+    stars = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    first = kept(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = kept(alike(first).union(same_id))
+    # then the other leaders, of which that has not made the components one
+    known = kept(components(links))
+    apart = placed_by(known, placed_by(known, stars.distinct(), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
+    links = kept(links.union(alike(apart.join(first, ["a", "b"], "left_anti"))))
+    # then all others that share a bucket and lie in different components still
     known = kept(components(links))
-    placed = kept(members.where("rep <> lead").join(known, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component")))
+    placed = kept(placed_by(known, members.where("rep <> lead").select("bucket", "rep", "members"), "rep", "component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     open_ = kept(placed.join(kept(mixed), "bucket", "left_semi"))
     second = _cross_pairs(open_, signature, schedule, percent).distinct()
-    more = _links(second, texts, width, percent)
-    final = kept(components(links.union(more)))
+    final = kept(components(links.union(_links(second, texts, width, percent))))
 
     named = classes.select("s1", "s2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     rows_ = signed.select("id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), F.when(F.col("n") > 0, F.col("s2")).alias("s2"))

@@ -46,18 +46,30 @@ def clean_text(c: Column, strip_tag: bool = True) -> Column:
     return F.when(~_null_token(s), s)
 
 
-def clean_name(c: Column) -> Column:
-    s = clean_text(c)
+def clean_name(c: Column, text: Column | None = None) -> Column:
+    s = clean_text(c) if text is None else text
     return F.when(~F.lower(s).isin(V.LABEL_NAMES) & ~s.rlike(r"(?i)^owners?\s+data\s*#\d+$"), s)
 
 
-def clean_phone(c: Column) -> Column:
-    """struct(num, flag): E.164 where the country is known, else digits with a flag."""
+_SCIENTIFIC = r"^\d+\.\d+[eE][+-]?\d+$"
+
+
+def phone_text(c: Column) -> Column:
+    """The text of a phone with its digits: scientific notation written out, a leading O as 0."""
+    s = F.trim(c)
+    return F.when(s.rlike(_SCIENTIFIC), s.try_cast("double").try_cast("bigint").cast("string")).otherwise(F.regexp_replace(s, r"^[Oo](\d)", "0$1"))
+
+
+def phone_digits(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"\D", ""), "^00", "")
+
+
+def clean_phone(c: Column, digits: Column | None = None) -> Column:
+    """struct(num, flag): E.164 where the country is known, else digits with a flag. ``digits`` may be given where they are known."""
     s = F.trim(c)
-    scientific = s.rlike(r"^\d+\.\d+[eE][+-]?\d+$")
+    scientific = s.rlike(_SCIENTIFIC)
     number = s.try_cast("double")
-    text = F.when(scientific, number.try_cast("bigint").cast("string")).otherwise(F.regexp_replace(s, r"^[Oo](\d)", "0$1"))
-    d = F.regexp_replace(F.regexp_replace(text, r"\D", ""), "^00", "")
+    d = phone_digits(phone_text(c)) if digits is None else digits
     n = F.length(d)
     uae = F.regexp_replace(d, r"^9710*(971)?", "971")
     prefixes = "|".join(V.MOBILE_PREFIXES)
@@ -68,7 +80,7 @@ def clean_phone(c: Column) -> Column:
     return (
         F.when(c.isNull() | _null_token(s), result(NONE))
         .when(scientific & (number > 1e15), result(NONE, "phone_corrupt_scientific"))
-        .when(F.regexp_replace(text, r"\D", "") == "", result(NONE, "phone_no_digits"))
+        .when(~s.rlike(r"\d"), result(NONE, "phone_no_digits"))
         .when(n < 7, result(NONE, "phone_too_short"))
         .when(n > 15, result(NONE, "phone_too_long"))
         .when(scientific, result(d, "phone_precision_lost_in_excel"))
@@ -130,8 +142,8 @@ def excel_serial(days: Column) -> Column:
     return F.when((days > 1) & (days < 80_000), F.timestamp_micros(F.round((days - 25_569) * 86_400_000_000).cast("bigint")))
 
 
-def clean_bedroom(c: Column) -> Column:
-    s = clean_text(c)
+def clean_bedroom(c: Column, text: Column | None = None) -> Column:
+    s = clean_text(c) if text is None else text
     low = F.lower(s)
     found = F.regexp_extract(low, r"(\d+)\s*(?:bhk|b\s*/?\s*r|bed(?:room)?s?)", 1)
     n = F.when(found != "", found).when(s.rlike(r"^\d{1,3}$"), s).try_cast("int")
@@ -146,24 +158,37 @@ def clean_bedroom(c: Column) -> Column:
     return F.struct(value.alias("value"), F.when(~low.contains("studio") & (n > V.MOST_BEDROOMS), F.lit("bedroom_implausible")).alias("flag"))
 
 
-def clean_unit(c: Column) -> Column:
-    return _or_null(F.trim(F.regexp_replace(clean_text(c), "[-s]+$", "")))
+def clean_unit(c: Column, text: Column | None = None) -> Column:
+    return _or_null(F.trim(F.regexp_replace(clean_text(c) if text is None else text, "[-s]+$", "")))
 
 
-def clean_party_type(c: Column) -> Column:
-    s = F.upper(clean_text(c))
+def clean_party_type(c: Column, text: Column | None = None) -> Column:
+    s = F.upper(clean_text(c) if text is None else text)
     return F.when(s.startswith("BUY"), F.lit("Buyer")).when(s.startswith("SELL"), F.lit("Seller"))
 
 
-def clean_nationality(c: Column) -> Column:
-    s = clean_text(c)
+def clean_nationality(c: Column, text: Column | None = None) -> Column:
+    s = clean_text(c) if text is None else text
     return F.when(F.upper(s).isin(V.UAE_SPELLINGS), F.lit("United Arab Emirates")).when(all_capitals(s) & (F.length(s) > 3), title_case(s)).otherwise(s)
 
 
-def clean_community(c: Column) -> Column:
+def without_number(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, r"\s+\d+$", ""))
+
+
+def is_place(c: Column) -> Column:
+    """Whether a community names a place: something that is neither a stand-in for no value nor a sheet title."""
+    return F.coalesce(~_null_token(F.trim(c)) & ~F.trim(c).rlike("(?i)" + V.COMMUNITY_NOISE), F.lit(False))
+
+
+def has_text(c: Column) -> Column:
+    return F.coalesce(~_null_token(F.trim(c)), F.lit(False))
+
+
+def clean_community(c: Column, text: Column | None = None, short: Column | None = None) -> Column:
     """The known name of the text as it stands, else of the text without a number at its end."""
-    s = clean_text(c)
-    short = F.trim(F.regexp_replace(s, r"\s+\d+$", ""))
+    s = clean_text(c) if text is None else text
+    short = without_number(s) if short is None else short
     known = F.coalesce(lookup(V.COMMUNITIES, F.upper(s)), lookup(V.COMMUNITIES, F.upper(short)))
     plain = F.when(all_capitals(short) & (F.length(short) > 2), title_case(short)).when(short != "", short).otherwise(s)
     return F.when(~s.rlike("(?i)" + V.COMMUNITY_NOISE), F.coalesce(known, plain))

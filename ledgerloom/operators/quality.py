@@ -14,6 +14,14 @@ from ledgerloom.functions import vocabulary as V
 COUNTED = ["name", "mobile_1", "mobile_2", "mobile_3", "email_address", "community", "sub_community", "building_cluster", "unit_number", "plot_number", "bedroom", "procedure_value", "developer", "project", "property_type", "party_type"]
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, behind a step through which filters are not pushed.
+
+    A filter on a cleaned column would otherwise be rewritten into the whole chain of cleaning expressions.
+    """
+    return rows.select(F.inline(F.array(F.struct("*"))))
+
+
 def filled(c: str) -> Column:
     return F.col(c).isNotNull()
 
@@ -27,25 +35,31 @@ def standardise(mapped: DataFrame, size_header: Column | None = None) -> DataFra
     for c in V.FIELDS:
         if c not in mapped.columns:
             mapped = mapped.withColumn(c, F.lit(None).cast("string"))
-    staged = mapped.withColumns({
-        "_bedroom": C.clean_bedroom(F.col("bedroom")),
-        "_phones": C.phone_slots(*[C.clean_phone(F.col(f"mobile_{i}")) for i in (1, 2, 3)]),
+    # steps refer to each other's columns, so that each text is cleaned once however often it is looked at
+    plain = ("sub_community", "building_cluster", "plot_reg_no", "dmno", "dmsubno", "pi_number", "property_type", "developer", "project")
+    more = ("name", "community", "unit_number", "plot_number", "bedroom", "party_type", "nationality")
+    staged = mapped.withColumns({**{f"_t_{c}": C.clean_text(F.col(c)) for c in plain + more}, **{f"_d_{i}": C.phone_digits(C.phone_text(F.col(f"mobile_{i}"))) for i in (1, 2, 3)}})
+    staged = staged.withColumns({
+        "_bedroom": C.clean_bedroom(F.col("bedroom"), F.col("_t_bedroom")),
+        **{f"_p_{i}": C.clean_phone(F.col(f"mobile_{i}"), F.col(f"_d_{i}")) for i in (1, 2, 3)},
         "_email": C.clean_email(F.col("email_address")),
         "_size": C.clean_size(F.col("size"), size_header),
         "_date": C.clean_date(F.col("record_date")),
+        "_short": C.without_number(F.col("_t_community")),
     })
+    staged = staged.withColumn("_phones", C.phone_slots(F.col("_p_1"), F.col("_p_2"), F.col("_p_3")))
     flag = lambda test, name: F.when(test, F.lit(name))
     first = F.array_compact(F.array(F.col("_bedroom.flag"), flag(filled("record_date") & F.col("_date").isNull(), "date_unparseable")))
     last = F.array_compact(F.array(F.col("_email.flag"), flag(F.col("_size") > V.LARGEST_SIZE, "size_implausible")))
-    values = {c: C.clean_text(F.col(c)) for c in ("sub_community", "building_cluster", "plot_reg_no", "dmno", "dmsubno", "pi_number", "property_type", "developer", "project")}
-    values |= {c: C.clean_unit(F.col(c)) for c in ("unit_number", "plot_number")}
+    values = {c: F.col(f"_t_{c}") for c in plain}
+    values |= {c: C.clean_unit(F.col(c), F.col(f"_t_{c}")) for c in ("unit_number", "plot_number")}
     values |= {
         "validation_flags": F.concat(first, F.col("_phones.flags"), last),
-        "name": C.clean_name(F.col("name")),
-        "community": C.clean_community(F.col("community")),
+        "name": C.clean_name(F.col("name"), F.col("_t_name")),
+        "community": C.clean_community(F.col("community"), F.col("_t_community"), F.col("_short")),
         "bedroom": F.col("_bedroom.value"),
-        "party_type": C.clean_party_type(F.col("party_type")),
-        "nationality": C.clean_nationality(F.col("nationality")),
+        "party_type": C.clean_party_type(F.col("party_type"), F.col("_t_party_type")),
+        "nationality": C.clean_nationality(F.col("nationality"), F.col("_t_nationality")),
         "size": F.when(F.col("_size") <= V.LARGEST_SIZE, F.col("_size")),
         "procedure_value": C.clean_number(F.col("procedure_value")),
         "record_date": F.col("_date"),
@@ -57,31 +71,31 @@ def standardise(mapped: DataFrame, size_header: Column | None = None) -> DataFra
     if "extras" in mapped.columns:
         kept = F.when(F.col("_bedroom.flag").isNotNull(), F.create_map(F.lit("Bedroom (raw, rejected)"), F.col("bedroom")))
         values["extras"] = F.coalesce(F.map_concat(F.map_filter(kept, lambda k, v: ~F.array_contains(F.map_keys(F.col("extras")), k)), F.col("extras")), F.col("extras"), kept)
-    return staged.withColumns(values).drop("_bedroom", "_phones", "_email", "_size", "_date")
+    return settled(staged.withColumns(values).drop("_bedroom", "_phones", "_email", "_size", "_date", "_short", *[f"_t_{c}" for c in plain + more], *[f"_{x}_{i}" for x in "dp" for i in (1, 2, 3)]))
 
 
 def has_context() -> Column:
     """A unit, plot or PI number; or two of the places that name a property together."""
-    community, unit, plot = C.clean_community(F.col("community")), C.clean_unit(F.col("unit_number")), C.clean_unit(F.col("plot_number"))
-    text = lambda c: C.clean_text(F.col(c)).isNotNull()
-    return unit.isNotNull() | plot.isNotNull() | text("pi_number") | (text("developer") & community.isNotNull()) | (text("building_cluster") & community.isNotNull()) | (text("developer") & text("project"))
+    text = lambda c: C.has_text(F.col(c))
+    community = C.is_place(F.col("community"))
+    return text("unit_number") | text("plot_number") | text("pi_number") | (text("developer") & (community | text("project"))) | (text("building_cluster") & community)
 
 
 def populated_fields() -> Column:
     """How many of the 16 counted fields hold something; a community only if it is no sheet title."""
     full = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False)).cast("int")
-    return reduce(lambda a, b: a + b, [C.clean_community(F.col(c)).isNotNull().cast("int") if c == "community" else full(c) for c in COUNTED])
+    return reduce(lambda a, b: a + b, [C.is_place(F.col(c)).cast("int") if c == "community" else full(c) for c in COUNTED])
 
 
 def validate(cleaned: DataFrame) -> DataFrame:
     """Add ``is_valid``, ``has_context`` and the flags empty_record, no_contact, no_location, uncontactable."""
     some = lambda *cs: reduce(lambda a, b: a | b, [filled(c) for c in cs])
     person = some("name", "mobile_1", "email_address")
-    place = some("unit_number", "plot_number", "building_cluster", "pi_number", "developer", "project") | C.clean_community(F.col("community")).isNotNull()
+    place = some("unit_number", "plot_number", "building_cluster", "pi_number", "developer", "project") | C.is_place(F.col("community"))
     flags = F.when(~person & ~place, F.array(F.lit("empty_record"))).otherwise(
         F.array_compact(F.array(F.when(~person, F.lit("no_contact")), F.when(~place, F.lit("no_location")), F.when(~some("mobile_1", "email_address"), F.lit("uncontactable"))))
     )
-    return cleaned.withColumns({"is_valid": person | place, "has_context": has_context(), "validation_flags": F.concat("validation_flags", flags)})
+    return settled(cleaned.withColumns({"is_valid": person | place, "has_context": has_context(), "validation_flags": F.concat("validation_flags", flags)}))
 
 
 def classify(rows: DataFrame) -> DataFrame:

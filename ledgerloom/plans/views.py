@@ -92,7 +92,7 @@ DEVELOPMENTS_SQL = f"developments AS (SELECT {', '.join(f'{e} AS {c}' for c, e i
 
 #: Owners by PI number, and the properties that carry the places.
 OWNERS = [("source_file", "concat('dld_', CAST(o_orderkey % 5 AS STRING))"), ("source_row", "o_orderkey"), ("pi_number", "concat(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE '' END, CAST(o_orderkey AS STRING))"), ("name", "concat('Owner ', CAST(o_custkey AS STRING))"), ("unit_number", "CASE WHEN o_orderkey % 6 = 0 THEN 'own' END"), ("building_cluster", "CAST(NULL AS STRING)"), ("size", "CAST(NULL AS STRING)")]
-PROPERTIES = [("source_file", "concat('dld_', CAST(l_orderkey % 5 AS STRING))"), ("source_row", "l_orderkey * 10 + l_linenumber"), ("pi_number", "CAST(l_orderkey AS STRING)"), ("unit_number", "concat('U', CAST(l_linenumber AS STRING))"), ("building_cluster", "CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE concat('B', CAST(l_partkey % 9 AS STRING)) END"), ("size", "CAST(CAST(l_quantity AS INT) AS STRING)")]
+PROPERTIES = [("source_file", "concat('dld_', CAST(l_orderkey % 5 AS STRING))"), ("source_row", "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"), ("pi_number", "CAST(l_orderkey AS STRING)"), ("unit_number", "concat('U', CAST(l_linenumber AS STRING))"), ("building_cluster", "CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE concat('B', CAST(l_partkey % 9 AS STRING)) END"), ("size", "CAST(CAST(l_quantity AS INT) AS STRING)")]
 
 
 def owners(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def word_codes(texts, table: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np
     return encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False), offsets
 
 
-def pieces_of(texts: pa.StringArray, most_bytes: int = 8 << 20):
+def pieces_of(texts: pa.StringArray, most_bytes: int = 2 << 20):
     """Slices of the array that hold about ``most_bytes`` each, one text at least."""
     lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)

@@ -175,7 +175,7 @@ def acceptable(target: str, value: Column) -> Column:
 
 def premise(value: Column) -> Column:
     """struct(community, building, unit) of ``code | emirate | unit | building``; fewer than four parts are a building."""
-    parts = F.transform(F.split(value, r"\|"), F.trim)
+    parts = F.transform(F.split(value, r"\|"), lambda p: F.trim(p))
     at = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit(""))
     full = F.size(parts) >= 4
     unit = at(2)
@@ -195,7 +195,7 @@ def labelled_phones(value: Column) -> Column:
 
 
 def email_list(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, "[,;]"), F.trim), lambda e: e != "")
+    return F.filter(F.transform(F.split(value, "[,;]"), lambda e: F.trim(e)), lambda e: e != "")
 
 
 def map_columns(raw_rows: DataFrame, plan: DataFrame, headers: DataFrame | None = None) -> DataFrame:
@@ -215,10 +215,14 @@ def map_columns(raw_rows: DataFrame, plan: DataFrame, headers: DataFrame | None
     rows = rows.where(F.exists("cells", _full))
     cell = lambda e: F.nullif(F.get(F.col("cells"), e["idx"]), F.lit(""))
     of = lambda kind: F.get(F.transform(F.filter("_plan", lambda e: e["disposition"] == kind), cell), F.lit(0))
+
+    def first_of(label: str) -> Column:
+        values = F.transform(F.filter("_plan", lambda e: e["target"] == label), cell)
+        return F.get(F.filter(values, lambda v: v.isNotNull() & acceptable(label, v)), F.lit(0))
+
     found = {}
     for label, name in V.LABELS.items():
-        values = F.transform(F.filter("_plan", lambda e, t=label: e["target"] == t), cell)
-        found[name] = F.get(F.filter(values, lambda v, t=label: v.isNotNull() & acceptable(t, v)), F.lit(0))
+        found[name] = first_of(label)
     rows = rows.withColumns(found)
     chosen = F.create_map(*[x for label, name in V.LABELS.items() for x in (F.lit(label), F.col(name))])
     lost = F.filter("_plan", lambda e: e["target"].isNotNull() & cell(e).isNotNull() & (cell(e) != F.try_element_at(chosen, e["target"])))

@@ -1 +1,172 @@
 """Queries on raw sheets, files and the older loader."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import cleaners as C
+from ledgerloom.functions import vocabulary as V
+from ledgerloom.operators import legacy, mapping
+from ledgerloom.operators.search import Search
+from ledgerloom.plans import twins as S
+from ledgerloom.plans import views
+from ledgerloom.plans.catalogue import query, records
+from ledgerloom.sources import files, sinks
+from ledgerloom.streaming import ingest
+
+HEADINGS = ["Name", "MOBILE", "Phone", " Project ", "Building  Name", "Unit Number", "TYPE", "AREA", "Passport", "Remarks", "Premise 1", "Owners_Phone", "Owners_Email"]
+
+
+def raw_rows(spark, sf_dir):
+    """Sheets of the register with odd tops: sheet A has two title rows and repeats its heading, sheet B has no heading at all, sheet C lists developments."""
+    people = views.register(spark, sf_dir)
+    text = lambda e: F.expr(e).cast("string")
+    wide = F.array(
+        text("name"), text("mobile_1"), text("CASE WHEN k % 2 = 0 THEN '043920430' END"), text("project"), text("building_cluster"), text("unit_number"), text("CASE k % 3 WHEN 0 THEN 'BUYER' ELSE 'A' END"), text("CAST(k % 900 AS STRING)"), text("'X1234'"), text("concat('note ', k)"),
+        text("concat(CASE k % 3 WHEN 0 THEN 'JBR' WHEN 1 THEN 'jlt' ELSE 'ZZ' END, ' | DXB | ', CASE k % 2 WHEN 0 THEN 'NA' ELSE concat('u', k) END, ' | RIMAL ', k % 5)"),
+        text("concat('Fax 1: 009714', k, ', Mobile 1: 9715055', lpad(k, 5, '0'), ', Tel: 04', k)"), text("concat('a', k, '@x.com; b', k, '@y.com')"),
+    )
+    rows = people.where("copy = 0")
+    body = rows.select(F.concat(F.lit("wide_"), (F.col("k") % 3).cast("string"), F.lit(".csv")).alias("source_file"), F.lit("A").alias("source_sheet"), (F.col("k") + 10).alias("source_row"), wide.alias("cells"))
+    leads = rows.select(F.lit("leads.csv").alias("source_file"), F.lit("B").alias("source_sheet"), F.col("k").alias("source_row"), F.array(text("concat('Lead ', name)"), text("concat('0501', lpad(k, 6, '0'))"), text("concat('l', k, '@mail.ae')")).alias("cells"))
+    places = views.developments(spark, sf_dir).select(F.lit("places.csv").alias("source_file"), F.lit("Legend").alias("source_sheet"), (F.col("ord") + 1).alias("source_row"), F.array("name", "developer", "confidence").alias("cells"))
+    heads = spark.createDataFrame([(f"wide_{i}.csv", "A", row, cells) for i in range(3) for row, cells in ((0, ["Report of owners", None]), (1, HEADINGS), (500, HEADINGS), (501, [None, ""]))] + [("places.csv", "Legend", 0, ["DEVELOPMENT", "MASTER DEVELOPER", "CONFIDENCE"])], "source_file string, source_sheet string, source_row long, cells array<string>")
+    return heads.unionByName(body).unionByName(leads).unionByName(places)
+
+
+def planned(spark, sf_dir):
+    """(raw rows, headers with positional ones, column samples, plan)."""
+    rows, aliases = raw_rows(spark, sf_dir), mapping.alias_table(spark)
+    headers = mapping.header_rows(rows, list(V.ALIASES) + V.ASIDE_HEADERS + V.EXCLUDED_HEADERS + V.REFERENCE_HEADERS)
+    seen = mapping.samples(rows, headers)
+    bare = mapping.positional_headers(rows, headers, seen).withColumnRenamed("header", "_p")
+    headers = headers.join(bare, mapping.SHEET, "left").select(*mapping.SHEET, "header_row", F.coalesce("header", "_p").alias("header"))
+    return rows, headers, seen, mapping.plan_columns(headers, aliases, seen=seen)
+
+
+@query()
+def header_row_detect(spark, sf_dir):
+    return planned(spark, sf_dir)[1].select(*mapping.SHEET, "header_row", F.array_join("header", "|").alias("header"))
+
+
+@query()
+def column_plan(spark, sf_dir):
+    return planned(spark, sf_dir)[3]
+
+
+@query()
+def sheet_profile(spark, sf_dir):
+    rows, headers, _, plan = planned(spark, sf_dir)
+    return mapping.sheet_profile(rows, headers, plan)
+
+
+@query()
+def file_profile(spark, sf_dir):
+    rows, headers, _, plan = planned(spark, sf_dir)
+    return mapping.file_profile(mapping.sheet_profile(rows, headers, plan))
+
+
+@query()
+def mapping_report(spark, sf_dir):
+    return mapping.mapping_report(planned(spark, sf_dir)[3])
+
+
+@query()
+def map_columns(spark, sf_dir):
+    rows, headers, _, plan = planned(spark, sf_dir)
+    out = mapping.map_columns(rows, plan, headers)
+    return out.select(*mapping.SHEET, "source_row", "name", "mobile_1", "mobile_2", "email_address", "community", "sub_community", "project", "building_cluster", "unit_number", "size", "party_type", F.to_json("extras").alias("extras"))
+
+
+@query(r"SELECT c_custkey, community, building, unit FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Jumeirah Beach Residence' WHEN 1 THEN 'Jumeirah Lake Towers' ELSE 'ZZ' END AS community, concat('RIMAL ', CAST(c_custkey % 5 AS VARCHAR)) AS building, CASE c_custkey % 2 WHEN 1 THEN concat('u', CAST(c_custkey AS VARCHAR)) END AS unit FROM customer)")
+def pipe_field(spark, sf_dir):
+    text = F.expr("concat(CASE c_custkey % 3 WHEN 0 THEN 'JBR' WHEN 1 THEN 'jlt' ELSE 'ZZ' END, ' | DXB | ', CASE c_custkey % 2 WHEN 0 THEN 'NA' ELSE concat('u', c_custkey) END, ' | RIMAL ', c_custkey % 5)")
+    return views.table(spark, sf_dir, "customer").select("c_custkey", mapping.premise(text).alias("p")).select("c_custkey", "p.community", "p.building", "p.unit")
+
+
+@query("SELECT c_custkey, concat('97150', CAST(c_custkey AS VARCHAR)) AS first, concat('04', CAST(c_custkey AS VARCHAR)) AS second FROM customer")
+def labelled_phones(spark, sf_dir):
+    text = F.expr("concat('Fax 1: 009714', c_custkey, ', Mobile 1: 97150', c_custkey, ', Work: 1, Tel: 04', c_custkey)")
+    found = views.table(spark, sf_dir, "customer").select("c_custkey", mapping.labelled_phones(text).alias("p"))
+    return found.select("c_custkey", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(1)).alias("second"))
+
+
+@query("SELECT c_custkey, concat('a', CAST(c_custkey AS VARCHAR), '@x.com') AS first, 2 AS n FROM customer")
+def email_list(spark, sf_dir):
+    text = F.expr("concat(' a', c_custkey, '@x.com ;; b@y.com,')")
+    return views.table(spark, sf_dir, "customer").select("c_custkey", mapping.email_list(text).alias("e")).select("c_custkey", F.get("e", F.lit(0)).alias("first"), F.size("e").alias("n"))
+
+
+@query(r"SELECT p_partkey, upper(trim(regexp_replace(replace(concat('  ', p_name, '`s  ', p_type), chr(96), chr(39)), '\s+', ' ', 'g'))) AS header FROM part")
+def header_normalise(spark, sf_dir):
+    return views.table(spark, sf_dir, "part").select("p_partkey", C.normal_header(F.expr("concat('  ', p_name, '`s  ', p_type)")).alias("header"))
+
+
+@query(f"WITH {S.CLEANED}, winners AS (SELECT source_row, coalesce(nullif(mobile_1, ''), nullif(mobile_2, '')) AS mobile FROM register) SELECT * FROM winners")
+def header_rank_coalesce(spark, sf_dir):
+    rows = views.register(spark, sf_dir).select(F.lit("f").alias("source_file"), F.lit("s").alias("source_sheet"), "source_row", F.array("mobile_2", "mobile_1").alias("cells"))
+    heads = spark.createDataFrame([("f", "s", 0, ["PHONE", "MOBILE"])], "source_file string, source_sheet string, header_row int, header array<string>")
+    plan = mapping.plan_columns(heads, mapping.alias_table(spark))
+    # rows with neither phone are blank and fall out of the mapping, so they are joined back
+    found = mapping.map_columns(rows, plan).select("source_row", F.col("mobile_1").alias("mobile"))
+    return rows.select("source_row").join(found, "source_row", "left")
+
+
+@query(r"SELECT page_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS source_row, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(unnest(c), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), chr(160), ' ', 'g'), '\s+', ' ', 'g')) AS cell FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1) AS c FROM pages) WHERE len(c) > 0".replace('\\"', '"'))
+def html_rows(spark, sf_dir):
+    pages = views.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", r"(?is)(<p\b[^>]*>.*?</p>)", "<tr><td>$1</td></tr>").alias("html"))
+    return files.html_rows(pages).select("page_id", "source_row", F.coalesce(F.get("cells", F.lit(0)), F.lit("")).alias("cell"))
+
+
+@query()
+def file_inventory(spark, sf_dir):
+    return files.file_inventory(spark, sf_dir, pattern="*.parquet").select("filename", "size_bytes", "content_sha256", "detected_format", "allowed")
+
+
+@query()
+def file_duplicates(spark, sf_dir):
+    inventory = files.file_inventory(spark, sf_dir, pattern="*.parquet")
+    stored = inventory.where("filename < 'd'").select(F.xxhash64("content_sha256").alias("id"), "content_sha256")
+    jobs = stored.select(F.col("id").alias("source_file_id"), F.xxhash64("id").alias("id"), F.lit("COMPLETED").alias("status"))
+    return files.repeated_files(inventory, stored, jobs).select("filename", F.col("prior_job").isNotNull().alias("seen_before"))
+
+
+@query(f"""WITH {S.RECORDS}, chosen AS (SELECT * FROM records WHERE status = 'VALID' ORDER BY id DESC LIMIT 50000)
+SELECT {', '.join((f"coalesce(strftime(record_date, '%Y-%m-%d'), '')" if c == 'record_date' else f"coalesce(CAST({c} AS VARCHAR), '')") + f' AS "{h}"' for h, c in sinks.EXPORT.items() if c not in ('size', 'procedure_value'))} FROM chosen""")
+def export_shape(spark, sf_dir):
+    return sinks.export_rows(records(spark, sf_dir), Search()).drop("Size (sq.ft)", "Procedure Value")
+
+
+@query(f"""WITH {S.CLEANED}, keyed AS (SELECT source_file, source_sheet, source_row, lower(CASE WHEN coalesce(name, '') <> '' AND coalesce(mobile_1, '') <> '' THEN name || '|' || mobile_1 ELSE coalesce(unit_number, '') || '|' || coalesce(building_cluster, '') END) AS key FROM cleaned)
+SELECT source_row, CASE WHEN length(key) > 3 THEN key END AS dedup_key, length(key) > 3 AND row_number() OVER (PARTITION BY key ORDER BY source_file, source_sheet, source_row) > 1 AS is_duplicate FROM keyed""")
+def legacy_dedup(spark, sf_dir):
+    from ledgerloom.operators import quality
+
+    return legacy.duplicates(quality.standardise(views.register(spark, sf_dir))).select("source_row", "dedup_key", "is_duplicate")
+
+
+@query("SELECT p_type AS header, CASE WHEN regexp_matches(upper(p_type), 'NAME|OWNER') THEN 'name' END AS guess FROM part")
+def legacy_guess(spark, sf_dir):
+    return views.table(spark, sf_dir, "part").select(F.col("p_type").alias("header"), F.when(legacy.guess_field(F.col("p_type")) == "name", "name").alias("guess"))
+
+
+@query()
+def stream_ingest(spark, sf_dir):
+    """The register in files, one a micro-batch, must give the same statuses as all files at once across files."""
+    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/stream-{uuid.uuid4().hex}"
+    rows = views.register(spark, sf_dir).drop("k", "copy")
+    rows.repartition(3, "source_file").write.parquet(f"{root}/in")
+    stream = ingest.register_stream(spark, f"{root}/in", rows.schema, files_a_batch=1)
+    ingest.ingest_stream(stream, f"{root}/records", f"{root}/state", counters=f"{root}/counters").awaitTermination()
+    return spark.read.parquet(f"{root}/records").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def normalise_sheets(spark, sf_dir):
+    """Raw sheets through the whole plan."""
+    from ledgerloom.plans.pipeline import normalise
+
+    done, _, _ = normalise(raw_rows(spark, sf_dir), mapping.alias_table(spark))
+    return done.groupBy("source_file", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -223,7 +223,7 @@ def map_columns(raw_rows: DataFrame, plan: DataFrame, headers: DataFrame | None
     found = {}
     for label, name in V.LABELS.items():
         found[name] = first_of(label)
-    rows = rows.withColumns(found)
+    rows = rows.withColumns(found).select(F.inline(F.array(F.struct("*"))))  # so that no later step computes these again
     chosen = F.create_map(*[x for label, name in V.LABELS.items() for x in (F.lit(label), F.col(name))])
     lost = F.filter("_plan", lambda e: e["target"].isNotNull() & cell(e).isNotNull() & (cell(e) != F.try_element_at(chosen, e["target"])))
     aside = F.filter("_plan", lambda e: e["disposition"].isin("aside", "unmapped") & cell(e).isNotNull())

@@ -36,6 +36,7 @@ def normalise(raw_rows: DataFrame, aliases: DataFrame, *, developments: DataFram
     mapped = mapping.map_columns(raw_rows, plan, headers).join(sheets.select(*mapping.SHEET, "role", "is_reference", "merged"), mapping.SHEET).where("NOT is_reference")
     mapped = mapped.where(~mapping.is_building_row(F.col("unit_number"), F.col("extras")))
     places = ("building_cluster", "unit_number", "sub_community", "project", "community", "size", "bedroom", "plot_number", "developer", "property_type")
+    mapped = quality.settled(mapped)
     owners = enrich.merge_properties(mapped.where("NOT merged"), mapped.where("merged"), places)
     rows = owners.withColumn("_row", F.concat_ws("|", *mapping.SHEET, "source_row"))
     records = records_of(rows, developments=developments, id_col="_row", **more).drop("_row", "role", "is_reference", "merged")

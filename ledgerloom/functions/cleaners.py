@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import vocabulary as V
 
-NONE = F.lit(None).cast("string")
+def none() -> Column:
+    return F.lit(None).cast("string")
+
 
 
 def _or_null(c: Column) -> Column:
@@ -78,11 +80,11 @@ def clean_phone(c: Column, digits: Column | None = None) -> Column:
         return F.struct(num.cast("string").alias("num"), F.lit(flag).cast("string").alias("flag"))
 
     return (
-        F.when(c.isNull() | _null_token(s), result(NONE))
-        .when(scientific & (number > 1e15), result(NONE, "phone_corrupt_scientific"))
-        .when(~s.rlike(r"\d"), result(NONE, "phone_no_digits"))
-        .when(n < 7, result(NONE, "phone_too_short"))
-        .when(n > 15, result(NONE, "phone_too_long"))
+        F.when(c.isNull() | _null_token(s), result(none()))
+        .when(scientific & (number > 1e15), result(none(), "phone_corrupt_scientific"))
+        .when(~s.rlike(r"\d"), result(none(), "phone_no_digits"))
+        .when(n < 7, result(none(), "phone_too_short"))
+        .when(n > 15, result(none(), "phone_too_long"))
         .when(scientific, result(d, "phone_precision_lost_in_excel"))
         .when(d.startswith("971") & (F.length(uae) < 11), result(uae, "phone_too_short_for_uae"))
         .when(d.startswith("971") & (F.length(uae) > 12), result(uae, "phone_too_long_for_uae"))
@@ -149,7 +151,7 @@ def clean_bedroom(c: Column, text: Column | None = None) -> Column:
     n = F.when(found != "", found).when(s.rlike(r"^\d{1,3}$"), s).try_cast("int")
     value = (
         F.when(low.contains("studio"), F.lit("Studio"))
-        .when(n > V.MOST_BEDROOMS, NONE)
+        .when(n > V.MOST_BEDROOMS, none())
         .when(n.isNotNull(), F.concat(n.cast("string"), F.lit(" BR")))
         .when(low == "penthouse", F.lit("Penthouse"))
         .when(low == "retail", F.lit("Retail"))

@@ -78,7 +78,7 @@ def enrich(rows: DataFrame, developments: DataFrame | None, *, id_col: str, file
         found = match_developments(out, best_developments(developments), id_col=id_col, candidates=F.array(*[F.col(c) for c in CANDIDATES], F.col("_guess")))
         out = out.join(found, id_col, "left")
     else:
-        out = out.withColumns({"dev": F.lit(None).cast("struct<region: string, developer: string, dev_type: string>"), "matched_by": C.NONE})
+        out = out.withColumns({"dev": F.lit(None).cast("struct<region: string, developer: string, dev_type: string>"), "matched_by": C.none()})
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("community", "sub_community", "project", "building_cluster")], F.coalesce("_guess", F.lit(""))))
     by_reference = {c: empty(c) & F.col(f"dev.{f}").isNotNull() for c, f in (("developer", "developer"), ("community", "region"), ("property_type", "dev_type"))}
     known = empty("developer") & ~by_reference["developer"] & text.rlike("|".join(V.KNOWN_SUBPROJECTS))

@@ -20,7 +20,7 @@ def map_header(headers: DataFrame, aliases: DataFrame, column: str = "header") -
 def guess_field(header: Column) -> Column:
     """The field whose words a heading holds, first match first."""
     h = C.normal_header(header)
-    out = F.when(F.lit(False), C.NONE)
+    out = F.when(F.lit(False), C.none())
     for field, words in HEADING_WORDS.items():
         out = out.when(h.rlike("|".join(words)), F.lit(field))
     return out

@@ -82,7 +82,7 @@ def cleaned_value(field: Column, value: Column) -> Column:
     cleaner |= {f"mobile_{i}": lambda v: C.clean_phone(v)["num"] for i in (1, 2, 3)}
     cleaner |= {"email_address": lambda v: C.clean_email(v)["value"], "bedroom": lambda v: C.clean_bedroom(v)["value"]}
     cleaner |= {"size": lambda v: C.clean_size(v).cast("string"), "procedure_value": lambda v: C.clean_number(v).cast("string"), "record_date": lambda v: C.clean_date(v).cast("string")}
-    out = F.when(F.lit(False), C.NONE)
+    out = F.when(F.lit(False), C.none())
     for name in EDITABLE:
         out = out.when(field == name, cleaner.get(name, C.clean_text)(value))
     return out

@@ -115,7 +115,7 @@ def plan_columns(headers: DataFrame, aliases: DataFrame, *, seen: DataFrame | No
     cells = headers.where("header IS NOT NULL").select(*SHEET, F.posexplode("header").alias("idx", "header")).withColumn("header_norm", C.normal_header(F.col("header")))
     first = aliases.groupBy("header_norm").agg(F.min_by("target", "ord").alias("alias"))
     rows = cells.join(first, "header_norm", "left")
-    rows = rows.join(overrides.select(*SHEET, "header_norm", F.col("target").alias("override")), [*SHEET, "header_norm"], "left") if overrides is not None else rows.withColumn("override", C.NONE)
+    rows = rows.join(overrides.select(*SHEET, "header_norm", F.col("target").alias("override")), [*SHEET, "header_norm"], "left") if overrides is not None else rows.withColumn("override", C.none())
     rows = rows.join(seen.select(*SHEET, "idx", "n", "numeric", "parties"), [*SHEET, "idx"], "left") if seen is not None else rows.withColumns({"n": F.lit(None).cast("bigint"), "numeric": F.lit(None).cast("double"), "parties": F.lit(None).cast("boolean")})
     h = F.col("header_norm")
     no_party = (h == "TYPE") & (F.col("alias") == "Type (Buyer/Seller)") & (F.col("n") > 0) & ~F.col("parties")

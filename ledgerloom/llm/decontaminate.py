@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import plain_strings
+from ledgerloom.llm.shared import plain_strings, release
 from ledgerloom.llm.words import ALPHANUMERIC, pieces_of, word_codes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -25,7 +25,7 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 #: Bytes of benchmark text that are searched for together; a larger benchmark goes in as many blocks as it needs.
 BLOCK_BYTES = 2 << 20
 #: Bytes of training text in one index.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 
 def item_words(text: str | None) -> list[str]:
@@ -237,6 +237,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: Column, *, window:
                     items = [sorted({*a, *b}) for a, b in zip(items, other)]
                 out.append(_found(n_words, spans, items))
             yield pa.concat_arrays(out)
+        release()
 
     return F.arrow_udf(find, _FOUND)(text)
 

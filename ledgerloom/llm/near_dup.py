@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import kept, plain_strings
+from ledgerloom.llm.shared import kept, plain_strings, release
 from ledgerloom.llm.words import SPACED, pieces_of, word_codes
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -110,6 +110,7 @@ def _signed(docs: DataFrame, width: int, n: int) -> DataFrame:
                     key[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[offsets[i] : offsets[i + 1]].tobytes()), np.int64)
                     signature[i] = rows[k].tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(part)), pa.array(sizes), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(signature, pa.binary())], names=["id", "n", "s1", "s2", "signature"])
+        release()
 
     return docs.mapInArrow(sign, "id long, n long, s1 long, s2 long, signature binary")
 

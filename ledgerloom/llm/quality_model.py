@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import plain_strings
+from ledgerloom.llm.shared import plain_strings, release
 from ledgerloom.llm.words import pieces_of, word_codes
 
 _AS_IS = np.arange(256, dtype=np.uint8)
@@ -101,10 +101,13 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "labe
                 ids, ends = features(part, bits)
                 body = [ids[ends[k] : ends[k + 1]].tobytes() for k in range(len(part))]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, len(part)), batch.column("label").slice(start, len(part)), pa.array(body, pa.binary())], names=["key", "label", "ids"])
+        release()
 
     def fit(batches):
         examples = [(np.frombuffer(i.as_py(), np.uint32), y.as_py()) for b in batches for y, i in zip(b.column("label"), b.column("ids"))]
         yield pa.RecordBatch.from_arrays([pa.array([ftrl(examples, bits, epochs, alpha, beta, l1, l2).astype(np.float32).tobytes()], pa.binary())], names=["weights"])
+        del examples
+        release()
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)").withColumn("key", F.xxhash64("text"))
     found = rows.mapInArrow(hashed, "key long, label int, ids binary").repartition(1).sortWithinPartitions("key", "label").mapInArrow(fit, "weights binary").collect()
@@ -136,6 +139,8 @@ def score(spark, weights: np.ndarray, text: Column) -> Column:
                 logit = (sums[ends[1:]] - sums[ends[:-1]]) * 5.0 / np.maximum(1, n) + float(table[-1])
                 out.append(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
             yield pa.array(np.concatenate(out))
+            del batch, out
+            release()
 
     return F.arrow_udf(scored, "double")(text)
 

@@ -51,3 +51,14 @@ def plain_strings(values) -> pa.StringArray:
     if values.type != pa.string():
         values = values.cast(pa.string())
     return pc.fill_null(values, "") if values.null_count else values
+
+
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the machine; workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from ledgerloom.llm.shared import plain_strings
+from ledgerloom.llm.shared import plain_strings, release
 from ledgerloom.llm.words import pieces_of
 
 #: Chunks that a Python worker remembers; later ones are encoded again.
@@ -152,3 +152,5 @@ class Encoder:
             ends = np.cumsum(each)
             place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - each), each)
             yield first, flat[place], np.concatenate([[0], ends])[offsets]
+            del chunks, coded, words, known, flat, codes, each, place
+        release()

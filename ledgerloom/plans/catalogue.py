@@ -365,7 +365,7 @@ def top_errors(spark, sf_dir):
 
 @query(_q("""SELECT property_key, count(DISTINCT name) AS owner_count, count(*) AS n_records, p[1] AS mobile_1, p[2] AS mobile_2, p[3] AS mobile_3 FROM (
 SELECT *, upper(community) || '|' || upper(coalesce(building_cluster, '')) || '|' || upper(coalesce(unit_number, plot_number)) AS property_key FROM records) r
-LEFT JOIN (SELECT property_key AS pk, list(mobile_1 ORDER BY at) AS p FROM (SELECT property_key, mobile_1, min(row(source_file, source_row)) AS at FROM (SELECT *, upper(community) || '|' || upper(coalesce(building_cluster, '')) || '|' || upper(coalesce(unit_number, plot_number)) AS property_key FROM records) WHERE mobile_1 IS NOT NULL AND property_key IS NOT NULL GROUP BY ALL) GROUP BY property_key) ON pk = property_key
+LEFT JOIN (SELECT property_key AS pk, list(mobile_1 ORDER BY first_at) AS p FROM (SELECT property_key, mobile_1, min(row(source_file, source_row)) AS first_at FROM (SELECT *, upper(community) || '|' || upper(coalesce(building_cluster, '')) || '|' || upper(coalesce(unit_number, plot_number)) AS property_key FROM records) WHERE mobile_1 IS NOT NULL AND property_key IS NOT NULL GROUP BY ALL) GROUP BY property_key) ON pk = property_key
 WHERE property_key IS NOT NULL GROUP BY property_key, p"""))
 def property_grain(spark, sf_dir):
     return stats.property_grain(records(spark, sf_dir))

@@ -161,12 +161,3 @@ def stream_ingest(spark, sf_dir):
     stream = ingest.register_stream(spark, f"{root}/in", rows.schema, files_a_batch=1)
     ingest.ingest_stream(stream, f"{root}/records", f"{root}/state", counters=f"{root}/counters").awaitTermination()
     return spark.read.parquet(f"{root}/records").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def normalise_sheets(spark, sf_dir):
-    """Raw sheets through the whole plan."""
-    from ledgerloom.plans.pipeline import normalise
-
-    done, _, _ = normalise(raw_rows(spark, sf_dir), mapping.alias_table(spark))
-    return done.groupBy("source_file", "status").agg(F.count(F.lit(1)).alias("n"))

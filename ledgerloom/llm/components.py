@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import kept
+from ledgerloom.llm.shared import written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,16 +16,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     graph's diameter, and each round's links are written to the shared folder, which cuts lineage. Only counts
     reach the driver. Loops and repeated links change nothing; no links give no rows.
     """
-    edges = kept(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     state = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = kept(both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")))  # a table of its own, so that joins on a large star can be split
+        least = written(both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")))  # a table of its own, so that joins on a large star can be split
         large = both.join(least, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        large = kept(large)
-        least = kept(large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")))
+        large = written(large)
+        least = written(large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")))
         small = large.join(least, F.col("a") == F.col("of")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = kept(small.union(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).distinct())
+        edges = written(small.union(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import kept, plain_strings, release
+from ledgerloom.llm.shared import kept, plain_strings, release, written
 from ledgerloom.llm.words import SPACED, pieces_of, word_codes
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -19,6 +19,8 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 SENT_IDS = 500_000
 #: Members of a bucket that are compared with each other, or with as many others, at a time.
 BLOCK = 64
+#: Weight (shingles, and 1024 a set) of the part of a group whose sets are verified together, on average.
+PART = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,6 +117,15 @@ def _signed(docs: DataFrame, width: int, n: int) -> DataFrame:
     return docs.mapInArrow(sign, "id long, n long, s1 long, s2 long, signature binary")
 
 
+def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """One row of bucket numbers for each row of signatures."""
+    bands = signatures.shape[1] // rows
+    key = np.zeros((len(signatures), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
+        key = _mix(key * _K + signatures[:, k::rows][:, :bands].astype(np.uint64))
+    return key.view(np.int64)
+
+
 def _buckets(classes: DataFrame, rows: int) -> DataFrame:
     """(bucket, rep): one row for each band of each class."""
 
@@ -122,13 +133,8 @@ def _buckets(classes: DataFrame, rows: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
-            bands = table.shape[1] // rows
-            key = np.zeros((batch.num_rows, bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-            for k in range(rows):
-                key = _mix(key * _K + table[:, k::rows][:, :bands])
-            rep = batch.column("rep").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(rep, bands))], names=["bucket", "rep"])
+            key = band_keys(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, -1), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(batch.column("rep").to_numpy(), key.shape[1]))], names=["bucket", "rep"])
 
     return classes.select("rep", "signature").mapInArrow(band, "bucket long, rep long")
 
@@ -145,20 +151,6 @@ def _prune(a: Column, b: Column, schedule) -> Column:
     return F.arrow_udf(go, "boolean")(a, b)
 
 
-def _verified(a: Column, b: Column, percent: int) -> Column:
-    def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, y in batches:
-            out = []
-            for p, q in zip(x, y):
-                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                both = np.sort(np.concatenate([p, q]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                out.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.array(out, pa.bool_())
-
-    return F.arrow_udf(check, "boolean")(a, b)
-
-
 def _sets(texts: DataFrame, width: int) -> DataFrame:
     def make(batches):
         for batch in batches:
@@ -170,15 +162,64 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(make, "id long, shingles binary")
 
 
+def similar(a: np.ndarray, b: np.ndarray, codes: np.ndarray, offsets: np.ndarray, percent: int, most: int = 1 << 22) -> np.ndarray:
+    """Whether 100 * intersection >= ``percent`` * union for each pair of set numbers.
+
+    ``codes`` holds all sets end to end as small numbers. One set is marked at a time and its partners are counted
+    against the marks, ``most`` codes at a time.
+    """
+    order = np.lexsort((b, a))
+    a, b, sizes = a[order], b[order], np.diff(offsets)
+    marks, common = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool), np.zeros(len(a), np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else ()
+    for head, end in zip(heads, [*heads[1:], len(a)]):
+        own = codes[offsets[a[head]] : offsets[a[head] + 1]]
+        marks[own] = True
+        ends = np.cumsum(sizes[b[head:end]])
+        at = head
+        while at < end:
+            done = ends[at - head - 1] if at > head else 0
+            stop = min(end, max(at + 1, head + int(np.searchsorted(ends, done + most, side="right"))))
+            each = sizes[b[at:stop]]
+            begins = np.cumsum(each) - each
+            place = np.arange(each.sum()) + np.repeat(offsets[b[at:stop]] - begins, each)
+            common[at:stop] = np.add.reduceat(marks[codes[place]], begins, dtype=np.int64)
+            at = stop
+        marks[own] = False
+    out = np.zeros(len(a), bool)
+    out[order] = 100 * common >= percent * (sizes[a] + sizes[b] - common)
+    return out
+
+
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough; only texts in a pair are read into sets."""
-    pairs = kept(pairs)
-    wanted = kept(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    """Those of the pairs (unit, a, b) whose full shingle sets are similar enough.
+
+    Only texts in a pair are read into sets, and a set moves once to each unit that needs it, not once a pair.
+    """
+    pairs = written(pairs)
+    needs = written(pairs.select("unit", F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = kept(needs.select("id").distinct())
     few = wanted.count() <= SENT_IDS
     sets = kept(_sets(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), width))
-    one, other = sets.select(F.col("id").alias("a"), F.col("shingles").alias("p")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("q"))
-    both = pairs.join(one, "a").join(other, "b")
-    return kept(both.where(_verified(F.col("p"), F.col("q"), percent)).select("a", "b"))
+
+    def check(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        # an id with more than one text has more than one set here; a pair of texts that are alike links their ids
+        ids, body = theirs.column("id").to_numpy(), theirs.column("shingles").to_pylist()
+        sizes = np.fromiter((len(x) // 8 for x in body), np.int64, len(body))
+        codes = np.unique(np.frombuffer(b"".join(body), np.uint64), return_inverse=True)[1]
+        by = np.argsort(ids, kind="stable")
+        a, b = ours.column("a").to_numpy(), ours.column("b").to_numpy()
+        first, last = ([np.searchsorted(ids, x, side=side, sorter=by) for x in (a, b)] for side in ("left", "right"))
+        n_a, n_b = last[0] - first[0], last[1] - first[1]
+        each = n_a * n_b
+        pair = np.repeat(np.arange(len(a)), each)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
+        x, y = by[first[0][pair] + nth // np.maximum(n_b[pair], 1)], by[first[1][pair] + nth % np.maximum(n_b[pair], 1)]
+        good = np.unique(pair[similar(x, y, codes, np.concatenate([[0], np.cumsum(sizes)]), percent)]) if len(pair) else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(a[good], pa.int64()), "b": pa.array(b[good], pa.int64())})
+
+    moved = needs.join(sets.where(F.length("shingles") > 0), "id").select(F.col("unit").alias("for_unit"), "id", "shingles")
+    return written(pairs.groupBy("unit").cogroup(moved.groupBy("for_unit")).applyInArrow(check, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, rows: int = 5, bands: int = 24, miss: float = 1e-6, step: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,16 +246,23 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, rows:
     buckets = _buckets(classes, rows)
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("members")).where("lead < last").drop("last")
     members = kept(buckets.join(kept(shared), "bucket"))
-    signature = classes.select("rep", "n", "signature")
+    stars = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    first = kept(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # where a class is verified: with others of its smallest leader, in parts of bounded weight
+    grouped = classes.groupBy("rep").agg(F.sum("n").alias("n")).join(first.withColumnRenamed("b", "rep"), "rep", "left").select("rep", "n", F.coalesce("a", "rep").alias("lead"))
+    parts = grouped.groupBy("lead").agg(F.ceil(F.sum(F.col("n") + 1024) / PART).alias("parts"))
+    home = grouped.join(parts, "lead").select("rep", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("home"))
+    signature = kept(classes.select("rep", "n", "signature").join(home, "rep"))
 
     def side(name: str) -> DataFrame:
-        return signature.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"))
+        return signature.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"), F.col("home").alias(f"home_{name}"))
 
     alike_size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
     def alike(pairs: DataFrame) -> DataFrame:
         signed_pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(alike_size)
-        return _links(signed_pairs.where(_prune(F.col("sig_a"), F.col("sig_b"), schedule)).select("a", "b").distinct(), texts, width, percent)
+        alive = signed_pairs.where(_prune(F.col("sig_a"), F.col("sig_b"), schedule))
+        return _links(alive.select(_unit("home_a", "home_b"), "a", "b"), texts, width, percent)
 
     def placed_by(links: DataFrame, rows_: DataFrame, node: str, name: str) -> DataFrame:
         known = links.select(F.col("node").alias(node), F.col("component").alias(name))
@@ -224,20 +272,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, rows:
     repeated = usable.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("x"), F.max(F.struct("s1", "s2")).alias("y")).where("x <> y").select("id")
     same_id = usable.select("id", "s1", "s2").join(kept(repeated), "id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # one pair a class: with the smallest of its leaders, which in a group of copies is the same for nearly all
-    stars = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    first = kept(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = kept(alike(first).union(same_id))
+    links = written(alike(first).union(same_id))
     # then the other leaders, of which that has not made the components one
-    known = kept(components(links))
+    known = written(components(links))
     apart = placed_by(known, placed_by(known, stars.distinct(), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
-    links = kept(links.union(alike(apart.join(first, ["a", "b"], "left_anti"))))
+    links = written(links.union(alike(apart.join(first, ["a", "b"], "left_anti"))))
     # then all others that share a bucket and lie in different components still
-    known = kept(components(links))
+    known = written(components(links))
     placed = kept(placed_by(known, members.where("rep <> lead").select("bucket", "rep", "members"), "rep", "component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     open_ = kept(placed.join(kept(mixed), "bucket", "left_semi"))
-    second = _cross_pairs(open_, signature, schedule, percent).distinct()
-    final = kept(components(links.union(_links(second, texts, width, percent))))
+    second = _cross_pairs(open_, signature, schedule, percent, rows)
+    links = written(links.union(_links(second, texts, width, percent)))
+    final = written(components(links))
 
     named = classes.select("s1", "s2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     rows_ = signed.select("id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), F.when(F.col("n") > 0, F.col("s2")).alias("s2"))
@@ -247,21 +294,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, rows:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _cross_pairs(open_: DataFrame, signature: DataFrame, schedule, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that the batches of hashes do not prune.
+def _unit(a: str, b: str) -> Column:
+    return F.xxhash64(F.least(a, b), F.greatest(a, b)).alias("unit")
+
+
+def _cross_pairs(open_: DataFrame, signature: DataFrame, schedule, percent: int, rows: int) -> DataFrame:
+    """Pairs (unit, a, b) of one bucket and different components that the batches of hashes do not prune.
 
-    A bucket's members are dealt into blocks of about 64; each pair of blocks is one row.
+    A bucket's members are dealt into blocks of about 64; each pair of blocks is one row. A pair that shares
+    several buckets is compared in the first of them only.
     """
     blocks_n = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = open_.withColumn("blocks", blocks_n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     full = dealt.join(signature, "rep")
-    blocks = kept(full.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("rep", "component", "n", "signature")).alias("own")))
+    blocks = kept(full.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("rep", "component", "n", "home", "signature")).alias("own")))
     left = blocks.select("bucket", "own", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "block")
     right = blocks.select("bucket", F.col("block").alias("other"), F.col("own").alias("others"))
 
     def compare(batches):
         for batch in batches:
-            for own, others, same in zip(batch.column("own"), batch.column("others"), batch.column("same").to_pylist()):
+            for bucket, own, others, same in zip(batch.column("bucket").to_pylist(), batch.column("own"), batch.column("others"), batch.column("same").to_pylist()):
                 x, y = own.values, others.values
                 read = lambda z, name: z.field(name).to_numpy(zero_copy_only=False)
                 i, j = np.meshgrid(np.arange(len(x)), np.arange(len(y)), indexing="ij")
@@ -271,8 +323,14 @@ def _cross_pairs(open_: DataFrame, signature: DataFrame, schedule, percent: int)
                     go &= i < j
                 i, j = i[go], j[go]
                 sig = [np.frombuffer(b"".join(z.field("signature").to_pylist()), np.uint32).reshape(len(z), -1) for z in (x, y)]
+                keys = [band_keys(s, rows) for s in sig]
+                band = int(np.flatnonzero(keys[0][0] == bucket)[0])
+                new = ~(keys[0][i, :band] == keys[1][j, :band]).any(axis=1)
+                i, j = i[new], j[new]
                 alive = surviving(sig[0][i], sig[1][j], schedule)
-                a, b = read(x, "rep")[i[alive]], read(y, "rep")[j[alive]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+                i, j = i[alive], j[alive]
+                columns = [read(x, "rep")[i], read(y, "rep")[j], read(x, "home")[i], read(y, "home")[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "home_a", "home_b"])
 
-    return left.join(right, ["bucket", "other"]).select("own", "others", (F.col("block") == F.col("other")).alias("same")).mapInArrow(compare, "a long, b long")
+    pairs = left.join(right, ["bucket", "other"]).select("bucket", "own", "others", (F.col("block") == F.col("other")).alias("same"))
+    return pairs.mapInArrow(compare, "a long, b long, home_a long, home_b long").select(_unit("home_a", "home_b"), "a", "b")

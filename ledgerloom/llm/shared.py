@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +36,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the cluster's shared folder and read it from there.
+
+    Smaller than what :func:`kept` writes, and the planner starts afresh: what it has inferred about the columns
+    of a checkpoint is carried along and doubles with each round of an iteration. Partitions may change.
+    """
+    path = f"{shared_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,23 +45,44 @@ def _texts_with_hex(texts: pa.StringArray, least: int = 16) -> np.ndarray:
 
 
 class Novelty:
-    """Marginal compressed bytes of a string, given the code around it and the identifiers of its text."""
+    """Marginal compressed bytes of a string, given the code around it and the identifiers of its text.
 
-    def __init__(self, text: str, around: int = 1024):
-        self.text, self.around = text, around
-        self.names = " ".join(sorted(set(_IDENTIFIER.findall(text)))).encode()[-32_768:]
+    Identifiers count where they stand outside the string and its repeats among the ``candidates``; they prime the
+    compressor in blocks, so that none is left out.
+    """
+
+    def __init__(self, text: str, candidates: list[str], around: int = 1024, block: int = 32_768):
+        self.text, self.around, self.block = text, around, block
+        self.count = Counter(_IDENTIFIER.findall(text))
+        self.repeats = Counter(candidates)
+        self.names = sorted(self.count)
+        self.blocks = self._blocks(self.names)
+
+    def _blocks(self, names: list[str]) -> list[bytes]:
+        out, size = [[]], 0
+        for name in names:
+            if out[-1] and size + len(name) + 1 > self.block:
+                out.append([])
+                size = 0
+            out[-1].append(name)
+            size += len(name) + 1
+        return [" ".join(x).encode() for x in out]
 
     def share(self, start: int, stop: int) -> float:
         """Bytes that the string adds to what stands before it, over its length: about 0 for known text, about 0.8 and more for random characters."""
         import zstandard
 
         own = self.text[start:stop]
-        names = self.names.replace(own.encode(), b"")
+        parts = Counter(_IDENTIFIER.findall(own))
+        inside = {name for name, n in parts.items() if self.count[name] <= n * self.repeats[own]}
+        blocks = self._blocks([name for name in self.names if name not in inside]) if inside else self.blocks
         before, after = self.text[max(0, start - self.around) : start], self.text[stop : stop + self.around]
-        prime = zstandard.ZstdCompressionDict(names + b" " + after.encode() + b" " + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        press = zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False)
-        lead = before[-200:]
-        return (len(press.compress((lead + own).encode())) - len(press.compress(lead.encode()))) / len(own.encode())
+        lead, least = before.encode()[-200:], float("inf")
+        for names in blocks:
+            prime = zstandard.ZstdCompressionDict(names + b" " + after.encode() + b" " + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            press = zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False)
+            least = min(least, len(press.compress(lead + own.encode())) - len(press.compress(lead)))
+        return least / len(own.encode())
 
 
 def spans_of(text: str, *, least_share: float = 0.75, reach: int = 64) -> list[tuple[int, int, str]]:
@@ -70,15 +92,15 @@ def spans_of(text: str, *, least_share: float = 0.75, reach: int = 64) -> list[t
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     sensitive = [m.end() for m in CONTEXT.finditer(text)]
     if sensitive:
-        novelty, ends = None, np.array(sensitive)
+        ends, near = np.array(sensitive), []
         taken = sorted((s, e) for s, e, _ in base)
         for m in CANDIDATE.finditer(text):
             at = np.searchsorted(ends, m.start(), side="right") - 1
             if at < 0 or m.start() - ends[at] > reach or "\n" in text[ends[at] : m.start()] or any(s < m.end() and m.start() < e for s, e in taken):
                 continue
-            novelty = novelty or Novelty(text)
-            if novelty.share(m.start(), m.end()) >= least_share:
-                base.append((m.start(), m.end(), "novel"))
+            near.append(m)
+        novelty = Novelty(text, [m[0] for m in near]) if near else None
+        base += [(m.start(), m.end(), "novel") for m in near if novelty.share(m.start(), m.end()) >= least_share]
     return sorted(base, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -39,6 +39,28 @@ def test_novelty_reports_random_strings_in_sensitive_context():
     assert spans_of(code + "# the bearer of connection_timeout_seconds is known\n" + code) == []
 
 
+def test_novelty_of_a_secret_is_not_lowered_by_its_own_parts():
+    rng = random.Random(4)
+    chars = string.ascii_letters + string.digits
+    code = "def connect(host, port, connection_timeout_seconds):\n    return open_connection(host, port)\n"
+    some = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    forms = [lambda: "7" + some(39), lambda: f"{some(13)}/{some(13)}+{some(12)}", lambda: some(42) + "==", lambda: "sk-live-" + some(40), lambda: f"{some(14)}-{some(14)}-{some(14)}"]
+    for form in forms:
+        for _ in range(10):
+            secret = form()
+            line = f"# the bearer header is {secret} for the test host\n"
+            for text in (code + line + code, code + line + code * 20 + line):  # a repeat makes it no identifier
+                assert any(text[s:e] == secret for s, e, _ in spans_of(text)), secret
+
+
+def test_far_identifiers_are_known_wherever_they_sort():
+    rng = random.Random(6)
+    some = lambda: "".join(rng.choice(string.ascii_letters) for _ in range(30))
+    names = [first + some() for first in "AMz"]
+    text = "".join(f"{n} = 1\n" for n in [*names, *("v" + some() for _ in range(4000))]) + "".join(f"# the bearer of {n} is known\n" + "plain words here \n" * 100 for n in names)
+    assert spans_of(text) == []
+
+
 def test_odd_rows(odd_docs, odd_texts, no_docs):
     assert len(find_secrets(odd_docs).collect()) == len(odd_texts) + 4
     assert find_secrets(no_docs).collect() == []

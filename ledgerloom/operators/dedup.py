@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +40,24 @@ def exact_duplicates(rows: DataFrame, *, scope: str = "file", known: DataFrame |
     return out.withColumn("duplicate_flag", F.when(F.col("is_valid") & seen, F.lit("duplicate_identity_hash"))).drop("_first", "_known")
 
 
-@F.pandas_udf(T.DoubleType())
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp similarity of two name keys; the one function that Spark has no builtin for."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def name_ratio(a: Column, b: Column, threshold: float = 0.0) -> Column:
+    """Ratcliff/Obershelp similarity of two name keys, 0 if it is under ``threshold``; the one function that Spark has no builtin for.
+
+    What two names share is at most what their counts of characters (in 32 bins) share, so most pairs need no comparison.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        codes, names = pd.factorize(pd.concat([a, b], ignore_index=True))
+        bins, size = np.zeros((len(names), 32), np.int32), np.array([len(x) for x in names])
+        for row, x in zip(bins, names):
+            for c in x:
+                row[ord(c) % 32] += 1
+        x, y = codes[: len(a)], codes[len(a) :]
+        open_ = 2 * np.minimum(bins[x], bins[y]).sum(axis=1) >= threshold * (size[x] + size[y]) - 1e-9
+        return pd.Series([difflib.SequenceMatcher(None, i, j).ratio() if o else 0.0 for i, j, o in zip(a, b, open_)], dtype="float64")
+
+    return ratio(a, b)
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -50,13 +65,13 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(rows: DataFrame, *, threshold: float = 0.85, metric: str = "ratio", most_names: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(rows with the near-duplicate verdict, blocks that were too large to compare).
+    """(rows with the near-duplicate verdict, blocks that were compared in parts).
 
     Valid rows that are no exact duplicates are blocked by property and by first phone, inside a file. A row is a near
     duplicate if an earlier named row of its block has a name at least ``threshold`` alike; property blocks
     outrank phone blocks. Within a block only distinct name keys are compared, so cost follows names and not rows;
-    equal keys count as 1 without a comparison. ``metric`` is 'ratio' or 'levenshtein'. A block of more than
-    ``most_names`` names is compared on equal keys only and reported in the second result.
+    equal keys count as 1 without a comparison. ``metric`` is 'ratio' or 'levenshtein'. The names of a block of more
+    than ``most_names`` are dealt into parts of about as many, and each part is compared with each in a task of its own.
     """
     place = F.struct(*ORDER)
     base = rows.withColumns({"_key": C.name_key(F.col("name")), "_property": C.property_key(F.col("community"), F.col("building_cluster"), F.col("unit_number"), F.col("plot_number")), "_place": place})
@@ -65,11 +80,14 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.85, metric: str = "
     names = blocks.groupBy("source_file", "kind", "block", F.col("_key").alias("key")).agg(F.min("_place").alias("at"))
     sized = names.groupBy("source_file", "kind", "block").agg(F.count(F.lit(1)).alias("n_names"))
     large = sized.where(F.col("n_names") > most_names)
-    open_ = names.join(sized.where((F.col("n_names") > 1) & (F.col("n_names") <= most_names)), ["source_file", "kind", "block"]).drop("n_names")
-    late, early = open_.alias("late"), open_.select("source_file", "kind", "block", F.col("key").alias("other"), F.col("at").alias("other_at"))
+    part = lambda name: F.pmod(F.xxhash64(name), F.col("parts")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    open_ = names.join(sized.where(F.col("n_names") > 1), ["source_file", "kind", "block"]).withColumn("parts", F.ceil(F.col("n_names") / most_names).cast("int")).drop("n_names")
+    late = open_.select("*", part("key").alias("late_part"), each.alias("early_part"))
+    early = open_.select("source_file", "kind", "block", F.col("key").alias("other"), F.col("at").alias("other_at"), part("key").alias("early_part"), each.alias("late_part"))
     longest = F.length("key") + F.length("other")
-    pairs = late.join(early, ["source_file", "kind", "block"]).where((F.col("key") != F.col("other")) & (2 * F.least(F.length("key"), F.length("other")) >= threshold * longest))
-    scored = pairs.withColumn("score", name_ratio("key", "other") if metric == "ratio" else levenshtein_similarity(F.col("key"), F.col("other"))).where(F.col("score") >= threshold)
+    pairs = late.join(early, ["source_file", "kind", "block", "late_part", "early_part"]).where((F.col("key") != F.col("other")) & (2 * F.least(F.length("key"), F.length("other")) >= threshold * longest))
+    scored = pairs.withColumn("score", name_ratio(F.col("key"), F.col("other"), threshold) if metric == "ratio" else levenshtein_similarity(F.col("key"), F.col("other"))).where(F.col("score") >= threshold)
     same = names.select("source_file", "kind", "block", "key", F.col("key").alias("other"), F.col("at").alias("other_at"), F.lit(1.0).alias("score"))
     links = same.unionByName(scored.select("source_file", "kind", "block", "key", "other", "other_at", "score"))
     # the verdict of each row: the best earlier name of its property block, else of its phone block

@@ -17,10 +17,10 @@ from ledgerloom.llm.words import SPACED, pieces_of, word_codes
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: Ids that are sent to all executors at most; more are joined by a shuffle.
 SENT_IDS = 500_000
-#: Members of a bucket that are compared with each other, or with as many others, at a time.
-BLOCK = 64
 #: Weight (shingles, and 1024 a set) of the part of a group whose sets are verified together, on average.
 PART = 1 << 20
+#: The same for members that are compared with each other, or with another part.
+BLOCK = 1 << 19
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -159,7 +159,8 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
                 body = [sets[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(part)), pa.array(body, pa.binary())], names=["id", "shingles"])
 
-    return texts.mapInArrow(make, "id long, shingles binary")
+    # a row that repeats an id and its text gives one set
+    return texts.mapInArrow(make, "id long, shingles binary").groupBy("id", F.xxhash64("shingles").alias("of")).agg(F.first("shingles").alias("shingles")).drop("of")
 
 
 def similar(a: np.ndarray, b: np.ndarray, codes: np.ndarray, offsets: np.ndarray, percent: int, most: int = 1 << 22) -> np.ndarray:
@@ -191,6 +192,13 @@ def similar(a: np.ndarray, b: np.ndarray, codes: np.ndarray, offsets: np.ndarray
     return out
 
 
+def _sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the ids in ``wanted``; other texts are not read into sets."""
+    wanted = kept(wanted.select("id").distinct())
+    few = wanted.count() <= SENT_IDS
+    return kept(_sets(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), width))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (unit, a, b) whose full shingle sets are similar enough.
 
@@ -198,9 +206,7 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     """
     pairs = written(pairs)
     needs = written(pairs.select("unit", F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = kept(needs.select("id").distinct())
-    few = wanted.count() <= SENT_IDS
-    sets = kept(_sets(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), width))
+    sets = _sets_of(texts, needs, width)
 
     def check(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         # an id with more than one text has more than one set here; a pair of texts that are alike links their ids
@@ -229,8 +235,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, rows:
     Signatures of ``rows * bands`` minima are cut into bands; classes that share a band are
     candidates (a pair at 0.85 shares none of 24 bands of 5 with chance 8e-7). The smallest member of a bucket leads it.
     Each class is compared with the smallest of its leaders; then with its other leaders, where components
-    still differ; then members of one bucket that still lie in different components are compared in blocks of 64 by
-    64. So every candidate pair is either compared or already linked through others, and no group is listed pair by pair.
+    still differ; then members of one smallest leader that still lie in different components are compared with each other, and last
+    members of one bucket with different smallest leaders. So every candidate pair is either compared or already linked through
+    others; the last two steps compare and verify part by part of a group and return links, so no group is listed pair by pair.
     Comparing means: batches of ``step`` hashes, dropping a pair once the posterior chance that it reaches the
     threshold is under ``miss``; survivors are verified on their full sets.
 
@@ -277,13 +284,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, rows:
     known = written(components(links))
     apart = placed_by(known, placed_by(known, stars.distinct(), "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b")
     links = written(links.union(alike(apart.join(first, ["a", "b"], "left_anti"))))
-    # then all others that share a bucket and lie in different components still
+    # then the members of one smallest leader that lie in different components still
     known = written(components(links))
-    placed = kept(placed_by(known, members.where("rep <> lead").select("bucket", "rep", "members"), "rep", "component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    open_ = kept(placed.join(kept(mixed), "bucket", "left_semi"))
-    second = _cross_pairs(open_, signature, schedule, percent, rows)
-    links = written(links.union(_links(second, texts, width, percent)))
+    groups = placed_by(known, grouped.select("rep", "lead"), "rep", "component")
+    mixed = kept(groups.groupBy("lead").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("lead"))
+    own = placed_by(known, groups.join(mixed, "lead", "left_semi"), "lead", "of_lead")
+    own = own.select(F.col("lead").alias("group"), "rep", "component", (F.col("component") == F.col("of_lead")).alias("settled"), F.col("rep").alias("done"))
+    links = written(links.union(_within(own, signature, texts, width, percent, schedule)))
+    # then members of one bucket with different smallest leaders
+    known = written(components(links))
+    placed = kept(placed_by(known, members.where("rep <> lead").select("bucket", "rep"), "rep", "component").join(grouped.select("rep", "lead"), "rep"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("lead").alias("common"), F.max("lead").alias("z")).where("x < y AND common < z").select("bucket", "common")
+    rest = placed.join(kept(mixed), "bucket").select(F.col("bucket").alias("group"), "rep", "component", (F.col("lead") == F.col("common")).alias("settled"), F.col("lead").alias("done"))
+    links = written(links.union(_within(rest, signature, texts, width, percent, schedule, rows)))
     final = written(components(links))
 
     named = classes.select("s1", "s2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
@@ -298,39 +311,54 @@ def _unit(a: str, b: str) -> Column:
     return F.xxhash64(F.least(a, b), F.greatest(a, b)).alias("unit")
 
 
-def _cross_pairs(open_: DataFrame, signature: DataFrame, schedule, percent: int, rows: int) -> DataFrame:
-    """Pairs (unit, a, b) of one bucket and different components that the batches of hashes do not prune.
+def _within(members: DataFrame, signature: DataFrame, texts: DataFrame, width: int, percent: int, schedule, rows: int | None = None) -> DataFrame:
+    """Links (a, b) between similar members of one group that join different components, no more than make them one.
 
-    A bucket's members are dealt into blocks of about 64; each pair of blocks is one row. A pair that shares
-    several buckets is compared in the first of them only.
+    ``members`` has group, rep, component, settled and done. Two settled members and two with one ``done`` have been compared
+    before. A group's settled and other members are dealt into parts of bounded weight. Each pair of parts, of which
+    one at least is not settled, is a task of its own: it prunes by batches of hashes, verifies what is left on the full sets and
+    returns links only, so no pair leaves it. With ``rows`` the groups are buckets, and a pair that shares several is compared in the first.
     """
-    blocks_n = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = open_.withColumn("blocks", blocks_n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    full = dealt.join(signature, "rep")
-    blocks = kept(full.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("rep", "component", "n", "home", "signature")).alias("own")))
-    left = blocks.select("bucket", "own", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "block")
-    right = blocks.select("bucket", F.col("block").alias("other"), F.col("own").alias("others"))
-
-    def compare(batches):
-        for batch in batches:
-            for bucket, own, others, same in zip(batch.column("bucket").to_pylist(), batch.column("own"), batch.column("others"), batch.column("same").to_pylist()):
-                x, y = own.values, others.values
-                read = lambda z, name: z.field(name).to_numpy(zero_copy_only=False)
-                i, j = np.meshgrid(np.arange(len(x)), np.arange(len(y)), indexing="ij")
-                n, m = read(x, "n")[i], read(y, "n")[j]
-                go = (read(x, "component")[i] != read(y, "component")[j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-                if same:
-                    go &= i < j
-                i, j = i[go], j[go]
-                sig = [np.frombuffer(b"".join(z.field("signature").to_pylist()), np.uint32).reshape(len(z), -1) for z in (x, y)]
-                keys = [band_keys(s, rows) for s in sig]
-                band = int(np.flatnonzero(keys[0][0] == bucket)[0])
-                new = ~(keys[0][i, :band] == keys[1][j, :band]).any(axis=1)
-                i, j = i[new], j[new]
-                alive = surviving(sig[0][i], sig[1][j], schedule)
-                i, j = i[alive], j[alive]
-                columns = [read(x, "rep")[i], read(y, "rep")[j], read(x, "home")[i], read(y, "home")[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "home_a", "home_b"])
-
-    pairs = left.join(right, ["bucket", "other"]).select("bucket", "own", "others", (F.col("block") == F.col("other")).alias("same"))
-    return pairs.mapInArrow(compare, "a long, b long, home_a long, home_b long").select(_unit("home_a", "home_b"), "a", "b")
+    members = written(members)
+    sets = _sets_of(texts, members.select(F.col("rep").alias("id")), width).withColumnRenamed("id", "rep")
+    light = members.join(signature.select("rep", (F.col("n") + 1024).alias("weight")), "rep")
+    weight = lambda which: F.coalesce(F.ceil(F.sum(F.when(which, F.col("weight"))) / BLOCK), F.lit(0)).cast("int")
+    sized = light.groupBy("group").agg(weight(~F.col("settled")).alias("n_open"), weight(F.col("settled")).alias("n_rest")).where("n_open > 0 AND n_open + n_rest > 0")
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    dealt = members.join(sized, "group").withColumn("part", F.when(F.col("settled"), F.col("n_open") + part("n_rest")).otherwise(part("n_open")))
+    full = dealt.join(signature.select("rep", "n", "signature"), "rep").join(sets.where(F.length("shingles") > 0), "rep")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("settled"), F.col("n_open")).otherwise(F.col("n_open") + F.col("n_rest")) - 1)).alias("other")
+    placed = full.select("group", "part", other, "rep", "component", "settled", "done", "signature", "shingles")
+    units = placed.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
+
+    def check(table: pa.Table) -> pa.Table:
+        read = lambda name: table.column(name).to_numpy(zero_copy_only=False)
+        rep, part, done, settled = read("rep"), read("part"), read("done"), read("settled")
+        body = table.column("shingles").to_pylist()
+        sizes = np.fromiter((len(x) // 8 for x in body), np.int64, len(body))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        codes = np.unique(np.frombuffer(b"".join(body), np.uint64), return_inverse=True)[1]
+        del body
+        signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
+        of = np.unique(read("component"), return_inverse=True)[1]
+        low, high, group = (table.column(c)[0].as_py() for c in ("low", "high", "group"))
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        keys = band_keys(signed, rows) if rows else None
+        band = int(np.argmax((keys == group).any(axis=0))) if rows else 0
+        out = []
+        for k, i in enumerate(left.tolist()):
+            j = right[k + 1 :] if low == high else right
+            j = j[(of[j] != of[i]) & (done[j] != done[i]) & ~(settled[j] & settled[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
+            if band and len(j):
+                j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
+            if len(j):
+                j = j[surviving(np.broadcast_to(signed[i], (len(j), signed.shape[1])), signed[j], schedule)]
+            if len(j):
+                j = j[similar(np.full(len(j), i), j, codes, offsets, percent)]
+            for x in j[np.unique(of[j], return_index=True)[1]].tolist():
+                out.append((rep[i], rep[x]))
+                of[of == of[x]] = of[i]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return units.groupBy("group", "low", "high").applyInArrow(check, "a long, b long")

@@ -55,7 +55,7 @@ def family(rng, n_words, n_copies, edits):
     return [" ".join(w) for w in made]
 
 
-@pytest.mark.parametrize("block", [64, 3])
+@pytest.mark.parametrize("block", [1 << 19, 4000])
 def test_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
     rng = random.Random(11)

@@ -24,12 +24,12 @@ def to_planes(ids: np.ndarray, kind: str = "bit", level: int = 1) -> list[bytes]
     import zstandard
 
     press = zstandard.ZstdCompressor(level=level, write_checksum=True)
-    octets = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)[:, : max(1, (int(ids.max(initial=0)).bit_length() + 7) // 8)]
-    if kind == "byte":
-        return [press.compress(octets[:, i].tobytes()) for i in range(octets.shape[1])]
     width = max(1, int(ids.max(initial=0)).bit_length())
-    rows = np.packbits(np.unpackbits(octets, axis=1, bitorder="little")[:, :width].T, axis=1, bitorder="little")
-    return [press.compress(x.tobytes()) for x in rows]
+    small = np.ascontiguousarray(ids, "<u2" if width <= 16 else "<u4")
+    if kind == "byte":
+        octets = small.view(np.uint8).reshape(len(small), small.dtype.itemsize)
+        return [press.compress(octets[:, i].tobytes()) for i in range(-(-width // 8))]
+    return [press.compress(np.packbits((small & small.dtype.type(1 << bit)) != 0, bitorder="little").tobytes()) for bit in range(width)]
 
 
 def from_planes(planes: list[bytes], n_ids: int, kind: str = "bit") -> np.ndarray:
@@ -37,17 +37,15 @@ def from_planes(planes: list[bytes], n_ids: int, kind: str = "bit") -> np.ndarra
 
     press = zstandard.ZstdDecompressor()
     raw = [np.frombuffer(press.decompress(p), np.uint8) for p in planes]
-    octets = np.zeros((n_ids, 4), np.uint8)
     if kind == "byte":
+        octets = np.zeros((n_ids, 4), np.uint8)
         for i, x in enumerate(raw):
             octets[:, i] = x
-    else:
-        bits = np.zeros((32, n_ids), np.uint8)
-        for i, x in enumerate(raw):
-            bits[i] = np.unpackbits(x, count=n_ids, bitorder="little")
-        used = -(-len(raw) // 8)
-        octets[:, :used] = np.packbits(bits[: 8 * used].T, axis=1, bitorder="little")
-    return octets.view("<u4").reshape(-1)
+        return octets.view("<u4").reshape(-1)
+    out = np.zeros(n_ids, "<u2" if len(raw) <= 16 else "<u4")
+    for bit, x in enumerate(raw):
+        out |= np.unpackbits(x, count=n_ids, bitorder="little").astype(out.dtype) << out.dtype.type(bit)
+    return out.astype("<u4")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, block: int = 65_536, kind: str = "bit", end_id: int = 2, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -55,7 +53,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, block:
 
     ``files`` ranges of ids (default: the session's shuffle width) are encoded side by side, one file
     each. A null or empty text writes the end id alone; null ids come first; rows that repeat an id
-    are documents of their own, ordered by a hash of their text. Other columns are not read.
+    are documents of their own, ordered by a hash of their text; many of them are dealt over several files. Other columns are not read.
+    Texts go through the tokenizer as it is: one that holds the text of an added token gets that token's id.
     """
 
     def encode(batches):
@@ -100,7 +99,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, block:
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind_of_id = source.schema["id"].dataType.simpleString()
-    ordered = source.repartitionByRange(files or shuffle_width(docs.sparkSession), "id").sortWithinPartitions(F.col("id"), text_hash())
+    ordered = source.repartitionByRange(files or shuffle_width(docs.sparkSession), F.col("id"), text_hash(), F.rand(7)).sortWithinPartitions(F.col("id"), text_hash())
     ordered.mapInArrow(encode, f"file int, chunk int, first long, n_ids int, planes array<binary>, kind string, doc_ids array<{kind_of_id}>, doc_firsts array<long>, doc_tokens array<long>").write.parquet(f"{path}/chunks")
     chunks = docs.sparkSession.read.parquet(f"{path}/chunks")
     chunks.select("file", "chunk", "first", "n_ids", F.size("doc_ids").alias("n_docs"), F.expr("aggregate(planes, 0L, (n, p) -> n + octet_length(p))").alias("n_bytes")).write.parquet(f"{path}/index")
@@ -110,7 +109,7 @@ def read_token_files(spark: SparkSession, path: str, *, id_col: str = "doc_id")
     """One row a document in the files: id_col, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
     pieces = _document_pieces(spark.read.parquet(f"{path}/chunks"), whole_ids=True)
     whole = pieces.groupBy("file", "first").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    ids = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
+    ids = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), ""))
     return _placed(spark, whole.withColumn("ids", ids).drop("parts"), path, id_col)
 
 
@@ -120,7 +119,7 @@ def document_checksums(spark: SparkSession, path: str, *, id_col: str = "doc_id"
     whole = pieces.groupBy("file", "first").agg(
         F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.max("crc").alias("crc"), F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("chunk", "ids")))).alias("parts")
     )
-    ids = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
+    ids = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), ""))
     return _placed(spark, whole.withColumn("ids_crc32", F.coalesce("crc", F.crc32(ids))).drop("parts", "crc"), path, id_col)
 
 

@@ -93,12 +93,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def pack(pieces: DataFrame, *, capacity: int = 4096, length_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "start"), tokens_a_task: int = TOKENS_A_TASK) -> DataFrame:
     """Give each piece a sequence_id and an offset in it; no sequence exceeds ``capacity``.
 
-    Pieces are dealt by the hash of ``key_cols`` into tasks of about ``tokens_a_task`` tokens, and
+    Pieces are dealt by the hash of their place in the table (so equal keys spread too) into tasks of about ``tokens_a_task`` tokens, and
     each task packs its own pieces, longest first (ties by key), so a task's memory does not grow
     with the input and at most a few windows a task stay part-empty. sequence_id is the task's
     number times 2**32 plus the window's number there. All columns of ``pieces`` are kept;
     an empty table gives an empty result. Every length must lie in 1..capacity.
     """
+    pieces = kept(pieces)
     total = pieces.agg(F.sum(length_col)).first()[0] or 0
     tasks = max(1, -(-total // tokens_a_task))
     sequence, place = "sequence_id", "offset"
@@ -118,12 +119,14 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, length_col: str = "length",
         yield from table.to_batches(max_chunksize=10_000)
 
     schema = T.StructType([*pieces.schema.fields, T.StructField(sequence, T.LongType()), T.StructField(place, T.LongType())])
-    return pieces.repartition(int(tasks), *key_cols).mapInArrow(fill, schema)
+    return pieces.repartition(int(tasks), F.monotonically_increasing_id()).mapInArrow(fill, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     """Encode, cut and pack all documents: one row a piece, with sequence_id and offset.
 
-    Columns: those of :func:`token_pieces`, sequence_id, offset. The same defined results hold.
+    Columns: those of :func:`token_pieces`, sequence_id, offset. Null and empty texts are pieces of the end id alone, null and
+    repeated ids are documents of their own, an empty table gives an empty result. Texts go through the tokenizer as it is: one that
+    holds the text of an added token gets that token's id.
     """
-    return pack(kept(token_pieces(docs, tokenizer_path, window=window, end_id=end_id, with_ids=with_ids)), capacity=window)
+    return pack(token_pieces(docs, tokenizer_path, window=window, end_id=end_id, with_ids=with_ids), capacity=window)

@@ -6,16 +6,19 @@ tokenizer's own pre-tokenizer is certain to cut, so joined chunk ids equal the i
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ledgerloom.llm.shared import plain_strings, release
 from ledgerloom.llm.words import pieces_of
 
-#: Chunks that a Python worker remembers; later ones are encoded again.
-REMEMBERED = 300_000
+#: Chunks that a Python worker remembers, and their bytes; later ones are encoded again.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 32 << 20
 #: Bytes of text that are cut and encoded at a time.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 6 << 20
 
 _LETTER, _STOP, _SPACE, _LINE = 1, 2, 3, 4
 
@@ -44,11 +47,11 @@ def _solid_before(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+def cut(texts: pa.StringArray, whole: np.ndarray | None = None) -> tuple[pa.StringArray, np.ndarray]:
     """(chunks of all texts in order, offsets of each text's chunks).
 
     Cuts lie before a single space, around a single line feed, and between an ASCII letter and a
-    full stop or comma. Byte-level and word-level pre-tokenizers all end a token there.
+    full stop or comma. Byte-level and word-level pre-tokenizers all end a token there. Texts that ``whole`` marks are one chunk.
     """
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
@@ -64,6 +67,8 @@ def cut(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
         letter = np.zeros(len(data), bool)
         letter[1:] = kind[:-1] == _LETTER
         starts[:-1] |= (kind == _STOP) & letter
+    for i in np.flatnonzero(whole).tolist() if whole is not None else ():
+        starts[offsets[i] : offsets[i + 1]] = False
     starts[offsets] = True
     places = np.flatnonzero(starts).astype(np.int32)
     chunks = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data)))
@@ -88,9 +93,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # what is remembered: each chunk's number, and the ids of all numbered chunks end to end
-        self.number: dict[str, int] = {}
+        # a text with an added token in it is never cut: what stands beside that token may belong to it
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(sorted(added, key=len, reverse=True))
+        # what is remembered: chunks, and the ids of all of them end to end
+        self.chunks = pa.array([], pa.string())
         self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         # chunks are encoded many at a time, apart from each other by a character that is a token of its own
         self.between, self.mark = self._separator()
@@ -113,7 +120,7 @@ class Encoder:
         order, sizes, ids, rest = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], []
         joined = []
         for i, c in enumerate(chunks):
-            (joined if self.mark >= 0 and c.isprintable() and shape not in c and c[:2] != "  " and c[-1] != " " else rest).append(i)
+            (joined if self.mark >= 0 and len(c) < 1000 and c.isprintable() and shape not in c and c[:2] != "  " and c[-1] != " " else rest).append(i)
         for at in range(0, len(joined), 2000):
             own = joined[at : at + 2000]
             got = np.array(self._plain([self.between.join([chunks[i] for i in own])])[0], np.uint32)
@@ -134,21 +141,22 @@ class Encoder:
     def encode(self, texts: pa.Array):
         """Yield (number of the first text, ids of a run of texts as one array, offsets of each text's ids)."""
         for first, part in pieces_of(plain_strings(texts), PIECE_BYTES):
-            chunks, offsets = cut(part)
+            whole = pc.match_substring_regex(part, self.added, ignore_case=True).to_numpy(zero_copy_only=False) if self.added else None
+            chunks, offsets = cut(part, whole)
             coded = chunks.dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            known = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+            words = coded.dictionary
+            known = pc.fill_null(pc.index_in(words, value_set=self.chunks), -1).to_numpy().astype(np.int64)
             new = np.flatnonzero(known < 0)
-            order, sizes, ids = self._encode([words[i] for i in new.tolist()])
-            held = len(self.number)
+            order, sizes, ids = self._encode(words.take(pa.array(new)).to_pylist())
+            held = len(self.chunks)
             known[new[order]] = held + np.arange(len(new))
             flat, begins = np.concatenate([self.ids, ids]), np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
-            for n, i in enumerate(new[order][: max(0, REMEMBERED - held)].tolist()):
-                self.number[words[i]] = held + n
-            held = len(self.number)
-            self.ids, self.begins = flat[: begins[held]], begins[: held + 1]
+            if held < REMEMBERED and self.chunks.nbytes < REMEMBERED_BYTES and len(new):
+                self.chunks = pa.concat_arrays([self.chunks, words.take(pa.array(new[order][: REMEMBERED - held]))])
+                held = len(self.chunks)
+                self.ids, self.begins = flat[: begins[held]], begins[: held + 1]
             codes = known[coded.indices.to_numpy(zero_copy_only=False)]
-            each = begins[codes + 1] - begins[codes]
+            each = (begins[1:] - begins[:-1])[codes]
             ends = np.cumsum(each)
             place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - each), each)
             yield first, flat[place], np.concatenate([[0], ends])[offsets]

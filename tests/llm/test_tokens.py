@@ -18,9 +18,7 @@ NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 @functools.cache
 def loaded(name):
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path(name))
 
 
 def plain(name, text):
@@ -41,11 +39,28 @@ def test_chunked_ids_equal_plain_ids(name, odd_texts):
 
 @pytest.mark.parametrize("name", NAMES)
 @settings(max_examples=60, deadline=None)
-@given(texts=st.lists(st.text(alphabet=st.sampled_from("ab Z.,\n\t|'s3é 　́×日!\r\x1c"), max_size=40), max_size=6))
+@given(texts=st.lists(st.lists(st.sampled_from([*"ab Z.,\n\t|'s3é 　́×日!\r\x1c", "<|endoftext|>", "<|StartOfText|>"]), max_size=40).map("".join), max_size=6))
 def test_chunked_ids_of_any_text(name, texts):
     assert coded(name, texts) == [plain(name, t) for t in texts]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_added_tokens_keep_their_ids(name):
+    texts = ["one <|endoftext|> two", "a\n<|startoftext|>\nb, c", "<|ENDOFTEXT|> x", " <|endoftext|><|startoftext|> ", "x.<|endoftext|>.y <|endo text|>", "none. of them\nhere"]
+    assert coded(name, texts) == [plain(name, t) for t in texts]
+    special = {t: i for i, t in loaded(name).get_added_tokens_decoder().items() if t.content == "<|endoftext|>"}
+    assert set(special.values()) <= set(coded(name, texts)[0])
+
+
+def test_equal_rows_spread_over_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "one two three " * 50)] * 400, "doc_id long, text string").repartition(4)
+    pieces = packing.pack(packing.token_pieces(docs, tokenizer_path(NAMES[1])), tokens_a_task=8000)
+    assert len({r.sequence_id >> 32 for r in pieces.select("sequence_id").collect()}) > 3
+    bitplanes.write_token_files(docs, f"file://{tmp_path}/same", tokenizer_path(NAMES[0]), files=4)
+    assert spark.read.parquet(f"file://{tmp_path}/same/index").select("file").distinct().count() > 2
+    assert bitplanes.document_checksums(spark, f"file://{tmp_path}/same").count() == 400
+
+
 def test_packing_covers_each_id_once(odd_docs, odd_texts):
     rows = packing.pack_documents(odd_docs, tokenizer_path(NAMES[1]), window=512).collect()
     want = {i: [*plain(NAMES[1], t), 2] for i, t in enumerate(odd_texts)}

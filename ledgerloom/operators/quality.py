@@ -101,19 +101,23 @@ def validate(cleaned: DataFrame) -> DataFrame:
 def classify(rows: DataFrame) -> DataFrame:
     """Give each validated row (with ``duplicate_flag``, null where it is none) its status.
 
-    INVALID, else DUPLICATE, else VALID (a name, a contact and a property context), else INCOMPLETE with one reason flag.
+    INVALID, else DUPLICATE, else VALID (a name, a contact and a property context), else INCOMPLETE with one reason flag: name and contact
+    missing, name, contact, or property info.
     """
     contact = filled("mobile_1") | filled("email_address")
     status = F.when(~F.col("is_valid"), "INVALID").when(filled("duplicate_flag"), "DUPLICATE").when(filled("name") & contact & F.col("has_context"), "VALID").otherwise("INCOMPLETE")
-    reason = F.when(~filled("name"), "incomplete_missing_name").when(~contact, "incomplete_missing_contact").otherwise("incomplete_missing_property")
+    reason = (
+        F.when(~filled("name") & ~contact, "incomplete_missing_name_and_contact").when(~filled("name"), "incomplete_missing_name")
+        .when(~contact, "incomplete_missing_contact").otherwise("incomplete_missing_property_info")
+    )
     more = F.array_compact(F.array(F.when(F.col("status") == "DUPLICATE", F.col("duplicate_flag")), F.when(F.col("status") == "INCOMPLETE", reason)))
     return rows.withColumn("status", status).withColumn("validation_flags", F.concat("validation_flags", more))
 
 
 def error_rows(records: DataFrame) -> DataFrame:
     """One row for each INVALID record, with its non-empty fields as JSON."""
-    payload = F.to_json(F.struct("source_file", "source_sheet", "source_row"))
-    return records.where("status = 'INVALID'").select("source_file", "source_sheet", "source_row", F.lit("WARNING").alias("severity"), F.lit("INVALID_RECORD").alias("code"), F.concat_ws(",", "validation_flags").alias("message"), payload.alias("payload"))
+    payload = F.to_json(F.struct(*[F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)).alias(c) for c in V.FIELDS if c in records.columns]))  # null fields are left out
+    return records.where("status = 'INVALID'").select("source_file", "source_sheet", "source_row", F.lit("WARNING").alias("severity"), F.lit("INVALID_RECORD").alias("code"), F.concat_ws("; ", "validation_flags").alias("message"), payload.alias("payload"))
 
 
 def sheet_errors(sheets: DataFrame) -> DataFrame:

@@ -199,9 +199,9 @@ def populated_fields(spark, sf_dir):
     return quality.standardise(views.register(spark, sf_dir)).select("source_row", quality.populated_fields().alias("n"))
 
 
-@query(f"WITH {S.RECORDS} SELECT source_file, source_sheet, source_row, 'INVALID_RECORD' AS code, array_to_string(flags2, ',') AS message FROM records WHERE status = 'INVALID'")
+@query(f"WITH {S.RECORDS} SELECT source_file, source_sheet, source_row, 'INVALID_RECORD' AS code, 'WARNING' AS severity, array_to_string(flags2, '; ') AS message FROM records WHERE status = 'INVALID'")
 def error_rows(spark, sf_dir):
-    return quality.error_rows(records_of(views.register(spark, sf_dir))).select(*ROW, "source_sheet", "code", "message")
+    return quality.error_rows(records_of(views.register(spark, sf_dir))).select(*ROW, "source_sheet", "code", "severity", "message")
 
 
 @query(f"WITH {S.RECORDS} SELECT source_file, CASE WHEN count(*) FILTER (status = 'INVALID') > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END AS job_status FROM records GROUP BY source_file")

@@ -157,7 +157,7 @@ def records(scope: str = "file") -> str:
     return f"""{CHECKED},
 marked AS (SELECT *, CASE WHEN is_valid AND row_number() OVER (PARTITION BY is_valid, {keys} ORDER BY source_file, source_sheet, source_row) > 1 THEN 'duplicate_identity_hash' END AS duplicate_flag FROM checked),
 judged AS (SELECT *, CASE WHEN NOT is_valid THEN 'INVALID' WHEN duplicate_flag IS NOT NULL THEN 'DUPLICATE' WHEN name IS NOT NULL AND (mobile_1 IS NOT NULL OR email_address IS NOT NULL) AND has_context THEN 'VALID' ELSE 'INCOMPLETE' END AS status FROM marked),
-records AS (SELECT *, source_row AS id, array_to_string(list_concat(flags2, CASE WHEN status = 'DUPLICATE' THEN [duplicate_flag] WHEN status = 'INCOMPLETE' THEN [CASE WHEN name IS NULL THEN 'incomplete_missing_name' WHEN mobile_1 IS NULL AND email_address IS NULL THEN 'incomplete_missing_contact' ELSE 'incomplete_missing_property' END] ELSE [] END), ',') AS validation_flags FROM judged)"""
+records AS (SELECT *, source_row AS id, array_to_string(list_concat(flags2, CASE WHEN status = 'DUPLICATE' THEN [duplicate_flag] WHEN status = 'INCOMPLETE' THEN [CASE WHEN name IS NULL AND mobile_1 IS NULL AND email_address IS NULL THEN 'incomplete_missing_name_and_contact' WHEN name IS NULL THEN 'incomplete_missing_name' WHEN mobile_1 IS NULL AND email_address IS NULL THEN 'incomplete_missing_contact' ELSE 'incomplete_missing_property_info' END] ELSE [] END), ',') AS validation_flags FROM judged)"""
 
 
 RECORDS = records()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Delimiters told apart, file suffixes taken, and first characters of files to pass over.
@@ -14,27 +14,34 @@ PASSED_OVER = ["~$", "._", "0-"]
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
 
-def best_delimiter(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(delimiter, n): the delimiter that the given lines hold most often; the first listed on ties."""
-    counts = lines.agg(*[F.sum(F.length(column) - F.length(F.replace(F.col(column), F.lit(d), F.lit("")))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)])
+def best_delimiter(lines: DataFrame, column: str = "value", by: str = "source_file") -> DataFrame:
+    """(by, delimiter, n): the delimiter that the lines of each file hold most often; the first listed on ties."""
+    counts = lines.groupBy(by).agg(*[F.sum(F.length(column) - F.length(F.replace(F.col(column), F.lit(d), F.lit("")))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)])
     pairs = F.array(*[F.struct(F.coalesce(f"d{i}", F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)])
-    return counts.select(F.array_max(pairs).alias("p")).select("p.delimiter", "p.n")
+    return counts.select(by, F.array_max(pairs).alias("p")).select(by, "p.delimiter", "p.n")
 
 
 def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, sheet: str = "Sheet1") -> DataFrame:
     """Delimited files as raw rows: (source_file, source_sheet, source_row, cells), cells trimmed and empty ones null.
 
-    Without a delimiter it is found from a thousand lines. Rows may have any number of cells. Lines are numbered
-    within a file by their place in it, so files are read whole by line and never gathered.
+    Without a delimiter each file gets the one its own lines hold most often. Rows may have any number of cells. Lines are numbered
+    from 0 within their file: a line's place in its part of the file (a partition) plus the lines of the file's parts before it, of
+    which there is one count for each part. A line break inside quotes ends a row.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
-    delimiter = delimiter or best_delimiter(lines.limit(1000)).first()["delimiter"]
-    pattern = rf"\s*{'[|]' if delimiter == '|' else delimiter}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
-    cells = F.transform(F.split(F.regexp_replace("value", "^﻿", ""), pattern), lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"')), F.lit("")))
-    numbered = lines.withColumn("_at", F.monotonically_increasing_id()).select("source_file", F.lit(sheet).alias("source_sheet"), "_at", cells.alias("cells"))
-    first = numbered.groupBy("source_file").agg(F.min("_at").alias("_first"))
-    # lines of a file that lies in one partition are numbered from 0; later partitions keep their order
-    return numbered.join(first, "source_file").select("source_file", "source_sheet", (F.col("_at") - F.col("_first")).alias("source_row"), "cells")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
+    placed = lines.withColumn("at", F.monotonically_increasing_id())
+    blocks = placed.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = blocks.select("path", "block", "first", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
+    rows = placed.join(before, ["path", "block"])
+    if delimiter is None:
+        rows = rows.join(best_delimiter(lines, by="path").drop("n"), "path")
+    else:
+        rows = rows.withColumn("delimiter", F.lit(delimiter))
+    text, cells = F.regexp_replace("value", "^\ufeff", ""), F.lit(None)
+    for d in DELIMITERS if delimiter is None else [delimiter]:
+        cells = F.when(F.col("delimiter") == d, F.split(text, rf"\s*{'[|]' if d == '|' else d}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")).otherwise(cells)
+    tidy = F.transform(cells, lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"')), F.lit("")))
+    return rows.select("source_file", F.lit(sheet).alias("source_sheet"), (F.col("before") + F.col("at") - F.col("first")).alias("source_row"), tidy.alias("cells"))
 
 
 def cell_text(cell: Column) -> Column:
@@ -66,11 +73,12 @@ def allowed(path: Column) -> Column:
 def file_format(content: Column, path: Column) -> Column:
     """xlsx, encrypted, xls, html, csv or unknown, by the first bytes and not by the suffix (but for csv)."""
     head = F.hex(F.substring(content, 1, 8))
-    wide = F.decode(F.substring(content, 1, 2048), "UTF-16LE")
+    wide = F.hex(F.substring(content, 1, 2048))
+    holds = lambda name: wide.contains(name.encode("utf-16-le").hex().upper())  # noqa: E731  bytes of any kind, so they are not decoded
     start = F.lower(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"))
     ole = head == "D0CF11E0A1B11AE1"
     return (
-        F.when(head.startswith("504B0304"), "xlsx").when(ole & (wide.contains("EncryptedPackage") | wide.contains("StrongEncryption")), "encrypted").when(ole, "xls")
+        F.when(head.startswith("504B0304"), "xlsx").when(ole & (holds("EncryptedPackage") | holds("StrongEncryption")), "encrypted").when(ole, "xls")
         .when(start.contains("<html") | start.contains("<table"), "html").when(F.lower(path).endswith(".csv"), "csv").otherwise("unknown")
     )
 

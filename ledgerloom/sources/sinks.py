@@ -22,9 +22,9 @@ EXPORT = {
 }
 
 
-def write_records(records: DataFrame, path: str, *, replace: bool = False) -> None:
-    """Append to the record table, or replace the files that the records come from; both in one atomic job."""
-    writer = records.write.partitionBy("source_file")
+def write_records(records: DataFrame, path: str, *, replace: bool = False, parts: tuple[str, ...] = ("source_file",)) -> None:
+    """Append to the record table, or replace the ``parts`` (files, by default) that the records belong to; both in one atomic job."""
+    writer = records.write.partitionBy(*parts)
     if replace:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators.stats import run_counters
@@ -13,25 +14,23 @@ from ledgerloom.sources.sinks import write_records
 def append_batch(target: str, counters: str | None = None):
     """A foreachBatch function: rows of mapped text in, classified records out.
 
-    A row whose identity the record table at ``target`` holds already is a DUPLICATE and is kept as such.
-    Counters of each batch go to ``counters``.
+    A row whose identity the record table at ``target`` holds already from another batch is a DUPLICATE and is kept as such.
+    Counters of each batch go to ``counters``. Both tables are parted by batch_id, and a batch that is tried again replaces what it wrote.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            known = spark.read.parquet(target).select("identity_hash", "source_file")
+            known = spark.read.parquet(target).where(F.col("batch_id") < batch_id).select("identity_hash", "source_file")
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             known = None
         records = records_of(batch, known=known, scope="global").persist()
         try:
-            write_records(records, target)
+            write_records(records.withColumn("batch_id", F.lit(batch_id)), target, replace=True, parts=("batch_id", "source_file"))
             if counters:
-                from pyspark.sql import functions as F
-
-                run_counters(records).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(counters)
+                write_records(run_counters(records).withColumn("batch_id", F.lit(batch_id)), counters, replace=True, parts=("batch_id",))
         finally:
             records.unpersist()
 

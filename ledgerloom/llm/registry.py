@@ -105,10 +105,10 @@ covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0,
 counts AS (
   SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN covered USING (r)),
 rules AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
-broken AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 50 * n_dup_lines > n_words AS is_broken FROM rules),
+broken AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines AS is_broken FROM rules),
 hosts AS (SELECT source, count(*) AS n, count(*) FILTER (is_broken) AS failed FROM broken GROUP BY source),
 spread AS (SELECT sum(failed) / sum(n) AS mean, sum(n) AS total, count(*) AS k, sum(n * (failed / n) * (failed / n)) AS squares FROM hosts),
 prior AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(squares / total - mean * mean - mean * (1 - mean) * k / total, 1e-12) - 1, 1.0), 10000.0) AS strength FROM spread),

@@ -37,6 +37,14 @@ def test_bad_host_loses_its_documents(spark):
     assert got[2001].host_rate < 1  # one document alone is shrunk towards the rest
 
 
+def test_clean_host_of_code_like_texts_stays(spark):
+    code = lambda k: "\n".join(f"call{k}_{i} ( first{i} , second{i} ) {{\n  return value{k}_{i} ;\n}}" for i in range(40))
+    rows = [(i, code(i), "code") for i in range(60)] + [(100 + i, "\n".join(f"word{j} of {i} other{j} more{j} and{j} last{j}\n)\n)" for j in range(20)), "menus") for i in range(60)] + [(200 + i, " ".join(f"w{i}x{j}" for j in range(90)), "prose") for i in range(300)]
+    got = {r.doc_id: r for r in judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].kept and not got[i].broken and got[i].n_dup_lines == 39 and got[i].n_lines == 120 for i in range(60))
+    assert all(got[100 + i].broken and not got[100 + i].base_failed and not got[100 + i].kept for i in range(60))  # the host goes, not the base
+
+
 def test_plan_has_no_python(odd_docs):
     rows = judged(odd_docs)
     assert "Python" not in rows._jdf.queryExecution().toString() and "Arrow" not in rows._jdf.queryExecution().toString()

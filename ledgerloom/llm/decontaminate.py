@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import plain_strings, release
+from ledgerloom.llm.shared import plain_strings, release, written
 from ledgerloom.llm.words import ALPHANUMERIC, pieces_of, word_codes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 #: Bytes of benchmark text that are searched for together; a larger benchmark goes in as many blocks as it needs.
 BLOCK_BYTES = 2 << 20
+#: Blocks that one scan searches at most.
+BLOCKS_A_SCAN = 8
 #: Bytes of training text in one index.
 SHARD_BYTES = 8 << 20
 
@@ -214,24 +217,40 @@ def blocks_of(benchmark: DataFrame, window: int, *, id_col: str = "item_id", tex
         yield Phrases([(r["name"], r["text"]) for r in part.collect()], window)
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, text: Column, *, window: int = 10, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Column:
-    """A struct column for each document: n_words, merged spans of hit words (start, stop) and sorted items.
+def with_occurrences(rows: DataFrame, benchmark: DataFrame, text: Column, *, window: int = 10, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, blocks_a_scan: int = BLOCKS_A_SCAN) -> DataFrame:
+    """The rows with a struct column ``found``: n_words, merged spans of hit words (start, stop) and sorted items of ``text``.
 
     Words are runs of ASCII letters and digits and of other non-ASCII characters, A-Z in lower case.
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
     window. Items with a null id or text have no windows; rows that repeat an item id add theirs to it. A null text has
-    no words. Each task indexes whole documents, so nothing is shuffled; each block of the benchmark is
-    searched in the same scan.
+    no words. Each task indexes whole documents, so nothing is shuffled. A scan searches ``blocks_a_scan`` blocks of the
+    benchmark at most, which bounds what is broadcast; a larger benchmark takes further scans over the rows,
+    written with what has been found by then, and the blocks of a scan are released after it.
     """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, window, id_col=item_col, text_col=item_text_col, block_bytes=block_bytes)]
-
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+    spark = rows.sparkSession
+    blocks, sent, scans = blocks_of(benchmark, window, id_col=item_col, text_col=item_text_col, block_bytes=block_bytes), [], 0
+    while own := list(islice(blocks, blocks_a_scan)):
+        if scans:
+            rows = written(rows)
+            for old in sent:
+                old.destroy()
+        sent = [spark.sparkContext.broadcast(b) for b in own]
+        rows = rows.withColumn("found", _finder(sent)(text, F.col("found") if scans else F.lit(None).cast(_FOUND)))
+        scans += 1
+    return rows
+
+
+def _finder(sent: list):
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, before in batches:
             out = [_found([], [], [])]
-            for _, part in pieces_of(plain_strings(batch), SHARD_BYTES):
+            for at, part in pieces_of(plain_strings(texts), SHARD_BYTES):
                 found = [b.value.find(part) for b in sent]
                 n_words, spans, items = found[0]
+                earlier = before.slice(at, len(part))
+                if earlier.null_count < len(earlier):
+                    known = earlier.to_pylist()
+                    found.append((n_words, [[(s["start"], s["stop"]) for s in k["spans"]] for k in known], [k["items"] for k in known]))
                 for _, more, other in found[1:]:
                     spans = [merged(a, b) for a, b in zip(spans, more)]
                     items = [sorted({*a, *b}) for a, b in zip(items, other)]
@@ -239,7 +258,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: Column, *, window:
             yield pa.concat_arrays(out)
         release()
 
-    return F.arrow_udf(find, _FOUND)(text)
+    return F.arrow_udf(find, _FOUND)
 
 
 def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -256,7 +275,7 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """Per document: id_col, n_words, n_hit, n_items, items (sorted as strings), spans, contaminated. Other columns are not read."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    found = rows.select(id_col, occurrences(rows, benchmark, F.col("_text"), window=window, **more).alias("found")).select(id_col, "found.*")
+    found = with_occurrences(rows, benchmark, F.col("_text"), window=window, **more).select(id_col, "found.*")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return found.select(id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
 

@@ -61,11 +61,11 @@ def test_index_ranks_and_places():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
-@pytest.mark.parametrize("block", [D.BLOCK_BYTES, 100])
-def test_query_over_odd_documents(spark, odd_docs, odd_texts, block):
+@pytest.mark.parametrize("block,scan", [(D.BLOCK_BYTES, 8), (100, 8), (2000, 2)])
+def test_query_over_odd_documents(spark, odd_docs, odd_texts, block, scan):
     items = [(3, odd_texts[30]), (12, odd_texts[31]), (100, "line one"), (101, None), (None, "a"), (12, "the the")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = D.contamination(odd_docs, bench, window=10, block_bytes=block).collect()
+    rows = D.contamination(odd_docs, bench, window=10, block_bytes=block, blocks_a_scan=scan).collect()
     want = brute(odd_texts, [(str(i), t) for i, t in items if i is not None and t], 10)
     assert len(rows) == len(odd_texts) + 4
     for r in rows:

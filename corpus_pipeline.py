@@ -45,7 +45,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside benchmark windows leave the texts; clean documents stay as they are."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = rows.select("row", decontaminate.occurrences(docs, read_table(spark, sf_dir, "benchmark"), F.col("row.text"), window=10).alias("found"))
+    found = decontaminate.with_occurrences(rows, read_table(spark, sf_dir, "benchmark"), F.col("row.text"), window=10)
     hit = F.size("found.spans") > 0
     cut = decontaminate.without_spans(F.when(hit, F.col("row.text")), F.when(hit, F.col("found.spans")))
     return found.select("row", F.coalesce(cut, F.col("row.text")).alias("cut")).select(*_with_text(docs.columns, F.col("cut")))

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import cleaners as C
 
-#: Words in headings by which a column is taken where no alias is known, in order.
-HEADING_WORDS = {"name": ["NAME", "OWNER"], "mobile_1": ["MOBILE", "PHONE", "CONTACT"], "email_address": ["MAIL"], "unit_number": ["UNIT", "FLAT"], "building_cluster": ["BUILDING", "TOWER"], "community": ["COMMUNITY", "AREA"], "project": ["PROJECT"], "developer": ["DEVELOPER"]}
+# Headings from which the older loader fills a field that no alias has filled; the first one that a row has counts.
+FALLBACK_HEADINGS = {
+    "name": ["NAME", "FULL NAME", "OWNER NAME", "CUSTOMER NAME", "BUILDING NAME", "PROJECT", "DEVELOPMENT"],
+    "mobile": ["MOBILE", "PHONE", "CONTACT"],
+    "community": ["COMMUNITY", "AREA", "LOCATION"],
+    "unit_number": ["UNIT NO", "FLAT NO", "FLAT NUMBER", "UNIT NUMBER"],
+    "building": ["BUILDING NAME", "BUILDING", "CLUSTER"],
+    "size": ["ACTUAL AREA", "GROSS AREA", "SIZE"],
+    "project": ["MASTER PROJECT", "PROJECT"],
+}
 
 
 def map_header(headers: DataFrame, aliases: DataFrame, column: str = "header") -> DataFrame:
@@ -17,13 +25,15 @@ def map_header(headers: DataFrame, aliases: DataFrame, column: str = "header") -
     return headers.withColumn("header_norm", F.upper(F.trim(column))).join(first, "header_norm", "left").withColumn("confidence", F.when(F.col("target").isNotNull(), 100).otherwise(0)).drop("header_norm")
 
 
-def guess_field(header: Column) -> Column:
-    """The field whose words a heading holds, first match first."""
-    h = C.normal_header(header)
-    out = F.when(F.lit(False), C.none())
-    for field, words in HEADING_WORDS.items():
-        out = out.when(h.rlike("|".join(words)), F.lit(field))
-    return out
+def fallback(field: str, cells: Column, mapped: Column | None = None) -> Column:
+    """``mapped`` if it holds text, else the cell under the first fallback heading that the row has, empty or not, else the empty string.
+
+    ``cells`` is the row as a map from upper-case headings to text; a null map has no headings.
+    """
+    out = F.when(C.has_text(mapped), mapped) if mapped is not None else F.when(F.lit(False), C.none())
+    for heading in FALLBACK_HEADINGS[field]:
+        out = out.when(F.map_contains_key(cells, F.lit(heading)), F.try_element_at(cells, F.lit(heading)))
+    return out.otherwise("")
 
 
 def is_valid() -> Column:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import quality
+from ledgerloom.operators import legacy, quality
 from ledgerloom.plans import views
 from ledgerloom.sources import files
 from ledgerloom.streaming import ingest
@@ -67,3 +67,9 @@ def test_a_batch_tried_again_replaces_what_it_wrote(spark, tmp_path):
     write(rows, 1)
     again = spark.read.parquet(f"{tmp_path}/records").where("batch_id = 1 AND status NOT IN ('DUPLICATE', 'INVALID')")
     assert again.count() == 0 and spark.read.parquet(f"{tmp_path}/counters").select("batch_id").distinct().count() == 2
+
+
+def test_fallback_takes_the_first_heading_there_is(spark):
+    rows = spark.createDataFrame([(None, {"PHONE": "1", "MOBILE": None}), ("9", {"MOBILE": "1"}), (" ", {"CONTACT": "3", "PHONE": "2"}), (None, {}), (None, None)], "mapped string, cells map<string,string>")
+    got = [r[0] for r in rows.select(legacy.fallback("mobile", F.col("cells"), F.col("mapped"))).collect()]
+    assert got == [None, "9", "2", "", ""]

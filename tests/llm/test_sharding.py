@@ -24,3 +24,17 @@ def test_shards_are_contiguous_and_even(odd_docs, odd_texts):
 
 def test_no_rows(no_docs):
     assert assign_shards(no_docs).collect() == []
+
+
+def test_shards_and_slots_equal_a_prefix_sum_over_all_rows(odd_docs):
+    """The law again in plain Python: order, running bytes, the middle of each row's bytes against equal targets."""
+    body = lambda r: (r.text or "").encode()
+    ordered = sorted(odd_docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, zlib.crc32(body(r)), len(body(r))))
+    total, ahead, taken, want = sum(len(body(r)) + 8 for r in ordered), 0, defaultdict(int), []
+    for r in ordered:
+        size = len(body(r)) + 8
+        shard = (2 * ahead + size) * 24 // (2 * total)
+        want.append((r.doc_id, size, zlib.crc32(body(r)), shard, taken[shard]))
+        ahead, taken[shard] = ahead + size, taken[shard] + 1
+    got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in assign_shards(odd_docs, 24).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -12,6 +12,7 @@ from ledgerloom.operators import dedup, enrich, maintain, quality, search, stats
 from ledgerloom.plans import twins as S
 from ledgerloom.plans import views
 from ledgerloom.plans.pipeline import records_of
+from ledgerloom.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,10 +32,25 @@ def query(sql: str | None = None):
     return add
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def ingested(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    """The register as classified records, cleaned and judged anew and written to the shared folder."""
+    rows = written(records_of(views.register(spark, sf_dir), metric="levenshtein", **more))
+    _STORED[(spark.sparkContext.applicationId, sf_dir, *more.items())] = rows.inputFiles()[0].rsplit("/", 1)[0]
+    return rows
+
+
+def stored(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    """The record table that the first query of a session ingests and the others read, as a service reads its stored records."""
+    path = _STORED.get((spark.sparkContext.applicationId, sf_dir, *more.items()))
+    return spark.read.parquet(path) if path else ingested(spark, sf_dir, **more)
+
+
 def records(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    """The register as classified records, flags as one text."""
-    rows = records_of(views.register(spark, sf_dir), **more)
-    return rows.withColumns({"id": F.col("source_row"), "validation_flags": F.concat_ws(",", "validation_flags")})
+    """The stored records, flags as one text."""
+    return stored(spark, sf_dir, **more).withColumns({"id": F.col("source_row"), "validation_flags": F.concat_ws(",", "validation_flags")})
 
 
 # ---- values -----------------------------------------------------------------------------------
@@ -201,12 +217,12 @@ def populated_fields(spark, sf_dir):
 
 @query(f"WITH {S.RECORDS} SELECT source_file, source_sheet, source_row, 'INVALID_RECORD' AS code, 'WARNING' AS severity, array_to_string(flags2, '; ') AS message FROM records WHERE status = 'INVALID'")
 def error_rows(spark, sf_dir):
-    return quality.error_rows(records_of(views.register(spark, sf_dir))).select(*ROW, "source_sheet", "code", "severity", "message")
+    return quality.error_rows(stored(spark, sf_dir)).select(*ROW, "source_sheet", "code", "severity", "message")
 
 
 @query(f"WITH {S.RECORDS} SELECT source_file, CASE WHEN count(*) FILTER (status = 'INVALID') > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END AS job_status FROM records GROUP BY source_file")
 def job_outcome(spark, sf_dir):
-    rows = records_of(views.register(spark, sf_dir))
+    rows = stored(spark, sf_dir)
     return quality.job_outcome(quality.error_rows(rows), stats.run_counters(rows)).select("source_file", "job_status")
 
 
@@ -215,14 +231,14 @@ def identity_hash(spark, sf_dir):
     return dedup.with_identity(quality.standardise(views.register(spark, sf_dir))).select("source_row", "identity_hash")
 
 
-@query(f"WITH {S.RECORDS} SELECT source_row, duplicate_flag FROM records WHERE duplicate_flag IS NOT NULL")
+@query(f"WITH {S.RECORDS} SELECT source_row, duplicate_flag FROM records WHERE duplicate_flag = 'duplicate_identity_hash'")
 def exact_duplicates(spark, sf_dir):
-    return records(spark, sf_dir).where("duplicate_flag IS NOT NULL").select("source_row", "duplicate_flag")
+    return records(spark, sf_dir).where("duplicate_flag = 'duplicate_identity_hash'").select("source_row", "duplicate_flag")
 
 
-@query(f"WITH {S.records('global')} SELECT source_file, count(*) FILTER (duplicate_flag IS NOT NULL) AS n_duplicates FROM records GROUP BY source_file")
+@query(f"WITH {S.records('global')} SELECT source_file, count(*) FILTER (duplicate_flag = 'duplicate_identity_hash') AS n_duplicates FROM records GROUP BY source_file")
 def cross_file_duplicates(spark, sf_dir):
-    return records(spark, sf_dir, scope="global").groupBy("source_file").agg(F.count("duplicate_flag").alias("n_duplicates"))
+    return records(spark, sf_dir, scope="global").groupBy("source_file").agg(F.count_if(F.col("duplicate_flag") == "duplicate_identity_hash").alias("n_duplicates"))
 
 
 @query(f"WITH {S.CHECKED}, stored AS (SELECT DISTINCT identity_hash FROM checked WHERE copy = 0) SELECT source_row FROM checked WHERE copy > 0 AND identity_hash IN (SELECT identity_hash FROM stored)")
@@ -231,28 +247,24 @@ def known_identities(spark, sf_dir):
     return dedup.known_identities(rows.where("copy > 0"), rows.where("copy = 0")).select("source_row")
 
 
-_NEAR = f"""{S.RECORDS},
-usable AS (SELECT *, {S.name_key('name')} AS key, CASE WHEN community IS NOT NULL AND coalesce(unit_number, plot_number) IS NOT NULL THEN upper(community) || '|' || upper(coalesce(building_cluster, '')) || '|' || upper(coalesce(unit_number, plot_number)) END AS prop FROM records WHERE is_valid AND duplicate_flag IS NULL),
-blocks AS (SELECT source_file, source_sheet, source_row, key, 'property' AS kind, prop AS block FROM usable WHERE key <> '' AND prop IS NOT NULL UNION ALL SELECT source_file, source_sheet, source_row, key, 'phone', mobile_1 FROM usable WHERE key <> '' AND mobile_1 IS NOT NULL),
-names AS (SELECT source_file, kind, block, key, min(row(source_sheet, source_row)) AS at FROM blocks GROUP BY ALL),
-sims AS (SELECT a.source_file, a.kind, a.block, a.key, b.at, CASE WHEN a.key = b.key THEN 1.0 ELSE 1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key), 1) END AS score FROM names a JOIN names b USING (source_file, kind, block)),
-hits AS (SELECT x.source_row, x.kind, s.score FROM blocks x JOIN sims s ON x.source_file = s.source_file AND x.kind = s.kind AND x.block = s.block AND x.key = s.key WHERE s.score >= 0.85 AND s.at < row(x.source_sheet, x.source_row))
-SELECT source_row, kind, floor(max(score) * 1000 + 0.5) / 1000 AS score FROM hits GROUP BY source_row, kind QUALIFY row_number() OVER (PARTITION BY source_row ORDER BY kind DESC) = 1"""
-
-
-@query(f"WITH {_NEAR}")
+@query(f"WITH {S.RECORDS} SELECT source_row, kind, floor(score * 1000 + 0.5) / 1000 AS score FROM near")
 def near_dup_levenshtein(spark, sf_dir):
-    rows, _ = dedup.near_duplicates(records_of(views.register(spark, sf_dir)), metric="levenshtein")
-    found = rows.where("fuzzy_match_score IS NOT NULL")
+    found = stored(spark, sf_dir).where("fuzzy_match_score IS NOT NULL")
     return found.select("source_row", F.regexp_extract("duplicate_flag", "fuzzy_duplicate_(.*)_match", 1).alias("kind"), F.col("fuzzy_match_score").alias("score"))
 
 
 @query()
 def near_dup_ratio(spark, sf_dir):
-    rows, _ = dedup.near_duplicates(records_of(views.register(spark, sf_dir)))
+    rows = records_of(views.register(spark, sf_dir))
     return rows.where("fuzzy_match_score IS NOT NULL").select("source_row", "fuzzy_matched_row", "fuzzy_match_score", "duplicate_flag")
 
 
+@query(f"WITH {S.RECORDS} SELECT source_file, source_row, status, duplicate_flag, identity_hash FROM records")
+def ingest_records(spark, sf_dir):
+    """The whole job over the register each time it is called; the queries on records read what it wrote."""
+    return ingested(spark, sf_dir).select(*ROW, "status", "duplicate_flag", "identity_hash")
+
+
 # ---- search -----------------------------------------------------------------------------------
 
 _LIKE = lambda q: " OR ".join(f"coalesce({c} ILIKE '%{q}%', FALSE)" for c in search.SEARCHED)
@@ -467,7 +479,7 @@ def edit_log(spark, sf_dir):
 edited AS (SELECT r.* EXCLUDE (person, place, has_context, identity_hash) REPLACE (CASE WHEN list_contains(fields, 'name') THEN s_name ELSE name END AS name, CASE WHEN list_contains(fields, 'mobile_1') THEN s_mobile ELSE mobile_1 END AS mobile_1, CASE WHEN list_contains(fields, 'developer') THEN s_developer ELSE developer END AS developer, CASE WHEN list_contains(fields, 'bedroom') THEN s_bedroom ELSE bedroom END AS bedroom), s.record_id IS NOT NULL AS changed FROM records r LEFT JOIN sets s ON r.id = s.record_id)
 SELECT id, name, mobile_1, developer, bedroom, identity_hash, CASE WHEN NOT changed THEN status WHEN NOT person AND NOT place THEN 'INVALID' WHEN name IS NOT NULL AND (mobile_1 IS NOT NULL OR email_address IS NOT NULL) AND has_context THEN 'VALID' ELSE 'INCOMPLETE' END AS status FROM ({S.validated('edited')})""")
 def apply_edits(spark, sf_dir):
-    rows = records_of(views.register(spark, sf_dir)).withColumn("id", F.col("source_row"))
+    rows = stored(spark, sf_dir).withColumn("id", F.col("source_row"))
     return maintain.apply_edits(rows, _edits(spark, sf_dir)).select("id", "name", "mobile_1", "developer", "bedroom", "identity_hash", "status")
 
 

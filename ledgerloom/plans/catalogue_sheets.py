@@ -13,7 +13,9 @@ from ledgerloom.operators.search import Search
 from ledgerloom.plans import twins as S
 from ledgerloom.plans import views
 from ledgerloom.plans.catalogue import query, records
+from ledgerloom.plans.pipeline import normalise
 from ledgerloom.sources import files, sinks
+from ledgerloom.sources.shared import shared_root
 from ledgerloom.streaming import ingest
 
 HEADINGS = ["Name", "MOBILE", "Phone", " Project ", "Building  Name", "Unit Number", "TYPE", "AREA", "Passport", "Remarks", "Premise 1", "Owners_Phone", "Owners_Email"]
@@ -171,9 +173,30 @@ def legacy_guess(spark, sf_dir):
 @query()
 def stream_ingest(spark, sf_dir):
     """The register in files, one a micro-batch, must give the same statuses as all files at once across files."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     rows = views.register(spark, sf_dir).drop("k", "copy")
     rows.repartition(3, "source_file").write.parquet(f"{root}/in")
     stream = ingest.register_stream(spark, f"{root}/in", rows.schema, files_a_batch=1)
     ingest.ingest_stream(stream, f"{root}/records", f"{root}/state", counters=f"{root}/counters").awaitTermination()
     return spark.read.parquet(f"{root}/records").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _normalised(spark, sf_dir):
+    return normalise(raw_rows(spark, sf_dir), mapping.alias_table(spark), developments=views.developments(spark, sf_dir))
+
+
+@query()
+def normalise_records(spark, sf_dir):
+    """Raw sheets to records in one call."""
+    rows = _normalised(spark, sf_dir)[0]
+    return rows.select(*mapping.SHEET, "source_row", "name", "mobile_1", "email_address", "community", "building_cluster", "unit_number", "developer", "status", F.concat_ws(",", "validation_flags").alias("validation_flags"))
+
+
+@query()
+def normalise_errors(spark, sf_dir):
+    return _normalised(spark, sf_dir)[1]
+
+
+@query()
+def normalise_counters(spark, sf_dir):
+    return _normalised(spark, sf_dir)[2]

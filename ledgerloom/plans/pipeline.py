@@ -4,41 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.operators import dedup, enrich, mapping, quality, stats
+from ledgerloom.sources.shared import written
 
 
-def records_of(mapped: DataFrame, *, developments: DataFrame | None = None, known: DataFrame | None = None, scope: str = "file", near: bool = False, id_col: str = "source_row", metric: str = "ratio") -> DataFrame:
-    """Mapped text rows as classified records (INVALID ones too): enrich, clean, validate, find duplicates, classify."""
+def records_of(mapped: DataFrame, *, developments: DataFrame | None = None, known: DataFrame | None = None, scope: str = "file", near: bool = True, id_col: str = "source_row", metric: str = "ratio") -> DataFrame:
+    """Mapped text rows as classified records (INVALID ones too): enrich, clean, validate, find exact and near duplicates, classify.
+
+    Cleaned rows are written once to the shared folder, and so are the rows after the exact duplicates: the steps after them look at their rows
+    several times, and the chain of cleaning expressions would stand in the plan once for each look.
+    """
     rows = enrich.enrich(mapped, developments, id_col=id_col) if developments is not None else mapped
-    checked = dedup.with_identity(quality.validate(quality.standardise(rows)))
+    checked = written(dedup.with_identity(quality.validate(quality.standardise(rows))))
     judged = dedup.exact_duplicates(checked, scope=scope, known=known)
     if near:
-        judged, _ = dedup.near_duplicates(judged, metric=metric)
+        judged, _ = dedup.near_duplicates(written(judged), metric=metric)
     return quality.classify(judged)
 
 
 def normalise(raw_rows: DataFrame, aliases: DataFrame, *, developments: DataFrame | None = None, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, errors, counters) of raw rows from any number of files and sheets, in one plan.
+    """(records, errors, counters) of raw rows from any number of files and sheets; each step is written to the shared folder and read by the next.
 
     Headers are found, columns planned, owner sheets joined with property sheets by PI number, and reference sheets and merged
     property sheets left out. Records are VALID, INCOMPLETE or DUPLICATE; INVALID rows are errors.
     """
     known_headers = [r["header_norm"] for r in aliases.select("header_norm").distinct().collect()]  # a table of header names
-    headers = mapping.header_rows(raw_rows, known_headers)
-    seen = mapping.samples(raw_rows, headers)
+    headers = written(mapping.header_rows(raw_rows, known_headers))
+    seen = written(mapping.samples(raw_rows, headers))
     bare = mapping.positional_headers(raw_rows, headers, seen)
-    headers = headers.join(bare.withColumnRenamed("header", "_positional"), mapping.SHEET, "left").select(*mapping.SHEET, "header_row", F.coalesce("header", "_positional").alias("header"))
-    plan = mapping.plan_columns(headers, aliases, seen=seen)
+    headers = written(headers.join(bare.withColumnRenamed("header", "_positional"), mapping.SHEET, "left").select(*mapping.SHEET, "header_row", F.coalesce("header", "_positional").alias("header")))
+    plan = written(mapping.plan_columns(headers, aliases, seen=seen))
     sheets = mapping.sheet_profile(raw_rows, headers, plan)
-    roles = sheets.groupBy("source_file").agg(F.bool_or(F.col("role") == "owner").alias("has_owner"))
-    sheets = sheets.join(roles, "source_file").withColumn("merged", F.col("has_owner") & (F.col("role") == "property"))
+    has_owner = F.bool_or(F.col("role") == "owner").over(Window.partitionBy("source_file"))  # a row a sheet
+    sheets = written(sheets.withColumn("merged", has_owner & (F.col("role") == "property")))
     mapped = mapping.map_columns(raw_rows, plan, headers).join(sheets.select(*mapping.SHEET, "role", "is_reference", "merged"), mapping.SHEET).where("NOT is_reference")
-    mapped = mapped.where(~mapping.is_building_row(F.col("unit_number"), F.col("extras")))
+    mapped = written(quality.settled(mapped).where(~mapping.is_building_row(F.col("unit_number"), F.col("extras"))))
     places = ("building_cluster", "unit_number", "sub_community", "project", "community", "size", "bedroom", "plot_number", "developer", "property_type")
-    mapped = quality.settled(mapped)
     owners = enrich.merge_properties(mapped.where("NOT merged"), mapped.where("merged"), places)
     rows = owners.withColumn("_row", F.concat_ws("|", *mapping.SHEET, "source_row"))
-    records = records_of(rows, developments=developments, id_col="_row", **more).drop("_row", "role", "is_reference", "merged")
+    records = written(records_of(rows, developments=developments, id_col="_row", **more).drop("_row", "role", "is_reference", "merged"))
     errors = quality.error_rows(records).unionByName(quality.sheet_errors(sheets))
     return records.where("status <> 'INVALID'"), errors, stats.run_counters(records)

@@ -152,17 +152,6 @@ checked AS (SELECT *, person OR place AS is_valid,
   FROM ({validated('cleaned')}))"""
 
 
-def records(scope: str = "file") -> str:
-    keys = "identity_hash" + (", source_file" if scope == "file" else "")
-    return f"""{CHECKED},
-marked AS (SELECT *, CASE WHEN is_valid AND row_number() OVER (PARTITION BY is_valid, {keys} ORDER BY source_file, source_sheet, source_row) > 1 THEN 'duplicate_identity_hash' END AS duplicate_flag FROM checked),
-judged AS (SELECT *, CASE WHEN NOT is_valid THEN 'INVALID' WHEN duplicate_flag IS NOT NULL THEN 'DUPLICATE' WHEN name IS NOT NULL AND (mobile_1 IS NOT NULL OR email_address IS NOT NULL) AND has_context THEN 'VALID' ELSE 'INCOMPLETE' END AS status FROM marked),
-records AS (SELECT *, source_row AS id, array_to_string(list_concat(flags2, CASE WHEN status = 'DUPLICATE' THEN [duplicate_flag] WHEN status = 'INCOMPLETE' THEN [CASE WHEN name IS NULL AND mobile_1 IS NULL AND email_address IS NULL THEN 'incomplete_missing_name_and_contact' WHEN name IS NULL THEN 'incomplete_missing_name' WHEN mobile_1 IS NULL AND email_address IS NULL THEN 'incomplete_missing_contact' ELSE 'incomplete_missing_property_info' END] ELSE [] END), ',') AS validation_flags FROM judged)"""
-
-
-RECORDS = records()
-
-
 def name_key(x: str) -> str:
     words = rf"list_filter(regexp_split_to_array(regexp_replace(upper(coalesce({x}, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
     forms = f"list_transform({words}, lambda w: coalesce({table(V.NAME_FORMS, 'w')}, w))"
@@ -174,3 +163,22 @@ def place_key(x: str) -> str:
     t = f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
     words = f"array_to_string(list_filter(string_split({t}, ' '), lambda w: w NOT IN ({quoted(V.PLACE_NOISE)})), ' ')"
     return f"CASE WHEN {words} <> '' THEN {words} ELSE {t} END"
+
+
+def records(scope: str = "file") -> str:
+    """Records with exact duplicates of the scope, then near duplicates (by edit distance) inside each file, and the status."""
+    keys = "identity_hash" + (", source_file" if scope == "file" else "")
+    return f"""{CHECKED},
+marked AS (SELECT *, CASE WHEN is_valid AND row_number() OVER (PARTITION BY is_valid, {keys} ORDER BY source_file, source_sheet, source_row) > 1 THEN 'duplicate_identity_hash' END AS exact_flag FROM checked),
+usable AS (SELECT *, {name_key('name')} AS key, CASE WHEN community IS NOT NULL AND coalesce(unit_number, plot_number) IS NOT NULL THEN upper(community) || '|' || upper(coalesce(building_cluster, '')) || '|' || upper(coalesce(unit_number, plot_number)) END AS prop FROM marked WHERE is_valid AND exact_flag IS NULL),
+blocks AS (SELECT source_file, source_sheet, source_row, key, 'property' AS kind, prop AS block FROM usable WHERE key <> '' AND prop IS NOT NULL UNION ALL SELECT source_file, source_sheet, source_row, key, 'phone', mobile_1 FROM usable WHERE key <> '' AND mobile_1 IS NOT NULL),
+names AS (SELECT source_file, kind, block, key, min(row(source_sheet, source_row)) AS at FROM blocks GROUP BY ALL),
+sims AS (SELECT a.source_file, a.kind, a.block, a.key, b.at, CASE WHEN a.key = b.key THEN 1.0 ELSE 1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key), 1) END AS score FROM names a JOIN names b USING (source_file, kind, block)),
+near AS (SELECT x.source_file, x.source_sheet, x.source_row, x.kind, max(s.score) AS score FROM blocks x JOIN sims s ON x.source_file = s.source_file AND x.kind = s.kind AND x.block = s.block AND x.key = s.key WHERE s.score >= 0.85 AND s.at < row(x.source_sheet, x.source_row)
+  GROUP BY x.source_file, x.source_sheet, x.source_row, x.kind QUALIFY row_number() OVER (PARTITION BY x.source_file, x.source_sheet, x.source_row ORDER BY x.kind DESC) = 1),
+flagged AS (SELECT marked.*, coalesce(exact_flag, 'fuzzy_duplicate_' || kind || '_match_' || CAST(CAST(floor(score * 100) AS INT) AS VARCHAR) || 'pct') AS duplicate_flag FROM marked LEFT JOIN near USING (source_file, source_sheet, source_row)),
+judged AS (SELECT *, CASE WHEN NOT is_valid THEN 'INVALID' WHEN duplicate_flag IS NOT NULL THEN 'DUPLICATE' WHEN name IS NOT NULL AND (mobile_1 IS NOT NULL OR email_address IS NOT NULL) AND has_context THEN 'VALID' ELSE 'INCOMPLETE' END AS status FROM flagged),
+records AS (SELECT *, source_row AS id, array_to_string(list_concat(flags2, CASE WHEN status = 'DUPLICATE' THEN [duplicate_flag] WHEN status = 'INCOMPLETE' THEN [CASE WHEN name IS NULL AND mobile_1 IS NULL AND email_address IS NULL THEN 'incomplete_missing_name_and_contact' WHEN name IS NULL THEN 'incomplete_missing_name' WHEN mobile_1 IS NULL AND email_address IS NULL THEN 'incomplete_missing_contact' ELSE 'incomplete_missing_property_info' END] ELSE [] END), ',') AS validation_flags FROM judged)"""
+
+
+RECORDS = records()

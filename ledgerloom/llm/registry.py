@@ -24,23 +24,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 20 characters or more that three documents hold stay in the one with the largest id. One row a document; null and empty texts are one empty line."""
     rows = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), least_chars=20, least_docs=3)
     return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of each document, and whether it and its host pass. One row a document; a null text has no words, a null source is a host of its own."""
     return quality_rules.judged(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of near equal bytes. One row a document; a null text counts as no bytes, an empty table gives no rows."""
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), 24)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles are at least 85 % alike. One row a document; a null or empty text is linked with nothing."""
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by pattern, and strings that their surroundings do not explain. One row a document; a null text has no spans."""
     found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -49,26 +54,31 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 4096 ids. A null or empty text is one piece, the end id."""
     pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), window=4096, end_id=2, with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back. One row a document; a null or empty text is the end id alone."""
     path = shared_folder(spark, "token-files")
     bitplanes.write_token_files(read_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return bitplanes.document_checksums(spark, path)
 
 
 def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that another document repeats at a similarity of at least 0.8; texts without one have no row."""
     return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"), words=50, similarity=0.8)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in each document. One row a document; a null text has no words."""
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document by a model trained outside the held-out fold. One row a document, null and empty texts too."""
     scored = quality_model.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), cut=0.3)
     return scored.select("row.doc_id", "held_out", "score", "predicted")
 

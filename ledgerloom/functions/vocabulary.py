@@ -106,7 +106,7 @@ CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
 # Counts that mark a row as a whole building.
 BUILDING_MARKERS = ["LEVELS", "SHOPS", "FLATS", "OFFICES"]
 
-#: The 23 business columns of a record and the labels that headers map to.
+# The 23 business columns of a record and the labels that headers map to.
 LABELS = {
     "Name": "name", "Community": "community", "Sub-Community": "sub_community", "Building/Cluster": "building_cluster", "Unit Number": "unit_number",
     "Size": "size", "Plot Reg. No": "plot_reg_no", "Plot Number": "plot_number", "DMNO": "dmno", "DMsubno": "dmsubno", "Bedroom": "bedroom",
@@ -144,12 +144,19 @@ ALIASES = {
 
 # Ranks of headers that compete for one target; lower wins, 50 where none is given.
 RANKS = {
-    10: ["MOBILE", "MOBILE 1", "MOBILE 2", "SECONDARY MOBILE", "NAME", "FULL NAME", "OWNER'S NAME", "OWNER NAME", "EMAIL", "EMAIL ADDRESS", "E-MAIL", "SIZE", "ACTUAL AREA", "NATIONALITY"],
+    10: [
+        "MOBILE", "MOBILE 1", "MOBILE1", "MOBILE_1", "PHONE MOBILE", "MOBILE 2", "MOBILE2", "MOBILE_2", "SECONDARY MOBILE",
+        "NAME", "FULL NAME", "OWNER'S NAME", "OWNER NAME", "OWNERS NAME", "OWNERS_NAME", "OWNER_NAME", "NAMEEN", "IMPORT - OWNER NAME",
+        "EMAIL", "EMAIL ADDRESS", "E-MAIL", "OWNERS_EMAIL", "SIZE", "ACTUAL AREA", "ACTUAL SIZE", "BUA", "BUILT UP", "NATIONALITY",
+    ],
     20: ["CONTACT NO.", "CONTACT NO", "CONTACT", "MOBILE NO", "CONTACT NUMBER"],
-    30: ["CUSTOMER NAME", "JOINT ACCT NAME", "TOTAL AREA", "AREA SQFT", "PLOT AREA", "PLOT SIZE"],
-    40: ["PHONE", "PHONE 1", "TELEPHONE", "TELEPHONE NUMBER", "PHONE HOME", "PHONE 2", "RESIDENCE COUNTRY", "LANDLINE", "MOB"],
-    45: ["OTHER NUMBERS", "OTHER NUMBER", "NUMBERS"],
-}
+    30: ["CUSTOMER NAME", "JOINT ACCT NAME", "CONTACT/OCCUPIER PERSONS NAME", "TOTAL AREA", "AREA SQFT", "PLOT AREA", "PLOT SIZE", "INTERNAL AREA"],
+    40: [
+        "PHONE", "PHONE 1", "TELEPHONE", "TELEPHONE NUMBER", "OWNERS_PHONE", "PHONE HOME", "PHONE 2", "TELEPHONE RESIDENCE", "PERSON MAIL ADDRESS",
+        "RESIDENCE COUNTRY", "COUNTRYNAMEEN", "LANDLINE", "MOB", "MAIN NUMBER", "SAVED MAIN NUMBER",
+    ],
+    45: ["OTHER NUMBERS", "OTHER NUMBER", "OTHER NUMBER ( ADMIN)", "NUMBERS"],
+}
 DEFAULT_RANK = 50
 PROJECT_HEADERS = ["PROJECT", "PROJECT NAME", "PROJECT_NAME_EN", "MASTER PROJECT"]
 

@@ -18,6 +18,9 @@ FALLBACK_HEADINGS = {
     "project": ["MASTER PROJECT", "PROJECT"],
 }
 
+# Columns that the older loader's search looks in.
+SEARCHED = ("name", "community", "building_cluster", "unit_number", "mobile_1", "plot_number")
+
 
 def map_header(headers: DataFrame, aliases: DataFrame, column: str = "header") -> DataFrame:
     """(header, target, confidence): 100 with the first alias of the trimmed, upper-case heading, else 0."""

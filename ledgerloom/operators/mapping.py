@@ -23,6 +23,18 @@ def alias_table(spark: SparkSession, aliases: dict[str, str] | None = None) -> D
     return spark.createDataFrame([(h, t, 1) for h, t in (aliases or V.ALIASES).items()], "header_norm string, target string, ord int")
 
 
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """The alias table of a mapping file: one JSON object whose ``aliases`` hold a list of headings for each target.
+
+    A heading may stand under several targets; the first of them in the file counts in a plan. Blank headings are left out.
+    """
+    pairs = "map<string,array<string>>"
+    lists = spark.read.text(path, wholetext=True).select(F.from_json(F.get_json_object("value", "$.aliases"), pairs).alias("aliases"))
+    rows = lists.select(F.posexplode(F.map_entries("aliases")).alias("_at", "_e")).select("_at", F.col("_e.key").alias("target"), F.posexplode("_e.value").alias("_in", "header"))
+    named = rows.select(C.normal_header(F.col("header")).alias("header_norm"), "target", (F.col("_at") * 100_000 + F.col("_in")).alias("ord")).where("header_norm <> ''")
+    return named.groupBy("header_norm", "target").agg(F.min("ord").cast("int").alias("ord"))
+
+
 def add_alias(table: DataFrame, header: str, target: str) -> DataFrame:
     """The alias table with one more entry, unless that header already has that target."""
     one = table.sparkSession.createDataFrame([(header, target)], "header string, target string").select(C.normal_header(F.col("header")).alias("header_norm"), "target")

@@ -123,8 +123,21 @@ def error_rows(records: DataFrame) -> DataFrame:
 def sheet_errors(sheets: DataFrame) -> DataFrame:
     """Errors of whole sheets: reference sheets and merged property sheets that are skipped, and sheets of which no column maps."""
     code = F.when(F.col("is_reference"), "REFERENCE_SHEET_SKIPPED").when(F.size("targets") == 0, "NO_MAPPABLE_COLUMNS").when(F.col("merged"), "PROPERTY_SHEET_MERGED")
-    severity = F.when(F.col("code") == "NO_MAPPABLE_COLUMNS", "ERROR").otherwise("INFO")
-    return sheets.withColumn("code", code).where("code IS NOT NULL").select("source_file", "source_sheet", F.lit(None).cast("bigint").alias("source_row"), severity.alias("severity"), "code", F.col("code").alias("message"), F.lit(None).cast("string").alias("payload"))
+    return sheets.withColumn("code", code).where("code IS NOT NULL").select("source_file", "source_sheet", F.lit(None).cast("bigint").alias("source_row"), F.lit("WARNING").alias("severity"), "code", F.col("code").alias("message"), F.lit(None).cast("string").alias("payload"))
+
+
+def join_notes(merged: DataFrame, key: str = "pi_number") -> DataFrame:
+    """PROPERTY_OWNER_JOIN for each file whose property rows were joined to its owners, with the number of distinct keys as payload."""
+    keyed = merged.withColumn("_key", F.nullif(F.trim(key), F.lit(""))).where("_key IS NOT NULL").groupBy("source_file").agg(F.count_distinct("_key").alias("properties"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return keyed.select("source_file", none("string").alias("source_sheet"), none("bigint").alias("source_row"), F.lit("WARNING").alias("severity"), F.lit("PROPERTY_OWNER_JOIN").alias("code"), F.lit("PROPERTY_OWNER_JOIN").alias("message"), F.to_json(F.struct("properties")).alias("payload"))
+
+
+def file_errors(inventory: DataFrame) -> DataFrame:
+    """UNREADABLE_FILE for each file of an inventory whose format is unknown or that is encrypted; the format is the message."""
+    bad = inventory.where(F.col("detected_format").isin("unknown", "encrypted"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return bad.select(F.col("filename").alias("source_file"), none("string").alias("source_sheet"), none("bigint").alias("source_row"), F.lit("ERROR").alias("severity"), F.lit("UNREADABLE_FILE").alias("code"), F.col("detected_format").alias("message"), none("string").alias("payload"))
 
 
 def job_outcome(errors: DataFrame, counters: DataFrame, by: str = "source_file") -> DataFrame:

@@ -29,12 +29,13 @@ class Search:
     has_email: bool | None = None
     sort: str = "id"
     descending: bool = True
+    columns: tuple[str, ...] = ()  # those that the text is looked for in; none: all of SEARCHED
 
 
 def matches(spec: Search) -> Column:
     tests = [F.lit(True)]
     if spec.text:
-        tests.append(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(f"%{spec.text}%"), F.lit(False)) for c in SEARCHED]))
+        tests.append(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(f"%{spec.text}%"), F.lit(False)) for c in spec.columns or SEARCHED]))
     for column, value in spec.equals:
         if column not in FACETS:
             raise ValueError(f"no filter on {column}")

@@ -81,6 +81,26 @@ def run_counters(records: DataFrame, by: str = "source_file") -> DataFrame:
     return records.groupBy(by).agg(F.count(F.lit(1)).alias("total"), n("VALID"), n("INCOMPLETE"), n("DUPLICATE"), n("INVALID"))
 
 
+def job_counters(raw_rows: DataFrame, sheets: DataFrame, records: DataFrame, errors: DataFrame) -> DataFrame:
+    """run_counters of each file with total_rows, processed_rows, skipped_rows and error_count.
+
+    Rows below a sheet's heading count: processed are the filled ones of record sheets; total adds all rows of reference and merged
+    sheets; skipped are all rows that are no record (blank rows, repeated headings, rows about buildings, skipped sheets).
+    ``sheets`` has source_file, source_sheet, header_row, targets, is_reference and merged; ``records`` holds INVALID ones too.
+    """
+    sheet = ["source_file", "source_sheet"]
+    full = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
+    body = raw_rows.join(sheets.select(*sheet, "header_row"), sheet).where("source_row > header_row").groupBy(*sheet).agg(F.count(F.lit(1)).alias("rows"), F.count_if(full).alias("filled"))
+    kept = body.join(sheets.select(*sheet, (F.col("is_reference") | F.col("merged")).alias("passed"), (F.size("targets") > 0).alias("mapped")), sheet)
+    processed = F.when(~F.col("passed") & F.col("mapped"), F.col("filled")).otherwise(0)
+    seen = kept.groupBy("source_file").agg(F.sum("rows").alias("_rows"), F.sum(F.when(F.col("passed"), F.col("rows")).otherwise(processed)).alias("total_rows"), F.sum(processed).alias("processed_rows"))
+    wrong = errors.groupBy("source_file").agg(F.count(F.lit(1)).alias("error_count"))
+    out = seen.join(run_counters(records), "source_file", "left").join(wrong, "source_file", "left")
+    counts = ("total", "valid", "incomplete", "duplicate", "invalid", "error_count")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    return out.select("source_file", *counts[:-1], "total_rows", "processed_rows", (F.col("_rows") - F.col("total")).alias("skipped_rows"), "error_count")
+
+
 def bulk_report(records: DataFrame) -> DataFrame:
     """Each file and all files together (ALL): rows, valid rows and distinct identities."""
     rolled = records.rollup("source_file").agg(F.grouping("source_file").alias("g"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "VALID").alias("valid"), F.count_distinct("identity_hash").alias("identities"))

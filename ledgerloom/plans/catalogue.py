@@ -302,9 +302,9 @@ def facets(spark, sf_dir):
     return search.facets(records(spark, sf_dir))
 
 
-@query(f"WITH {S.RECORDS} SELECT id, bedroom AS bedroom_type, mobile_1 AS mobile, status AS record_status FROM records")
+@query(f"WITH {S.RECORDS} SELECT id, bedroom AS bedroom_type, mobile_1 AS mobile, status AS record_status, format('{{:,.2f}}', size) || ' sq.ft' AS size_display FROM records")
 def wire_names(spark, sf_dir):
-    return search.wire_names(records(spark, sf_dir)).select("id", "bedroom_type", "mobile", "record_status")
+    return search.wire_names(records(spark, sf_dir)).select("id", "bedroom_type", "mobile", "record_status", "size_display")
 
 
 @query("SELECT o_custkey AS source_file_id, o_orderkey AS id, c_name AS filename FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -483,4 +483,4 @@ def apply_edits(spark, sf_dir):
     return maintain.apply_edits(rows, _edits(spark, sf_dir)).select("id", "name", "mobile_1", "developer", "bedroom", "identity_hash", "status")
 
 
-from ledgerloom.plans import catalogue_sheets  # noqa: E402, F401  (registers the queries on raw sheets, files and the older loader)
+from ledgerloom.plans import catalogue_service, catalogue_sheets  # noqa: E402, F401  (these register the queries on raw sheets, files, the older loader and the record service)

@@ -82,22 +82,36 @@ def map_columns(spark, sf_dir):
     return out.select(*mapping.SHEET, "source_row", "name", "mobile_1", "mobile_2", "email_address", "community", "sub_community", "project", "building_cluster", "unit_number", "size", "party_type", F.to_json("extras").alias("extras"))
 
 
-@query(r"SELECT c_custkey, community, building, unit FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Jumeirah Beach Residence' WHEN 1 THEN 'Jumeirah Lake Towers' ELSE 'ZZ' END AS community, concat('RIMAL ', CAST(c_custkey % 5 AS VARCHAR)) AS building, CASE c_custkey % 2 WHEN 1 THEN concat('u', CAST(c_custkey AS VARCHAR)) END AS unit FROM customer)")
+# premises of four, two and no parts, with codes in either case, blank parts and NA units
+_PREMISE = "CASE c_custkey % 7 WHEN 5 THEN concat('Tower ', c_name) WHEN 6 THEN concat('A | ', c_mktsegment) ELSE concat(CASE c_custkey % 4 WHEN 0 THEN 'JBR' WHEN 1 THEN 'jlt' WHEN 2 THEN '' ELSE c_mktsegment END, ' | DXB | ', CASE c_custkey % 3 WHEN 0 THEN 'na' WHEN 1 THEN ' ' ELSE c_name END, ' | RIMAL ', CAST(c_nationkey AS STRING)) END"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, {_PREMISE} AS text FROM customer), s AS (SELECT *, list_transform(string_split(text, '|'), lambda p: trim(p)) AS p FROM t)
+SELECT c_custkey, CASE WHEN len(p) >= 4 THEN coalesce({S.table(V.COMMUNITY_CODES, 'upper(p[1])')}, nullif(p[1], '')) END AS community, CASE WHEN len(p) >= 4 THEN nullif(p[4], '') ELSE nullif(trim(text), '') END AS building,
+  CASE WHEN len(p) >= 4 AND upper(p[3]) NOT IN ('NA', '') THEN p[3] END AS unit FROM s""")
 def pipe_field(spark, sf_dir):
-    text = F.expr("concat(CASE c_custkey % 3 WHEN 0 THEN 'JBR' WHEN 1 THEN 'jlt' ELSE 'ZZ' END, ' | DXB | ', CASE c_custkey % 2 WHEN 0 THEN 'NA' ELSE concat('u', c_custkey) END, ' | RIMAL ', c_custkey % 5)")
+    text = F.expr(_PREMISE)
     return views.table(spark, sf_dir, "customer").select("c_custkey", mapping.premise(text).alias("p")).select("c_custkey", "p.community", "p.building", "p.unit")
 
 
-@query("SELECT c_custkey, concat('97150', CAST(c_custkey AS VARCHAR)) AS first, concat('04', CAST(c_custkey AS VARCHAR)) AS second FROM customer")
+_LABELLED = "concat(CASE c_custkey % 3 WHEN 0 THEN 'Fax' WHEN 1 THEN 'MOBILE' ELSE 'home' END, ' 1: 009714', CAST(c_custkey AS STRING), ', ', CASE c_custkey % 4 WHEN 0 THEN 'Mobile 1' WHEN 1 THEN 'Work' WHEN 2 THEN 'phone' ELSE 'Note' END, ': 97150', CAST(c_nationkey AS STRING), ', Tel:  04', CAST(c_custkey AS STRING), ', other: 7')"
+
+
+@query(rf"""WITH t AS (SELECT c_custkey, string_split({_LABELLED}, ',') AS parts FROM customer), p AS (SELECT c_custkey, list_transform(list_filter(parts, lambda x: regexp_matches(x, '(?i)(mobile|tel|phone)\s*\d*\s*:')), lambda x: trim(regexp_extract(x, ':(.*)', 1))) AS p FROM t)
+SELECT c_custkey, p[1] AS first, p[2] AS second FROM p""")
 def labelled_phones(spark, sf_dir):
-    text = F.expr("concat('Fax 1: 009714', c_custkey, ', Mobile 1: 97150', c_custkey, ', Work: 1, Tel: 04', c_custkey)")
+    text = F.expr(_LABELLED)
     found = views.table(spark, sf_dir, "customer").select("c_custkey", mapping.labelled_phones(text).alias("p"))
     return found.select("c_custkey", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(1)).alias("second"))
 
 
-@query("SELECT c_custkey, concat('a', CAST(c_custkey AS VARCHAR), '@x.com') AS first, 2 AS n FROM customer")
+_MAILS = "concat(CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN ' , ' ELSE concat(c_mktsegment, '@z.ae;') END, CASE c_custkey % 2 WHEN 0 THEN concat(' a', CAST(c_custkey AS STRING), '@x.com ;; ') ELSE ';' END, repeat('b@y.com,', CAST(c_custkey % 4 AS INT)))"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, list_filter(list_transform(string_split(replace({_MAILS}, ';', ','), ','), lambda x: trim(x)), lambda x: x <> '') AS e FROM customer)
+SELECT c_custkey, e[1] AS first, CAST(len(e) AS INT) AS n FROM t""")
 def email_list(spark, sf_dir):
-    text = F.expr("concat(' a', c_custkey, '@x.com ;; b@y.com,')")
+    text = F.expr(_MAILS)
     return views.table(spark, sf_dir, "customer").select("c_custkey", mapping.email_list(text).alias("e")).select("c_custkey", F.get("e", F.lit(0)).alias("first"), F.size("e").alias("n"))
 
 
@@ -127,18 +141,45 @@ def file_inventory(spark, sf_dir):
     return files.file_inventory(spark, sf_dir, pattern="*.parquet").select("filename", "size_bytes", "content_sha256", "detected_format", "allowed")
 
 
-@query()
+# pages under the first bytes of each format: zip, OLE, encrypted OLE, HTML, text under a .csv name, text under none
+_HEADS = ["504B0304", "D0CF11E0A1B11AE1", "D0CF11E0A1B11AE1" + "EncryptedPackage".encode("utf-16-le").hex(), "3C68746D6C3E", "EFBBBF", "2A"]
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 6 AS kind, lower(left(html, 1000)) AS head FROM pages)
+SELECT page_id, CASE WHEN kind = 0 THEN 'xlsx' WHEN kind = 1 THEN 'xls' WHEN kind = 2 THEN 'encrypted' WHEN kind = 3 OR contains(head, '<html') OR contains(head, '<table') THEN 'html' WHEN kind = 4 THEN 'csv' ELSE 'unknown' END AS format,
+  CASE WHEN kind IN (1, 2) THEN 'EXCEL' WHEN kind = 3 OR contains(left(head, 400), '<html') OR contains(left(head, 400), '<table') THEN 'HTML' WHEN kind = 4 THEN 'CSV' ELSE 'EXCEL' END AS older FROM p""")
+def file_formats(spark, sf_dir):
+    """The format of each page's bytes, put under the first bytes of six kinds of files."""
+    kind = F.col("page_id") % 6
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (kind + 1).cast("int"))
+    content = F.concat(F.unhex(head), F.encode(F.left("html", F.lit(1000)), "UTF-8"), F.unhex(F.lit("20" * 2048)))
+    path = F.concat(F.lit("in/page"), F.col("page_id").cast("string"), F.when(kind == 4, ".CSV").otherwise(".dat"))
+    rows = views.table(spark, sf_dir, "pages").select("page_id", content.alias("content"), path.alias("path"))
+    return rows.select("page_id", files.file_format(F.col("content"), F.col("path")).alias("format"), files.legacy_format(F.col("content"), F.col("path")).alias("older"))
+
+
+_PATHS = "concat('in/', CASE doc_id % 5 WHEN 0 THEN '~$' WHEN 1 THEN '._' WHEN 2 THEN '0-' ELSE '' END, source, CASE doc_id % 7 WHEN 3 THEN ' Done' ELSE '' END, CASE doc_id % 6 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.XLS' WHEN 2 THEN '.csv' WHEN 3 THEN '.xlsm' WHEN 4 THEN '.pdf' ELSE '.csv.gz' END)"
+
+
+@query("SELECT doc_id, doc_id % 5 > 2 AND doc_id % 7 <> 3 AND NOT contains(lower(source), 'done') AND doc_id % 6 < 4 AS allowed FROM documents")
+def allowed_files(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", files.allowed(F.expr(_PATHS)).alias("allowed"))
+
+
+@query("""WITH f AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents), jobs AS (SELECT sha, max(doc_id * 10) AS prior_job FROM f WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 GROUP BY sha)
+SELECT doc_id, sha AS content_sha256, prior_job FROM f LEFT JOIN jobs USING (sha)""")
 def file_duplicates(spark, sf_dir):
-    inventory = files.file_inventory(spark, sf_dir, pattern="*.parquet")
-    stored = inventory.where("filename < 'd'").select(F.xxhash64("content_sha256").alias("id"), "content_sha256")
-    jobs = stored.select(F.col("id").alias("source_file_id"), F.xxhash64("id").alias("id"), F.lit("COMPLETED").alias("status"))
-    return files.repeated_files(inventory, stored, jobs).select("filename", F.col("prior_job").isNotNull().alias("seen_before"))
+    """Documents as files; those of even ids were loaded before, each third of them by a job that failed."""
+    inventory = views.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha256"))
+    before = inventory.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "id")
+    jobs = before.selectExpr("id AS source_file_id", "id * 10 AS id", "CASE WHEN id % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status")
+    return files.repeated_files(inventory, before, jobs)
 
 
 @query(f"""WITH {S.RECORDS}, chosen AS (SELECT * FROM records WHERE status = 'VALID' ORDER BY id DESC LIMIT 50000)
-SELECT {', '.join((f"coalesce(strftime(record_date, '%Y-%m-%d'), '')" if c == 'record_date' else f"coalesce(CAST({c} AS VARCHAR), '')") + f' AS "{h}"' for h, c in sinks.EXPORT.items() if c not in ('size', 'procedure_value'))} FROM chosen""")
+SELECT {', '.join((f"coalesce(strftime(record_date, '%Y-%m-%d'), '')" if c == 'record_date' else f"coalesce(CAST({c} AS VARCHAR), '')") + f' AS "{h}"' for h, c in sinks.EXPORT.items())} FROM chosen""")
 def export_shape(spark, sf_dir):
-    return sinks.export_rows(records(spark, sf_dir), Search()).drop("Size (sq.ft)", "Procedure Value")
+    return sinks.export_rows(records(spark, sf_dir), Search())
 
 
 @query(f"""WITH {S.CLEANED}, keyed AS (SELECT source_file, source_sheet, source_row, lower(CASE WHEN coalesce(name, '') <> '' AND coalesce(mobile_1, '') <> '' THEN name || '|' || mobile_1 ELSE coalesce(unit_number, '') || '|' || coalesce(building_cluster, '') END) AS key FROM cleaned)

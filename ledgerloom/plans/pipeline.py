@@ -45,5 +45,5 @@ def normalise(raw_rows: DataFrame, aliases: DataFrame, *, developments: DataFram
     owners = enrich.merge_properties(mapped.where("NOT merged"), mapped.where("merged"), places)
     rows = owners.withColumn("_row", F.concat_ws("|", *mapping.SHEET, "source_row"))
     records = written(records_of(rows, developments=developments, id_col="_row", **more).drop("_row", "role", "is_reference", "merged"))
-    errors = quality.error_rows(records).unionByName(quality.sheet_errors(sheets))
-    return records.where("status <> 'INVALID'"), errors, stats.run_counters(records)
+    errors = quality.error_rows(records).unionByName(quality.sheet_errors(sheets)).unionByName(quality.join_notes(mapped.where("merged")))
+    return records.where("status <> 'INVALID'"), errors, stats.job_counters(raw_rows, sheets, records, errors)

@@ -21,6 +21,15 @@ def best_delimiter(lines: DataFrame, column: str = "value", by: str = "source_fi
     return counts.select(by, F.array_max(pairs).alias("p")).select(by, "p.delimiter", "p.n")
 
 
+def numbered(rows: DataFrame, name: str, *, across: bool = False) -> DataFrame:
+    """Rows of a scan with ``path`` and ``block`` (their file and their part's start in it), numbered from 0 by place in their file, or ``across`` all files in order of their paths."""
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    blocks = placed.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    order = Window.orderBy("path", "block") if across else Window.partitionBy("path").orderBy("block")  # one row a part of a file
+    before = blocks.select("path", "block", "_first", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    return placed.join(before, ["path", "block"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_first", "_before")
+
+
 def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, sheet: str = "Sheet1") -> DataFrame:
     """Delimited files as raw rows: (source_file, source_sheet, source_row, cells), cells trimmed and empty ones null.
 
@@ -29,10 +38,7 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
     which there is one count for each part. A line break inside quotes ends a row.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
-    placed = lines.withColumn("at", F.monotonically_increasing_id())
-    blocks = placed.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    before = blocks.select("path", "block", "first", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
-    rows = placed.join(before, ["path", "block"])
+    rows = numbered(lines, "source_row")
     if delimiter is None:
         rows = rows.join(best_delimiter(lines, by="path").drop("n"), "path")
     else:
@@ -41,7 +47,7 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
     for d in DELIMITERS if delimiter is None else [delimiter]:
         cells = F.when(F.col("delimiter") == d, F.split(text, rf"\s*{'[|]' if d == '|' else d}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")).otherwise(cells)
     tidy = F.transform(cells, lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"')), F.lit("")))
-    return rows.select("source_file", F.lit(sheet).alias("source_sheet"), (F.col("before") + F.col("at") - F.col("first")).alias("source_row"), tidy.alias("cells"))
+    return rows.select("source_file", F.lit(sheet).alias("source_sheet"), "source_row", tidy.alias("cells"))
 
 
 def cell_text(cell: Column) -> Column:
@@ -104,9 +110,9 @@ def repeated_files(inventory: DataFrame, source_files: DataFrame, jobs: DataFram
 
 
 def read_developments(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """The reference table (name, emirate, region, developer, dev_type, confidence); dashes and blanks are null."""
+    """The reference table (name, emirate, region, developer, dev_type, confidence) with ``ord``, a row's place in it; dashes and blanks are null, rows without a name are left out."""
     rows = spark.read.format(fmt).load(path)
     names = ("name", "emirate", "region", "developer", "dev_type", "confidence")
     tidy = lambda c: F.when(~F.trim(F.col(c)).isin("", "-", "–", "—"), F.trim(F.col(c)))
-    out = rows.select(*[(tidy(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in names]).where("name IS NOT NULL")
-    return out.withColumn("ord", F.monotonically_increasing_id())
+    out = rows.select(*[(tidy(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in names], F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return numbered(out, "ord", across=True).where("name IS NOT NULL").drop("path", "block")

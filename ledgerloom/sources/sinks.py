@@ -13,7 +13,7 @@ from ledgerloom.operators.search import Search, ordered, search
 
 EXPORT_ROWS, MOST_EXPORT_ROWS = 50_000, 100_000
 
-#: Headings of an export and the columns below them.
+# Headings of an export, in order, and the columns below them.
 EXPORT = {
     "ID": "id", "Name": "name", "Community": "community", "Sub-Community": "sub_community", "Building/Cluster": "building_cluster", "Unit Number": "unit_number", "Size (sq.ft)": "size",
     "Plot Reg. No": "plot_reg_no", "Plot Number": "plot_number", "DMNO": "dmno", "DMsubno": "dmsubno", "Bedroom": "bedroom", "Party Type": "party_type", "PI Number": "pi_number",

@@ -43,6 +43,28 @@ def test_errors_and_counters(outcome):
     assert [(r.source_row, r.code) for r in outcome[1]] == [(8, "INVALID_RECORD")]
     (c,) = outcome[2]
     assert (c.total, c.valid, c.incomplete, c.duplicate, c.invalid) == (5, 1, 1, 2, 1)
+    assert (c.total_rows, c.processed_rows, c.skipped_rows, c.error_count) == (6, 6, 2, 1)  # the blank row and the repeated heading are skipped
+
+
+def test_counters_and_errors_of_skipped_sheets(spark):
+    rows = [("a.csv", "Owners", 0, ["PI NUMBER", "OWNER NAME", "MOBILE"])] + [("a.csv", "Owners", i, [f"P{i}", f"Owner Number {i}", f"050123456{i}"]) for i in (1, 2)]
+    rows += [("a.csv", "Places", 0, ["PI NUMBER", "UNIT NUMBER", "BUILDING NAME"])] + [("a.csv", "Places", i, [f" P{i}", f"{i}0", "Tower"]) for i in (1, 2, 3)]
+    rows += [("a.csv", "Legend", 0, ["DEVELOPMENT", "MASTER DEVELOPER", "CONFIDENCE"]), ("a.csv", "Legend", 1, ["Sidra", "Emaar", "High"])]
+    records, errors, counters = normalise(spark.createDataFrame(rows, RAW), mapping.alias_table(spark))
+    assert sorted((r.name, r.unit_number, r.status) for r in records.collect()) == [("Owner Number 1", "10", "VALID"), ("Owner Number 2", "20", "VALID")]
+    assert sorted((e.code, e.source_sheet, e.severity, e.payload) for e in errors.collect()) == [
+        ("PROPERTY_OWNER_JOIN", None, "WARNING", '{"properties":3}'), ("PROPERTY_SHEET_MERGED", "Places", "WARNING", None), ("REFERENCE_SHEET_SKIPPED", "Legend", "WARNING", None),
+    ]
+    (c,) = counters.collect()
+    assert (c.total_rows, c.processed_rows, c.skipped_rows, c.error_count, c.valid) == (6, 2, 4, 3, 2)
+
+
+def test_aliases_from_a_mapping_file(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"notes": "x", "aliases": {"Name": ["Owner`s  name", "who", "WHO"], "Project": ["Who", " "]}}')
+    got = sorted((r.header_norm, r.target) for r in mapping.read_aliases(spark, f"{tmp_path}/m.json").collect())
+    assert got == [("OWNER'S NAME", "Name"), ("WHO", "Name"), ("WHO", "Project")]
+    heads = spark.createDataFrame([("f", "s", 0, ["who"])], "source_file string, source_sheet string, header_row int, header array<string>")
+    assert mapping.plan_columns(heads, mapping.read_aliases(spark, f"{tmp_path}/m.json")).first().target == "Name"
 
 
 def test_no_rows(spark):

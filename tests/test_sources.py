@@ -73,3 +73,15 @@ def test_fallback_takes_the_first_heading_there_is(spark):
     rows = spark.createDataFrame([(None, {"PHONE": "1", "MOBILE": None}), ("9", {"MOBILE": "1"}), (" ", {"CONTACT": "3", "PHONE": "2"}), (None, {}), (None, None)], "mapped string, cells map<string,string>")
     got = [r[0] for r in rows.select(legacy.fallback("mobile", F.col("cells"), F.col("mapped"))).collect()]
     assert got == [None, "9", "2", "", ""]
+
+
+def test_reference_rows_are_numbered_in_order_of_the_files(spark, tmp_path):
+    for name, n in (("b.json", 3), ("a.json", 400), ("c.json", 1)):
+        (tmp_path / name).write_text("".join(f'{{"name": "{name} {i}", "region": "-"}}\n' for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = files.read_developments(spark, str(tmp_path)).orderBy("ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.ord for r in rows] == list(range(404)) and rows[0].region is None
+    assert [r.name for r in rows] == [f"{f} {i}" for f, n in (("a.json", 400), ("b.json", 3), ("c.json", 1)) for i in range(n)]

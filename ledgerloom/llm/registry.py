@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bitplanes, decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secret_scan, sharding, substring_dedup
+from ledgerloom.llm import bitplanes, decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secret_scan, sharding, simhash, spelling, substring_dedup, whitening
 from ledgerloom.llm.shared import read_table, shared_root
 
 
@@ -83,6 +83,21 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 6 letters or more with their near words, form and root. One row a word; null texts have none."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"), least_chars=6, least_count=5, ratio=5, every=199)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and components at 4 differing bits. One row a document; a text without words has fingerprint zero, linked like any other."""
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"), width=4, most=4)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened vectors: one row a usable vector and component, up to 16. Null vectors and those with null or non-finite entries have none."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), most=16)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -94,6 +109,9 @@ QUERIES = {
     "op8_compact_windows": op8_compact_windows,
     "op9_decontamination": op9_decontamination,
     "op10_quality_model": op10_quality_model,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash": op12_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {

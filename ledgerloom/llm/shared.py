@@ -63,3 +63,24 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+#: Keys that hold more than one row in so many are joined on their own; there are fewer than this.
+HOT_SHARE = 1000
+
+
+def hot_keys(sized: DataFrame, n: str = "n", total: int | None = None) -> DataFrame:
+    """The keys that hold over a thousandth of all rows, without ``n``: fewer than a thousand rows. ``sized`` has a row a key, with its rows in ``n``."""
+    if total is None:
+        total = sized.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long")).first()[0]
+    return written(sized.where(F.col(n) > max(64, total // HOT_SHARE)).drop(n))
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join that sends the rows of hot keys nowhere.
+
+    ``hot`` lists the keys of which ``left`` holds many rows (:func:`hot_keys`: under a thousand of them), and ``right`` has a small bounded number
+    of rows a key. So right's rows of hot keys are bounded and are broadcast; all other keys meet in a shuffle.
+    """
+    few = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
+    return left.join(few, on).unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))

@@ -126,6 +126,9 @@ OWNER_REGISTER = [
 # Headers that must never enter the data.
 EXCLUDED_HEADERS = ["PASSWORD", "LOGIN(OR USE EMAIL)", "PASSPORT", "EMIRATES ID NUMBER", "EMIRATES ID EXPIRY DATE", "IDNUMBER", "UAEIDNUMBER", "PASSPORTEXPIRYDATE", "UNIFIEDNUMBER"]
 
+# Names that count as headings although nothing maps them.
+HEADING_NAMES = ["PREMISE 1", "PREMISE 2", "PREMISE 3", "SERIAL NO.", "AREA OWNED", "USAGE", "EMIRATE"]
+
 # Headers kept aside under their own names; a choice of those a register may hold.
 ASIDE_HEADERS = ["CUSTOMER TYPE", "CREATED BY", "RESPONSIBLE PERSON", "AGENT", "DEVELOPMENT TYPE", "FLOOR", "SHOPS", "FLATS", "OFFICES", "LEVELS", "AREA OWNED", "PROPERTY NAME", "CONTACT ID", "FAX", "ADDRESS", "GENDER", "DOB", "PO BOX", "USAGE", "EMIRATE"]
 

@@ -57,26 +57,31 @@ def _full(cell: Column) -> Column:
 
 def header_score(cells: Column) -> Column:
     """Filled cells, less 2 for each that looks like data and 1 for each other over 60 characters; -1 under two cells."""
-    filled = F.filter(cells, _full)
+    filled = F.transform(F.filter(cells, _full), lambda c: F.trim(c))
     score = F.aggregate(filled, F.lit(0.0), lambda s, c: s + 1 - F.when(C.looks_like_data(c), 2.0).when(F.length(c) > 60, 1.0).otherwise(0.0))
     return F.when(F.size(filled) < 2, F.lit(-1.0)).otherwise(score)
 
 
+def known_headings(aliases: list[str]) -> list[str]:
+    """All names by which a row is recognised as a heading: those of the alias table, the excluded, those kept aside and a few more."""
+    return sorted({*aliases, *V.EXCLUDED_HEADERS, *V.ASIDE_HEADERS, *V.HEADING_NAMES})
+
+
 def header_rows(raw_rows: DataFrame, known_headers: list[str]) -> DataFrame:
     """(sheet, header_row, header): the heading of each sheet, or header_row -1 where there is none.
 
-    Of the first 12 rows, the first whose known headings reach max(2, a third of its cells) wins; else the
-    best positive score. Only a dozen rows a sheet are looked at.
+    Of the first 12 rows, those count whose score is positive and of whose filled cells max(2, a third) are known headings of
+    more than two characters; the best score wins, the first on ties. A row that only looks like a heading does not count: the first
+    data row of a register without headings may hold more text than numbers. Only a dozen rows a sheet are looked at.
     """
-    known = set(known_headers)
-    top = raw_rows.where(F.col("source_row") < SCAN_ROWS)
-    filled = F.filter("cells", _full)
-    hits = F.size(F.filter(filled, lambda c: (F.length(C.normal_header(c)) > 2) & C.normal_header(c).isin(*sorted(known))))
-    scored = top.withColumns({"is_known": hits >= F.greatest(F.lit(2), F.floor(F.size(filled) / 3)), "score": header_score(F.col("cells"))})
-    best = F.max_by(F.struct("source_row", "cells", "is_known", "score"), F.struct("is_known", F.when(F.col("is_known"), 0.0).otherwise(F.col("score")), -F.col("source_row"))).alias("best")
-    chosen = scored.groupBy(*SHEET).agg(best)
-    good = F.col("best.is_known") | (F.col("best.score") > 0)
-    return chosen.select(*SHEET, F.when(good, F.col("best.source_row")).otherwise(F.lit(-1)).cast("int").alias("header_row"), F.when(good, F.col("best.cells")).alias("header"))
+    filled = F.transform(F.filter("cells", _full), lambda c: F.trim(c))
+    hits = F.size(F.filter(filled, lambda c: (F.length(c) > 2) & C.normal_header(c).isin(*known_headers)))
+    scored = raw_rows.where(F.col("source_row") < SCAN_ROWS).select(*SHEET, "source_row", "cells", header_score(F.col("cells")).alias("score"), (hits >= F.greatest(F.lit(2), F.floor(F.size(filled) / 3))).alias("is_known"))
+    heading = F.when(F.col("is_known") & (F.col("score") > 0), F.struct("score", (-F.col("source_row")).alias("first"), "cells"))
+    # a sheet whose first rows are all missing has no heading either
+    sheets = scored.groupBy(*SHEET).agg(F.max(heading).alias("best"))
+    others = raw_rows.where(F.col("source_row") >= SCAN_ROWS).select(*SHEET).distinct().join(sheets, SHEET, "left_anti").withColumn("best", F.lit(None).cast(sheets.schema["best"].dataType))
+    return sheets.unionByName(others).select(*SHEET, F.coalesce(-F.col("best.first"), F.lit(-1)).cast("int").alias("header_row"), F.col("best.cells").alias("header"))
 
 
 def samples(raw_rows: DataFrame, headers: DataFrame) -> DataFrame:

@@ -20,35 +20,67 @@ from ledgerloom.streaming import ingest
 
 HEADINGS = ["Name", "MOBILE", "Phone", " Project ", "Building  Name", "Unit Number", "TYPE", "AREA", "Passport", "Remarks", "Premise 1", "Owners_Phone", "Owners_Email"]
 
+_text = lambda e: f"CAST({e} AS STRING)"
+
+#: Cells of the sheets that come from the register, as SQL of both engines.
+_WIDE = [
+    "name", "mobile_1", "CASE WHEN k % 2 = 0 THEN '043920430' END", "project", "building_cluster", "unit_number", "CASE k % 3 WHEN 0 THEN 'BUYER' ELSE 'A' END", _text("k % 900"), "'X1234'", f"concat('note ', {_text('k')})",
+    f"concat(CASE k % 3 WHEN 0 THEN 'JBR' WHEN 1 THEN 'jlt' ELSE 'ZZ' END, ' | DXB | ', CASE k % 2 WHEN 0 THEN 'NA' ELSE concat('u', {_text('k')}) END, ' | RIMAL ', {_text('k % 5')})",
+    f"concat('Fax 1: 009714', {_text('k')}, ', Mobile 1: 9715055', lpad({_text('k')}, 5, '0'), ', Tel: 04', {_text('k')})", f"concat('a', {_text('k')}, '@x.com; b', {_text('k')}, '@y.com')",
+]
+_LEADS = ["concat('Lead ', name)", f"concat('0501', lpad({_text('k')}, 6, '0'))", f"concat('l', {_text('k')}, '@mail.ae')"]
+#: A register of owners without a heading: 25 columns, of which the first rows hold more words than numbers.
+_OWNERS = [
+    _text("k"), "'Business Bay'", "'Shop'", _text("k % 90 + 20"), "'P1'", "'Dubai'", "coalesce(name, 'Owner of it')", "'half'", "'Street 5'", "mobile_1", "email_address", "'no fax'", "'box'", "'F'", "'not known'",
+    "mobile_2", "mobile_3", "'X99'", "'n'", "'n'", "'Cairo'", "'E1'", "'n'", "'Egypt'", "nationality",
+]
+#: (file, sheet, source_row, cells, which rows of the register) of each sheet.
+_SHEETS = [
+    (f"concat('wide_', {_text('k % 3')}, '.csv')", "A", "k + 10", _WIDE, "copy = 0"),
+    ("'leads.csv'", "B", "k", _LEADS, "copy = 0"),
+    ("'owners.csv'", "C", "k", _OWNERS, "copy = 0 AND k % 5 = 0"),
+]
+#: Rows above and within them. A row of words beats no heading, and of two headings the better one counts.
+_TOP_ROWS = [(f"wide_{i}.csv", "A", row, cells) for i in range(3) for row, cells in ((0, ["Report of owners", None]), (1, HEADINGS), (2, ["Name", "Area", "1200", "x@y.com", "0501234567"]), (500, HEADINGS), (501, [None, ""]))]
+_TOP_ROWS += [("places.csv", "Legend", 0, ["DEVELOPMENT", "MASTER DEVELOPER", "CONFIDENCE"])]
+_cells = lambda cells: "[" + ", ".join("NULL" if c is None else f"'{c}'" for c in cells) + "]"
+
+RAW_SQL = f"""{views.REGISTER_SQL}, {views.DEVELOPMENTS_SQL}, raw AS (SELECT * FROM (VALUES {', '.join(f"('{f}', '{s}', {r}, {_cells(c)})" for f, s, r, c in _TOP_ROWS)}) h(source_file, source_sheet, source_row, cells)
+UNION ALL SELECT 'places.csv', 'Legend', ord + 1, [name, developer, confidence] FROM developments
+{' '.join(f"UNION ALL SELECT {f}, '{s}', {r}, [{', '.join(c)}] FROM register WHERE {w}" for f, s, r, c, w in _SHEETS)})"""
+
 
 def raw_rows(spark, sf_dir):
-    """Sheets of the register with odd tops: sheet A has two title rows and repeats its heading, sheet B has no heading at all, sheet C lists developments."""
+    """Sheets of the register with odd tops: sheet A has a title and a lesser heading and repeats its own, sheets B and C have none (leads; a register of owners), Legend lists developments."""
     people = views.register(spark, sf_dir)
-    text = lambda e: F.expr(e).cast("string")
-    wide = F.array(
-        text("name"), text("mobile_1"), text("CASE WHEN k % 2 = 0 THEN '043920430' END"), text("project"), text("building_cluster"), text("unit_number"), text("CASE k % 3 WHEN 0 THEN 'BUYER' ELSE 'A' END"), text("CAST(k % 900 AS STRING)"), text("'X1234'"), text("concat('note ', k)"),
-        text("concat(CASE k % 3 WHEN 0 THEN 'JBR' WHEN 1 THEN 'jlt' ELSE 'ZZ' END, ' | DXB | ', CASE k % 2 WHEN 0 THEN 'NA' ELSE concat('u', k) END, ' | RIMAL ', k % 5)"),
-        text("concat('Fax 1: 009714', k, ', Mobile 1: 9715055', lpad(k, 5, '0'), ', Tel: 04', k)"), text("concat('a', k, '@x.com; b', k, '@y.com')"),
-    )
-    rows = people.where("copy = 0")
-    body = rows.select(F.concat(F.lit("wide_"), (F.col("k") % 3).cast("string"), F.lit(".csv")).alias("source_file"), F.lit("A").alias("source_sheet"), (F.col("k") + 10).alias("source_row"), wide.alias("cells"))
-    leads = rows.select(F.lit("leads.csv").alias("source_file"), F.lit("B").alias("source_sheet"), F.col("k").alias("source_row"), F.array(text("concat('Lead ', name)"), text("concat('0501', lpad(k, 6, '0'))"), text("concat('l', k, '@mail.ae')")).alias("cells"))
-    places = views.developments(spark, sf_dir).select(F.lit("places.csv").alias("source_file"), F.lit("Legend").alias("source_sheet"), (F.col("ord") + 1).alias("source_row"), F.array("name", "developer", "confidence").alias("cells"))
-    heads = spark.createDataFrame([(f"wide_{i}.csv", "A", row, cells) for i in range(3) for row, cells in ((0, ["Report of owners", None]), (1, HEADINGS), (500, HEADINGS), (501, [None, ""]))] + [("places.csv", "Legend", 0, ["DEVELOPMENT", "MASTER DEVELOPER", "CONFIDENCE"])], "source_file string, source_sheet string, source_row long, cells array<string>")
-    return heads.unionByName(body).unionByName(leads).unionByName(places)
+    rows = spark.createDataFrame(_TOP_ROWS, "source_file string, source_sheet string, source_row long, cells array<string>")
+    rows = rows.unionByName(views.developments(spark, sf_dir).select(F.lit("places.csv").alias("source_file"), F.lit("Legend").alias("source_sheet"), (F.col("ord") + 1).alias("source_row"), F.array("name", "developer", "confidence").alias("cells")))
+    for file, sheet, row, cells, which in _SHEETS:
+        rows = rows.unionByName(people.where(which).select(F.expr(file).alias("source_file"), F.lit(sheet).alias("source_sheet"), F.expr(row).alias("source_row"), F.array(*map(F.expr, cells)).alias("cells")))
+    return rows
+
+
+#: Headings by the rule of header_rows, and by position where there are none.
+HEADERS_SQL = rf"""cells AS (SELECT source_file, source_sheet, source_row, trim(c) AS v FROM (SELECT source_file, source_sheet, source_row, unnest(cells) AS c FROM raw WHERE source_row < 12) WHERE trim(c) <> ''),
+scored AS (SELECT source_file, source_sheet, source_row, count(*) AS n, count(*) FILTER (length(v) > 2 AND upper(regexp_replace(replace(v, chr(96), chr(39)), '\s+', ' ', 'g')) IN ({S.quoted(mapping.known_headings(list(V.ALIASES)))})) AS hits,
+  sum(1 - CASE WHEN regexp_matches(v, '[^@\s]+@[^@\s]+\.[A-Za-z]{{2,}}') OR regexp_matches(v, '^[\d\s+\-|().]{{7,}}$') OR regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}') OR try_cast(replace(v, ',', '') AS DOUBLE) IS NOT NULL THEN 2 WHEN length(v) > 60 THEN 1 ELSE 0 END) AS score FROM cells GROUP BY ALL),
+picked AS (SELECT source_file, source_sheet, source_row AS top FROM scored WHERE n > 1 AND score > 0 AND hits >= greatest(2, n // 3) QUALIFY row_number() OVER (PARTITION BY source_file, source_sheet ORDER BY score DESC, source_row) = 1),
+headers AS (SELECT source_file, source_sheet, CAST(coalesce(max(top), -1) AS INT) AS header_row,
+  coalesce(max(CASE WHEN source_row = top THEN array_to_string(list_transform(cells, lambda c: coalesce(c, '')), '|') END), CASE source_sheet WHEN 'B' THEN 'Name|Mobile 1|Email Address' WHEN 'C' THEN '{'|'.join(V.OWNER_REGISTER)}' END) AS header
+  FROM raw LEFT JOIN picked USING (source_file, source_sheet) GROUP BY source_file, source_sheet)"""
 
 
 def planned(spark, sf_dir):
     """(raw rows, headers with positional ones, column samples, plan)."""
     rows, aliases = raw_rows(spark, sf_dir), mapping.alias_table(spark)
-    headers = mapping.header_rows(rows, list(V.ALIASES) + V.ASIDE_HEADERS + V.EXCLUDED_HEADERS + V.REFERENCE_HEADERS)
+    headers = mapping.header_rows(rows, mapping.known_headings(list(V.ALIASES)))
     seen = mapping.samples(rows, headers)
     bare = mapping.positional_headers(rows, headers, seen).withColumnRenamed("header", "_p")
     headers = headers.join(bare, mapping.SHEET, "left").select(*mapping.SHEET, "header_row", F.coalesce("header", "_p").alias("header"))
     return rows, headers, seen, mapping.plan_columns(headers, aliases, seen=seen)
 
 
-@query()
+@query(f"WITH {RAW_SQL}, {HEADERS_SQL} SELECT source_file, source_sheet, header_row, header FROM headers")
 def header_row_detect(spark, sf_dir):
     return planned(spark, sf_dir)[1].select(*mapping.SHEET, "header_row", F.array_join("header", "|").alias("header"))
 

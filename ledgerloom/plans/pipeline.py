@@ -30,7 +30,7 @@ def normalise(raw_rows: DataFrame, aliases: DataFrame, *, developments: DataFram
     Headers are found, columns planned, owner sheets joined with property sheets by PI number, and reference sheets and merged
     property sheets left out. Records are VALID, INCOMPLETE or DUPLICATE; INVALID rows are errors.
     """
-    known_headers = [r["header_norm"] for r in aliases.select("header_norm").distinct().collect()]  # a table of header names
+    known_headers = mapping.known_headings([r["header_norm"] for r in aliases.select("header_norm").distinct().collect()])  # a table of header names
     headers = written(mapping.header_rows(raw_rows, known_headers))
     seen = written(mapping.samples(raw_rows, headers))
     bare = mapping.positional_headers(raw_rows, headers, seen)

@@ -56,7 +56,40 @@ def test_counters_and_errors_of_skipped_sheets(spark):
         ("PROPERTY_OWNER_JOIN", None, "WARNING", '{"properties":3}'), ("PROPERTY_SHEET_MERGED", "Places", "WARNING", None), ("REFERENCE_SHEET_SKIPPED", "Legend", "WARNING", None),
     ]
     (c,) = counters.collect()
-    assert (c.total_rows, c.processed_rows, c.skipped_rows, c.error_count, c.valid) == (6, 2, 4, 3, 2)
+    # the legend's own heading holds no two known names, so it counts as one of its rows
+    assert (c.total_rows, c.processed_rows, c.skipped_rows, c.error_count, c.valid) == (7, 2, 5, 3, 2)
+
+
+def owner(i, name):
+    cells = [str(265610 + i), "Business Bay", "Shop", "120", "P7", "Dubai", name, "half", "Street", f"050123456{i}", f"o{i}@mail.ae", "none", "box", "F", "unknown", None, None, "X99", "n", "n", "Cairo", "E1", "n", "Egypt", "Egypt"]
+    return ("owners.csv", "S", i, cells)
+
+
+def test_owner_register_without_a_heading(spark):
+    """Its first row holds more words than numbers, and is data for all that."""
+    names = ["Karoline Okonkwo", "Mustafa Lindqvist", "Étienne Marchetti", "Ines Castellanos", "Tariq Al Suwaidi", "Wanjiru Kimani"]
+    rows = spark.createDataFrame([owner(i, n) for i, n in enumerate(names)], RAW)
+    (head,) = mapping.header_rows(rows, mapping.known_headings(["NAME", "PHONE"])).collect()
+    assert (head.header_row, head.header) == (-1, None)
+    records, errors, _ = normalise(rows, mapping.alias_table(spark))
+    got = sorted((r.source_row, r.name, r.mobile_1, r.email_address) for r in records.collect())
+    assert got == [(i, n, f"+97150123456{i}", f"o{i}@mail.ae") for i, n in enumerate(names)] and errors.count() == 0
+
+
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([["Name", "Area", "1200", "x@y.com", "0501234567"], ["Owner name", "Mobile", "Community", "Notes", "More"]], 1),  # both are known; the better score wins
+        ([["Name", "Mobile", "x"], ["Name", "Mobile", "x"]], 0),  # the first on ties
+        ([["Name", "Mobile"] + ["word"] * 7], -1),  # two of nine are too few
+        ([["Passport", "PREMISE 1"], ["a", "b"]], 0),  # excluded and literal names count
+        ([["F", "1"], ["Name", "12", "7"]], -1),
+        ([[None, " "]], -1),
+    ],
+)
+def test_header_rule(spark, rows, want):
+    frame = spark.createDataFrame([("f", "s", i, r) for i, r in enumerate(rows)], RAW)
+    assert [r.header_row for r in mapping.header_rows(frame, mapping.known_headings([r.header_norm for r in mapping.alias_table(spark).collect()])).collect()] == [want]
 
 
 def test_aliases_from_a_mapping_file(spark, tmp_path):

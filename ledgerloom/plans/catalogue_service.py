@@ -245,16 +245,17 @@ def reference_exchange(spark, sf_dir):
     return files.read_developments(spark, path).groupBy("name", "region", "developer", "dev_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey, c_name || ' \"A\", B;C|D' AS name, nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE ' ' || c_mktsegment END), '') AS segment FROM customer")
+@query("SELECT c_custkey, c_name || ' \"A\", B;C|D' AS name, nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE ' ' || c_mktsegment END), '') AS segment, CASE WHEN c_custkey % 5 < 2 THEN 'first, ' || chr(10) || chr(10) || 'last ' || CAST(c_custkey AS VARCHAR) ELSE '5\" pipe' END AS note FROM customer")
 def delimited_exchange(spark, sf_dir):
-    """Customers written as quoted text under four delimiters, a folder each, and read back in one call."""
+    """Customers written as quoted text under four delimiters, a folder each, some with notes of three lines and some with a loose quote, and read back in one call."""
     root = _new_folder(spark)
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    rows = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), quoted(F.concat("c_name", F.lit(' "A", B;C|D'))).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "c_mktsegment")).alias("segment"), (F.col("c_custkey") % 4).alias("part"))
-    for i, d in enumerate(files.DELIMITERS):  # one write a delimiter; empty cells at the end make it the most frequent sign
-        rows.where(F.col("part") == i).select(F.concat_ws(d, "k", "name", "segment", *[F.lit("")] * 3)).write.text(f"{root}/{i}")
+    note = F.when(F.col("c_custkey") % 5 < 2, quoted(F.concat(F.lit("first, \n\nlast "), F.col("c_custkey").cast("string")))).otherwise(F.lit('5" pipe'))
+    rows = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), quoted(F.concat("c_name", F.lit(' "A", B;C|D'))).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "c_mktsegment")).alias("segment"), note.alias("note"), (F.col("c_custkey") % 4).alias("part"))
+    for i, d in enumerate(files.DELIMITERS):  # one write a delimiter
+        rows.where(F.col("part") == i).select(F.concat_ws(d, "k", "name", "segment", "note")).write.text(f"{root}/{i}")
     back = files.read_delimited(spark, f"{root}/*")
-    return back.select(F.get("cells", F.lit(0)).cast("bigint").alias("c_custkey"), F.get("cells", F.lit(1)).alias("name"), F.get("cells", F.lit(2)).alias("segment"))
+    return back.select(F.get("cells", F.lit(0)).cast("bigint").alias("c_custkey"), *[F.get("cells", F.lit(i)).alias(n) for i, n in ((1, "name"), (2, "segment"), (3, "note"))])
 
 
 @query(f"WITH {S.CLEANED}, i AS (SELECT source_row, 'page ' || CAST(source_row % 3 AS VARCHAR) AS kind FROM register) SELECT source_row, 'UNREADABLE_FILE' AS code, CASE source_row % 3 WHEN 0 THEN 'unknown' ELSE 'encrypted' END AS message FROM i WHERE source_row % 3 < 2")

@@ -14,13 +14,78 @@ PASSED_OVER = ["~$", "._", "0-"]
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
 
+HEAD_BYTES = 64 * 1024
+
+
 def best_delimiter(lines: DataFrame, column: str = "value", by: str = "source_file") -> DataFrame:
-    """(by, delimiter, n): the delimiter that the lines of each file hold most often; the first listed on ties."""
-    counts = lines.groupBy(by).agg(*[F.sum(F.length(column) - F.length(F.replace(F.col(column), F.lit(d), F.lit("")))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)])
+    """(by, delimiter, n): the delimiter that the texts of each file hold most often outside quotes; the first listed on ties."""
+    bare = F.regexp_replace(F.col(column), '"[^"]*("|$)', "")
+    counts = lines.select(by, bare.alias("_bare")).groupBy(by).agg(*[F.sum(F.length("_bare") - F.length(F.replace(F.col("_bare"), F.lit(d), F.lit("")))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)])
     pairs = F.array(*[F.struct(F.coalesce(f"d{i}", F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)])
     return counts.select(by, F.array_max(pairs).alias("p")).select(by, "p.delimiter", "p.n")
 
 
+def _heads(lines: DataFrame) -> DataFrame:
+    """(path, value): the first 64 KiB of each file as one text, line by line; a line counts with its break, and the first line always counts."""
+    first = lines.where("block = 0").groupBy("path").agg(F.min("_at").alias("_first"))
+    near = lines.where("block = 0").join(first, "path").where(F.col("_at") - F.col("_first") < HEAD_BYTES)  # a line has a byte at least
+    before = F.coalesce(F.sum(F.octet_length("value") + 1).over(Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    texts = near.withColumn("_before", before).where(F.col("_before") < HEAD_BYTES).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_lines"))
+    return texts.select("path", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"))
+
+
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+
+def _split(text: Column, delimiter: Column) -> Column:
+    return F.split(text, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")))
+
+
+def _opens(piece: Column) -> Column:
+    """Whether a field that begins with this piece goes on behind its delimiter or line break: only a quote at its start opens one."""
+    return F.ltrim(piece).startswith('"') & (_quotes(piece) % 2 == 1)
+
+
+def _ends_open(line: Column, delimiter: Column, start: bool) -> Column:
+    """Whether a line that starts inside (or outside) quotes ends inside them."""
+    step = lambda inside, p: F.when(inside, _quotes(p) % 2 == 0).otherwise(_opens(p))
+    return F.when(line.contains('"'), F.aggregate(_split(line, delimiter), F.lit(start), step)).otherwise(F.lit(start))
+
+
+def _cells(text: Column, delimiter: Column) -> Column:
+    """The cells of a record: pieces between delimiters, those inside quotes joined again."""
+    none = F.lit(None).cast("string")
+    joined = lambda acc, p: F.concat(acc["held"], delimiter, p)
+    closes = lambda acc, p: acc["held"].isNotNull() & (_quotes(p) % 2 == 1)
+    cells = lambda acc, p: F.when(closes(acc, p), F.concat(acc["cells"], F.array(joined(acc, p)))).when(acc["held"].isNotNull() | _opens(p), acc["cells"]).otherwise(F.concat(acc["cells"], F.array(p)))
+    held = lambda acc, p: F.when(acc["held"].isNotNull() & ~closes(acc, p), joined(acc, p)).when(acc["held"].isNull() & _opens(p), p)
+    last = lambda acc: F.when(acc["held"].isNull(), acc["cells"]).otherwise(F.concat(acc["cells"], F.array(acc["held"])))
+    start = F.struct(F.array().cast("array<string>").alias("cells"), none.alias("held"))
+    folded = F.aggregate(_split(text, delimiter), start, lambda acc, p: F.struct(cells(acc, p).alias("cells"), held(acc, p).alias("held")), last)
+    return F.when(text.contains('"'), folded).otherwise(_split(text, delimiter))
+
+
+def _state(rows: DataFrame, by: list[str], order: str, whole: bool = False) -> DataFrame:
+    """Compose the steps (out, inn: the state behind a step that starts outside or inside quotes) of each group in order.
+
+    Adds from_out and from_in: the state before each step (``whole``: one row a group, behind all of them) by the state before the
+    group. A step forgets its start, keeps it or turns it over, so the state is what the last forgetting step gave, turned
+    over once for each turning step since.
+    """
+    window = Window.partitionBy(*by).orderBy(order)
+    steps = rows.withColumns({"_set": F.when(F.col("out") == F.col("inn"), F.col("out")), "_turns": F.sum((F.col("out") & ~F.col("inn")).cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0))})
+    mark = F.when(F.col("_set").isNotNull(), F.struct(F.col("_set").alias("state"), F.col("_turns").alias("turns")))
+    if whole:
+        ends = steps.withColumn("_mark", mark).groupBy(*by).agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(order))).alias("_mark"), F.max("_turns").alias("_turns"))
+    else:
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        ends = steps.withColumns({"_mark": F.last(mark, ignorenulls=True).over(before), "_turns": F.coalesce(F.max("_turns").over(before), F.lit(0))})
+    odd = (F.col("_turns") - F.coalesce("_mark.turns", F.lit(0))) % 2 == 1
+    after = lambda start: F.coalesce("_mark.state", F.lit(start)) != odd
+    return ends.withColumns({"from_out": after(False), "from_in": after(True)}).drop("_set", "_mark", "_turns")
+
+
 def numbered(rows: DataFrame, name: str, *, across: bool = False) -> DataFrame:
     """Rows of a scan with ``path`` and ``block`` (their file and their part's start in it), numbered from 0 by place in their file, or ``across`` all files in order of their paths."""
     placed = rows.withColumn("_at", F.monotonically_increasing_id())
@@ -33,21 +98,45 @@ def numbered(rows: DataFrame, name: str, *, across: bool = False) -> DataFrame:
 def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, sheet: str = "Sheet1") -> DataFrame:
     """Delimited files as raw rows: (source_file, source_sheet, source_row, cells), cells trimmed and empty ones null.
 
-    Without a delimiter each file gets the one its own lines hold most often. Rows may have any number of cells. Lines are numbered
-    from 0 within their file: a line's place in its part of the file (a partition) plus the lines of the file's parts before it, of
-    which there is one count for each part. A line break inside quotes ends a row.
+    Without a delimiter each file gets the one that its first 64 KiB hold most often outside quotes. Rows may have any number of cells. A field is quoted if it begins
+    with a quote; quoted fields hold delimiters, doubled quotes and line breaks, and other quotes are text. A quote that its
+    file never closes is text too: from its row on, each line is a row. Rows are numbered from 0 within their file.
+
+    Files are read in parts, and whether a part starts inside quotes depends on all parts before it. So each part first tells its end state for both
+    start states, these are composed along the file (one row a part), and then each part knows where its rows begin. Only rows of
+    several lines are gathered; a row that crosses parts is one of them.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
-    rows = numbered(lines, "source_row")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block")).withColumn("_at", F.monotonically_increasing_id())
     if delimiter is None:
-        rows = rows.join(best_delimiter(lines, by="path").drop("n"), "path")
+        lines = lines.join(best_delimiter(_heads(lines), by="path").drop("n"), "path")
     else:
-        rows = rows.withColumn("delimiter", F.lit(delimiter))
-    text, cells = F.regexp_replace("value", "^\ufeff", ""), F.lit(None)
-    for d in DELIMITERS if delimiter is None else [delimiter]:
-        cells = F.when(F.col("delimiter") == d, F.split(text, rf"\s*{'[|]' if d == '|' else d}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")).otherwise(cells)
-    tidy = F.transform(cells, lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"')), F.lit("")))
-    return rows.select("source_file", F.lit(sheet).alias("source_sheet"), "source_row", tidy.alias("cells"))
+        lines = lines.withColumn("delimiter", F.lit(delimiter))
+    d = F.col("delimiter")
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    steps = lines.withColumns({"out": _ends_open(F.col("value"), d, False), "inn": _ends_open(F.col("value"), d, True)})
+    part = ["path", "block"]
+    # the parts' own steps, then the state at the start of each part, then that of each line
+    parts = _state(steps, part, "_at", whole=True).select(*part, F.col("from_out").alias("out"), F.col("from_in").alias("inn"))
+    starts = _state(parts, ["path"], "block").select(*part, F.col("from_out").alias("_inside"))
+    ends = _state(parts, ["path"], "block", whole=True).select("path", F.col("from_out").alias("_unclosed"))
+    placed = _state(steps, part, "_at").join(starts, part).withColumn("_begins", ~F.when(F.col("_inside"), F.col("from_in")).otherwise(F.col("from_out")))
+    # numbers of rows: those that begin in the part, after those of the parts before
+    begun = placed.groupBy(*part).agg(F.count_if("_begins").alias("_n"))
+    begun = begun.select(*part, (F.sum("_n").over(Window.partitionBy("path").orderBy("block")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("path")).alias("_all"))
+    own = Window.partitionBy(*part).orderBy("_at")
+    rows = placed.join(begun, part).join(ends, "path").withColumn("source_row", F.col("_before") + F.count_if("_begins").over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    # the last row of a file that ends inside quotes is taken apart: its lines are rows, and their quotes text
+    loose = F.col("_unclosed") & (F.col("source_row") == F.col("_all") - 1)
+    keep = ["path", "source_file", "source_row", "delimiter"]
+    rows = rows.select(*keep, "block", "_at", "value", loose.alias("_loose"), (F.col("_begins") & ~F.col("out")).alias("_whole"))
+    whole = rows.where("_whole AND NOT _loose").select(*keep, "value", F.lit(True).alias("_quoted"))
+    several = rows.where("NOT _whole AND NOT _loose").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("block", "_at", "value"))).alias("_lines"))
+    several = several.select(*keep, F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"), F.lit(True).alias("_quoted"))
+    torn = rows.where("_loose").withColumn("source_row", F.col("source_row") + F.row_number().over(Window.partitionBy("path").orderBy("block", "_at")) - 1).select(*keep, "value", F.lit(False).alias("_quoted"))
+    found = whole.unionByName(several).unionByName(torn)
+    cells = F.when(F.col("_quoted"), _cells(F.col("value"), d)).otherwise(_split(F.col("value"), d))
+    unquoted = lambda c: F.when(F.col("_quoted"), F.regexp_replace(F.regexp_replace(F.trim(c), '(?s)^"(.*)"$', "$1"), '""', '"')).otherwise(c)
+    return found.select("source_file", F.lit(sheet).alias("source_sheet"), "source_row", F.transform(cells, lambda c: F.nullif(F.trim(unquoted(c), F.lit(" \t\r\n\x0b\x0c")), F.lit(""))).alias("cells"))
 
 
 def cell_text(cell: Column) -> Column:

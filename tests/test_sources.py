@@ -1,5 +1,9 @@
 """File readers and the streaming sink on small files."""
 
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +35,41 @@ def test_a_given_delimiter_holds_for_all_files(spark, tmp_path):
     assert [r.cells for r in files.read_delimited(spark, str(tmp_path), delimiter="|").collect()] == [["a", "b,c"]]
 
 
+def csv_rows(text, delimiter):
+    return [[c.strip() or None for c in row] for row in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)]
+
+
+@pytest.mark.parametrize("split", ["128m", "64"])
+def test_quoted_cells_over_line_breaks(spark, tmp_path, split):
+    """Rows over several lines and several parts of a file, against a reader that walks the file from its start."""
+    rng = random.Random(7)
+    texts = {"a.csv": 'NAME,NOTE\n"A","line one\nline two"\nB,5" pipe\n', "b.csv": 'x;y\n"1,2,3,4,5";"a;b\n;c"\n"q ""r"" s"; \n', "empty.csv": ""}
+    for k in range(3):
+        cell = lambda: rng.choice(["", "plain", "5\" pipe", '"a, b"', '"one\ntwo"', '"' + "long\n" * rng.randint(1, 9) + '"', '"say ""hi"""', '"\n\n"', '"a"'])
+        texts[f"c{k}.csv"] = "".join(",".join(["k", *(cell() for _ in range(3))]) + "\n" for _ in range(60))
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = files.read_delimited(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, text in texts.items():
+        got = sorted((r.source_row, r.cells) for r in rows if r.source_file == name)
+        want = csv_rows(text, ";" if name == "b.csv" else ",")
+        assert got == list(enumerate(want)), name
+
+
+def test_a_quote_that_is_never_closed_is_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n"c\nd",e\n"open,f\ng,h\n' + "i,j\n" * 50)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32")
+    try:
+        rows = sorted((r.source_row, r.cells) for r in files.read_delimited(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows[:4] == [(0, ["a", "b"]), (1, ["c\nd", "e"]), (2, ['"open', "f"]), (3, ["g", "h"])] and rows[-1] == (53, ["i", "j"]) and len(rows) == 54
+
+
 @pytest.mark.parametrize(
     "head,want",
     [

@@ -20,7 +20,7 @@ def records_of(mapped: DataFrame, *, developments: DataFrame | None = None, know
     checked = written(dedup.with_identity(quality.validate(quality.standardise(rows))))
     judged = dedup.exact_duplicates(checked, scope=scope, known=known)
     if near:
-        judged, _ = dedup.near_duplicates(written(judged), metric=metric)
+        judged = dedup.near_duplicates(written(judged), metric=metric)
     return quality.classify(judged)
 
 

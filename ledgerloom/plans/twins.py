@@ -165,18 +165,27 @@ def place_key(x: str) -> str:
     return f"CASE WHEN {words} <> '' THEN {words} ELSE {t} END"
 
 
+def alike(other: str) -> str:
+    """Similarity of a name key and another by edit distance; 0 where either is missing."""
+    return f"CASE WHEN coalesce(key, '') = '' OR coalesce({other}, '') = '' THEN 0.0 WHEN key = {other} THEN 1.0 ELSE 1 - levenshtein(key, {other}) / greatest(length(key), length({other}), 1) END"
+
+
 def records(scope: str = "file") -> str:
-    """Records with exact duplicates of the scope, then near duplicates (by edit distance) inside each file, and the status."""
+    """Records with exact duplicates of the scope, then near duplicates inside each file by a walk over its rows (by edit distance), and the status."""
     keys = "identity_hash" + (", source_file" if scope == "file" else "")
-    return f"""{CHECKED},
+    return f"""RECURSIVE {CHECKED},
 marked AS (SELECT *, CASE WHEN is_valid AND row_number() OVER (PARTITION BY is_valid, {keys} ORDER BY source_file, source_sheet, source_row) > 1 THEN 'duplicate_identity_hash' END AS exact_flag FROM checked),
-usable AS (SELECT *, {name_key('name')} AS key, CASE WHEN community IS NOT NULL AND coalesce(unit_number, plot_number) IS NOT NULL THEN upper(community) || '|' || upper(coalesce(building_cluster, '')) || '|' || upper(coalesce(unit_number, plot_number)) END AS prop FROM marked WHERE is_valid AND exact_flag IS NULL),
-blocks AS (SELECT source_file, source_sheet, source_row, key, 'property' AS kind, prop AS block FROM usable WHERE key <> '' AND prop IS NOT NULL UNION ALL SELECT source_file, source_sheet, source_row, key, 'phone', mobile_1 FROM usable WHERE key <> '' AND mobile_1 IS NOT NULL),
-names AS (SELECT source_file, kind, block, key, min(row(source_sheet, source_row)) AS at FROM blocks GROUP BY ALL),
-sims AS (SELECT a.source_file, a.kind, a.block, a.key, b.at, CASE WHEN a.key = b.key THEN 1.0 ELSE 1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key), 1) END AS score FROM names a JOIN names b USING (source_file, kind, block)),
-near AS (SELECT x.source_file, x.source_sheet, x.source_row, x.kind, max(s.score) AS score FROM blocks x JOIN sims s ON x.source_file = s.source_file AND x.kind = s.kind AND x.block = s.block AND x.key = s.key WHERE s.score >= 0.85 AND s.at < row(x.source_sheet, x.source_row)
-  GROUP BY x.source_file, x.source_sheet, x.source_row, x.kind QUALIFY row_number() OVER (PARTITION BY x.source_file, x.source_sheet, x.source_row ORDER BY x.kind DESC) = 1),
-flagged AS (SELECT marked.*, coalesce(exact_flag, 'fuzzy_duplicate_' || kind || '_match_' || CAST(CAST(floor(score * 100) AS INT) AS VARCHAR) || 'pct') AS duplicate_flag FROM marked LEFT JOIN near USING (source_file, source_sheet, source_row)),
+usable AS (SELECT *, {name_key('name')} AS key, CASE WHEN community IS NOT NULL AND coalesce(unit_number, plot_number) IS NOT NULL THEN upper(community) || '|' || upper(coalesce(building_cluster, '')) || '|' || upper(coalesce(unit_number, plot_number)) END AS prop, bool_or(exact_flag IS NULL) OVER (PARTITION BY source_file, identity_hash) AS first_here FROM marked WHERE is_valid),
+steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY source_sheet, source_row) AS step FROM usable WHERE name IS NOT NULL AND (prop IS NOT NULL OR mobile_1 IS NOT NULL) AND first_here),
+walk AS (SELECT source_file, CAST(0 AS BIGINT) AS step, MAP([''], ['']) AS names, MAP([''], [TRUE]) AS seen, CAST(NULL AS VARCHAR) AS source_sheet, CAST(NULL AS BIGINT) AS source_row, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT source_file FROM steps) UNION ALL
+  SELECT source_file, step, CASE WHEN kind IS NULL THEN map_concat(names, MAP(list_filter(['p|' || prop, 'm|' || mobile_1], lambda x: x IS NOT NULL), list_transform(list_filter([prop, mobile_1], lambda x: x IS NOT NULL), lambda x: key))) ELSE names END,
+    CASE WHEN kind IS NULL THEN map_concat(seen, MAP([identity_hash], [TRUE])) ELSE seen END, source_sheet, source_row, kind, CASE kind WHEN 'property' THEN by_prop WHEN 'phone' THEN by_phone END
+  FROM (SELECT *, CASE WHEN len(map_extract(seen, identity_hash)) > 0 THEN 'exact' WHEN by_prop >= 0.85 THEN 'property' WHEN by_phone >= 0.85 THEN 'phone' END AS kind
+    FROM (SELECT *, {alike('last_prop')} AS by_prop, {alike('last_phone')} AS by_phone
+      FROM (SELECT s.*, w.names, w.seen, map_extract(w.names, 'p|' || s.prop)[1] AS last_prop, map_extract(w.names, 'm|' || s.mobile_1)[1] AS last_phone FROM walk w JOIN steps s ON s.source_file = w.source_file AND s.step = w.step + 1)))),
+near AS (SELECT source_file, source_sheet, source_row, kind, score FROM walk WHERE step > 0 AND kind <> 'exact'),
+taken AS (SELECT source_file, source_sheet, source_row FROM walk WHERE step > 0 AND kind IS NULL),
+flagged AS (SELECT marked.*, CASE WHEN t.source_row IS NULL THEN coalesce('fuzzy_duplicate_' || kind || '_match_' || CAST(CAST(floor(score * 100) AS INT) AS VARCHAR) || 'pct', exact_flag) END AS duplicate_flag FROM marked LEFT JOIN near USING (source_file, source_sheet, source_row) LEFT JOIN taken t USING (source_file, source_sheet, source_row)),
 judged AS (SELECT *, CASE WHEN NOT is_valid THEN 'INVALID' WHEN duplicate_flag IS NOT NULL THEN 'DUPLICATE' WHEN name IS NOT NULL AND (mobile_1 IS NOT NULL OR email_address IS NOT NULL) AND has_context THEN 'VALID' ELSE 'INCOMPLETE' END AS status FROM flagged),
 records AS (SELECT *, source_row AS id, array_to_string(list_concat(flags2, CASE WHEN status = 'DUPLICATE' THEN [duplicate_flag] WHEN status = 'INCOMPLETE' THEN [CASE WHEN name IS NULL AND mobile_1 IS NULL AND email_address IS NULL THEN 'incomplete_missing_name_and_contact' WHEN name IS NULL THEN 'incomplete_missing_name' WHEN mobile_1 IS NULL AND email_address IS NULL THEN 'incomplete_missing_contact' ELSE 'incomplete_missing_property_info' END] ELSE [] END), ',') AS validation_flags FROM judged)"""
 

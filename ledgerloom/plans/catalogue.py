@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import cleaners as C
-from ledgerloom.operators import dedup, enrich, maintain, quality, search, stats
+from ledgerloom.operators import dedup, enrich, maintain, names, quality, search, stats
 from ledgerloom.plans import twins as S
 from ledgerloom.plans import views
 from ledgerloom.plans.pipeline import records_of
@@ -253,6 +253,19 @@ def near_dup_levenshtein(spark, sf_dir):
     return found.select("source_row", F.regexp_extract("duplicate_flag", "fuzzy_duplicate_(.*)_match", 1).alias("kind"), F.col("fuzzy_match_score").alias("score"))
 
 
+# customers under made-up names of three parts
+_NAMED = "upper(concat(CASE c_custkey % 5 WHEN 0 THEN 'Fatima' WHEN 1 THEN 'Mohammed' WHEN 2 THEN 'Karoline' WHEN 3 THEN 'Ines' ELSE 'Li' END, ' ', CASE c_custkey % 3 WHEN 0 THEN 'Okonkwo' WHEN 1 THEN 'Haddad' ELSE 'Wu' END, ' ', translate(CAST((c_custkey * 7919) % 1000 AS STRING), '0123456789', 'abeiklmost')))"
+
+
+@query(f"""WITH keys AS (SELECT DISTINCT c_mktsegment, {_NAMED} AS key FROM customer)
+SELECT c_mktsegment, a.key AS a, b.key AS b, floor((1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key))) * 1000 + 0.5) / 1000 AS score
+FROM keys a JOIN keys b USING (c_mktsegment) WHERE a.key < b.key AND 1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)) >= 0.85""")
+def similar_names(spark, sf_dir):
+    """All pairs of similar names within a segment, by the index of rare pairs of letters."""
+    keys = views.table(spark, sf_dir, "customer").select("c_mktsegment", F.expr(_NAMED).alias("key"))
+    return names.similar_names(keys, ["c_mktsegment"], metric="levenshtein").withColumn("score", F.floor(F.col("score") * 1000 + 0.5) / 1000)
+
+
 @query()
 def near_dup_ratio(spark, sf_dir):
     rows = records_of(views.register(spark, sf_dir))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import cleaners as C
-from ledgerloom.operators import dedup, enrich, maintain, names, quality, search, stats
+from ledgerloom.operators import dedup, enrich, indexes, maintain, names, quality, search, stats
 from ledgerloom.plans import twins as S
 from ledgerloom.plans import views
 from ledgerloom.plans.pipeline import records_of
-from ledgerloom.sources.shared import written
+from ledgerloom.sources.shared import shared_root, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -294,6 +295,25 @@ def search_filters(spark, sf_dir):
     return search.search(records(spark, sf_dir), spec).select("id", "status")
 
 
+@query(f"WITH {S.RECORDS} SELECT id, name, community FROM records WHERE ({_LIKE('osman')}) AND status <> 'INVALID'")
+def search_by_trigrams(spark, sf_dir):
+    """A stored table with an index of trigrams beside it: only files that hold all trigrams of the text are read, and their rows tested."""
+    root = f"{shared_root(spark)}/indexed-{uuid.uuid4().hex}"
+    rows = records(spark, sf_dir)
+    rows.where("status <> 'INVALID'").repartitionByRange("name").write.parquet(f"{root}/table")
+    indexes.write_trigrams(spark, f"{root}/table", f"{root}/index")
+    return indexes.indexed_search(spark, f"{root}/table", f"{root}/index", search.Search(text="OSMAN", status="ALL")).select("id", "name", "community")
+
+
+@query(f"WITH {S.RECORDS} SELECT id, size, row_number() OVER (ORDER BY size DESC NULLS LAST, id DESC) AS rank FROM records WHERE status <> 'INVALID' QUALIFY rank > 120 AND rank <= 160")
+def page_by_ordinals(spark, sf_dir):
+    """The fourth page of forty by an index of the order: the ranges that hold it are read, and no others."""
+    rows, spec = records(spark, sf_dir).where("status <> 'INVALID'"), search.Search(status="ALL", sort="size")
+    root = f"{shared_root(spark)}/ordinals-{uuid.uuid4().hex}"
+    indexes.write_ordinals(rows, spec, root, ranges=16)
+    return indexes.page_at(rows, spec, root, 4, 40).select("id", "size", "rank")
+
+
 _PAGE = search.Search(status="ALL", sort="size", descending=False)
 
 

@@ -36,16 +36,24 @@ def query(sql: str | None = None):
 _STORED: dict[tuple, str] = {}
 
 
+def _inputs(spark: SparkSession, sf_dir: str, **more) -> tuple:
+    """What the register is made of: the session, and a checksum over names, sizes and times of the files it is read from. Their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{t}.parquet" for t in ("customer", "nation")])
+    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return (spark.sparkContext.applicationId, sf_dir, *map(str, state), *more.items())
+
+
 def ingested(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     """The register as classified records, cleaned and judged anew and written to the shared folder."""
+    key = _inputs(spark, sf_dir, **more)
     rows = written(records_of(views.register(spark, sf_dir), metric="levenshtein", **more))
-    _STORED[(spark.sparkContext.applicationId, sf_dir, *more.items())] = rows.inputFiles()[0].rsplit("/", 1)[0]
+    _STORED[key] = rows.inputFiles()[0].rsplit("/", 1)[0]
     return rows
 
 
 def stored(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    """The record table that the first query of a session ingests and the others read, as a service reads its stored records."""
-    path = _STORED.get((spark.sparkContext.applicationId, sf_dir, *more.items()))
+    """The record table that the first query of a session ingests and the others read, as a service reads its stored records. Tables that have changed since are ingested again."""
+    path = _STORED.get(_inputs(spark, sf_dir, **more))
     return spark.read.parquet(path) if path else ingested(spark, sf_dir, **more)
 
 

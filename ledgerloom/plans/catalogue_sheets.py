@@ -14,6 +14,7 @@ from ledgerloom.plans import twins as S
 from ledgerloom.plans import views
 from ledgerloom.plans.catalogue import query, records
 from ledgerloom.plans.pipeline import normalise
+from ledgerloom.plans.rerun import fingerprints
 from ledgerloom.sources import files, sinks
 from ledgerloom.sources.shared import shared_root
 from ledgerloom.streaming import ingest
@@ -254,6 +255,20 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{root}/records").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT concat('nation ', c_nationkey) AS source_file, bool_or(c_nationkey % 3 = 0 OR (c_nationkey % 5 = 1 AND c_custkey % 7 = 0)) AS changed, CAST(count(*) + 1 AS BIGINT) AS n_rows FROM customer GROUP BY c_nationkey")
+def files_to_rerun(spark, sf_dir):
+    """A file a nation, before and after two edits: an alias for a heading that each third file has, and a cell in some rows of each fifth. Those files run again, and no others."""
+    file = F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))
+    people = views.table(spark, sf_dir, "customer").select("c_nationkey", file.alias("source_file"), F.lit("S").alias("source_sheet"), F.col("c_custkey").alias("source_row"), "c_name", "c_mktsegment")
+    second = F.when(F.col("c_nationkey") % 3 == 0, "Cell").otherwise("Mobile")
+    heads = people.select("source_file", "source_sheet", F.lit(-1).cast("long").alias("source_row"), F.array(F.lit("Name"), second).alias("cells")).distinct()
+    rows = lambda segment: people.select("source_file", "source_sheet", "source_row", F.array("c_name", segment).alias("cells")).unionByName(heads)
+    edited = F.when((F.col("c_nationkey") % 5 == 1) & (F.col("source_row") % 7 == 0), "edited").otherwise(F.col("c_mktsegment"))
+    aliases = mapping.alias_table(spark)
+    before, after = fingerprints(rows(F.col("c_mktsegment")), aliases), fingerprints(rows(edited), mapping.add_alias(aliases, "cell", "Mobile 1"))
+    return after.join(before.select("source_file", F.col("fingerprint").alias("was")), "source_file").select("source_file", (F.col("fingerprint") != F.col("was")).alias("changed"), "n_rows")
+
+
 def _normalised(spark, sf_dir):
     return normalise(raw_rows(spark, sf_dir), mapping.alias_table(spark), developments=views.developments(spark, sf_dir))
 

@@ -42,3 +42,13 @@ def test_runs(spark, name):
 def test_excluded_headings_never_reach_the_data(spark):
     out = catalogue.QUERIES["map_columns"](spark, SF)
     assert out.where("extras LIKE '%X1234%' OR name LIKE '%X1234%'").count() == 0
+
+
+def test_stored_records_follow_their_tables(spark, tmp_path):
+    """Replacing a table under the same path is noticed."""
+    for name in ("customer", "nation"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    whole = catalogue.records(spark, str(tmp_path)).count()
+    assert catalogue.records(spark, str(tmp_path)).inputFiles() == catalogue.records(spark, str(tmp_path)).inputFiles()
+    spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey < 20").write.mode("overwrite").parquet(f"{tmp_path}/customer.parquet")
+    assert 0 < catalogue.records(spark, str(tmp_path)).count() < whole

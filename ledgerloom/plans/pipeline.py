@@ -17,11 +17,20 @@ def records_of(mapped: DataFrame, *, developments: DataFrame | None = None, know
     several times, and the chain of cleaning expressions would stand in the plan once for each look.
     """
     rows = enrich.enrich(mapped, developments, id_col=id_col) if developments is not None else mapped
-    checked = written(dedup.with_identity(quality.validate(quality.standardise(rows))))
-    judged = dedup.exact_duplicates(checked, scope=scope, known=known)
+    return judged(written(identified(rows)), known=known, scope=scope, near=near, metric=metric)
+
+
+def identified(mapped: DataFrame) -> DataFrame:
+    """Mapped text rows cleaned, validated and with their identity: row by row, so for streams too."""
+    return dedup.with_identity(quality.validate(quality.standardise(mapped)))
+
+
+def judged(checked: DataFrame, *, known: DataFrame | None = None, scope: str = "file", near: bool = True, metric: str = "ratio") -> DataFrame:
+    """Rows of :func:`identified` as classified records: find exact and near duplicates, classify."""
+    rows = dedup.exact_duplicates(checked, scope=scope, known=known)
     if near:
-        judged = dedup.near_duplicates(written(judged), metric=metric)
-    return quality.classify(judged)
+        rows = dedup.near_duplicates(written(rows), metric=metric)
+    return quality.classify(rows)
 
 
 def normalise(raw_rows: DataFrame, aliases: DataFrame, *, developments: DataFrame | None = None, **more) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ _WIDE = [
     f"concat(CASE k % 3 WHEN 0 THEN 'JBR' WHEN 1 THEN 'jlt' ELSE 'ZZ' END, ' | DXB | ', CASE k % 2 WHEN 0 THEN 'NA' ELSE concat('u', {_text('k')}) END, ' | RIMAL ', {_text('k % 5')})",
     f"concat('Fax 1: 009714', {_text('k')}, ', Mobile 1: 9715055', lpad({_text('k')}, 5, '0'), ', Tel: 04', {_text('k')})", f"concat('a', {_text('k')}, '@x.com; b', {_text('k')}, '@y.com')",
 ]
-_LEADS = ["concat('Lead ', name)", f"concat('0501', lpad({_text('k')}, 6, '0'))", f"concat('l', {_text('k')}, '@mail.ae')"]
+_LEADS = ["'Lead ' || name", f"concat('0501', lpad({_text('k')}, 6, '0'))", f"concat('l', {_text('k')}, '@mail.ae')"]
 #: A register of owners without a heading: 25 columns, of which the first rows hold more words than numbers.
 _OWNERS = [
     _text("k"), "'Business Bay'", "'Shop'", _text("k % 90 + 20"), "'P1'", "'Dubai'", "coalesce(name, 'Owner of it')", "'half'", "'Street 5'", "mobile_1", "email_address", "'no fax'", "'box'", "'F'", "'not known'",
@@ -86,33 +86,95 @@ def header_row_detect(spark, sf_dir):
     return planned(spark, sf_dir)[1].select(*mapping.SHEET, "header_row", F.array_join("header", "|").alias("header"))
 
 
-@query()
+_norm = lambda x: rf"upper(trim(regexp_replace(replace(coalesce({x}, ''), chr(96), chr(39)), '\s+', ' ', 'g')))"
+_filled = lambda x: f"coalesce(trim({x}), '') <> ''"
+_ranks = "CASE " + " ".join(f"WHEN h IN ({S.quoted(names)}) THEN {rank}" for rank, names in V.RANKS.items()) + f" ELSE {V.DEFAULT_RANK} END"
+
+#: The plan of each sheet's columns, by its headings and the first 50 rows below them.
+PLAN_SQL = f"""WITH {RAW_SQL}, {HEADERS_SQL},
+body AS (SELECT raw.*, header_row FROM raw JOIN headers USING (source_file, source_sheet) WHERE source_row > header_row),
+first_rows AS (SELECT * FROM body QUALIFY row_number() OVER (PARTITION BY source_file, source_sheet ORDER BY source_row) <= {mapping.SAMPLE_ROWS}),
+sampled AS (SELECT source_file, source_sheet, generate_subscripts(cells, 1) - 1 AS idx, unnest(cells) AS v FROM first_rows),
+seen AS (SELECT source_file, source_sheet, idx, avg(CASE WHEN try_cast(replace(v, ',', '') AS DOUBLE) IS NULL THEN 0.0 ELSE 1.0 END) AS numbers, bool_or(upper(trim(v)) IN ('BUYER', 'SELLER')) AS parties FROM sampled WHERE {_filled('v')} GROUP BY ALL),
+heads AS (SELECT source_file, source_sheet, generate_subscripts(string_split(header, '|'), 1) - 1 AS idx, unnest(string_split(header, '|')) AS header FROM headers WHERE header IS NOT NULL),
+named AS (SELECT heads.*, {_norm('header')} AS h, numbers, parties FROM heads LEFT JOIN seen USING (source_file, source_sheet, idx)),
+aliased AS (SELECT *, {S.table(V.ALIASES, 'h')} AS alias FROM named),
+placed AS (SELECT *, CASE WHEN h = '' THEN 'blank' WHEN h IN ({S.quoted(V.EXCLUDED_HEADERS)}) THEN 'excluded' WHEN h = 'PREMISE 1' THEN 'premise' WHEN h IN ('PREMISE 2', 'PREMISE 3') THEN 'skipped'
+  WHEN h = 'OWNERS_PHONE' THEN 'phones' WHEN h = 'OWNERS_EMAIL' THEN 'emails' WHEN h IN ({S.quoted(V.ASIDE_HEADERS)}) THEN 'aside'
+  WHEN h = 'TYPE' AND alias = 'Type (Buyer/Seller)' AND NOT parties THEN 'aside' WHEN alias IS NOT NULL THEN 'mapped' ELSE 'unmapped' END AS disposition FROM aliased),
+plan AS (SELECT source_file, source_sheet, CAST(idx AS INT) AS idx, header, h AS header_norm, disposition,
+  CASE WHEN disposition = 'mapped' THEN CASE WHEN h = 'AREA' AND numbers > 0.7 THEN 'Size' WHEN h = 'AREA' AND numbers IS NOT NULL THEN 'Community' ELSE alias END END AS target, CAST({_ranks} AS INT) AS rank FROM placed)"""
+
+_list = lambda value, test, order: f"coalesce(string_agg({value}, '|' ORDER BY {order}) FILTER ({test}), '')"
+_joined = lambda *columns: [F.array_join(c, "|").alias(c) for c in columns]
+_has = lambda values: f"bool_or(target IN ({S.quoted(values)}))"
+
+SHEETS_SQL = f"""{PLAN_SQL}, sized AS (SELECT source_file, source_sheet, count(*) AS n_rows, CAST(max(len(cells)) AS INT) AS n_cols FROM raw GROUP BY ALL),
+targets AS (SELECT source_file, source_sheet, coalesce(bool_or(target = 'PI number'), FALSE) AS pi, coalesce({_has(V.PERSON_TARGETS)}, FALSE) AS person, coalesce({_has(V.PLACE_TARGETS)}, FALSE) AS place, list_sort(list(DISTINCT target) FILTER (target IS NOT NULL)) AS targets,
+  array_to_string(list_sort(list(header) FILTER (disposition = 'unmapped'))[1:20], '|') AS unmapped, bool_or(header_norm IN ({S.quoted(V.REFERENCE_HEADERS)})) AS reference,
+  bool_or(starts_with(header_norm, 'DEVELOPMENT')) AND bool_or(header_norm = 'CONFIDENCE' OR header_norm IN ({S.quoted(V.REFERENCE_HEADERS)})) AND NOT bool_or(header_norm IN ({S.quoted(V.CONTACT_HEADERS)})) AS lists FROM plan GROUP BY ALL),
+sheets AS (SELECT source_file, source_sheet, n_rows, n_cols, header_row, header_row = -1 AS headerless,
+  coalesce(lists, FALSE) OR (regexp_matches(lower(source_sheet), '{'|'.join(V.REFERENCE_WORDS)}') AND coalesce(reference, TRUE)) AS is_reference,
+  CASE WHEN pi AND person AND place THEN 'both' WHEN pi AND person THEN 'owner' WHEN pi AND place THEN 'property' WHEN NOT pi AND person THEN 'both' ELSE 'other' END AS role,
+  coalesce(array_to_string(targets, '|'), '') AS targets, coalesce(unmapped, '') AS unmapped, coalesce(header, '') AS header
+  FROM sized JOIN headers USING (source_file, source_sheet) LEFT JOIN targets USING (source_file, source_sheet))"""
+
+
+@query(f"{PLAN_SQL} SELECT * FROM plan")
 def column_plan(spark, sf_dir):
     return planned(spark, sf_dir)[3]
 
 
-@query()
+@query(f"{SHEETS_SQL} SELECT * FROM sheets")
 def sheet_profile(spark, sf_dir):
     rows, headers, _, plan = planned(spark, sf_dir)
-    return mapping.sheet_profile(rows, headers, plan)
+    return mapping.sheet_profile(rows, headers, plan).withColumns({c: F.array_join(c, "|") for c in ("targets", "unmapped", "header")})
 
 
-@query()
+@query(f"""{SHEETS_SQL}, own AS (SELECT source_file, count(DISTINCT t) AS n FROM (SELECT source_file, unnest(string_split(targets, '|')) AS t FROM sheets WHERE NOT is_reference) WHERE t <> '' GROUP BY source_file)
+SELECT source_file, count(*) AS n_sheets, CAST(coalesce(sum(n_rows) FILTER (NOT is_reference), 0) AS BIGINT) AS n_rows, CAST(coalesce(max(n), 0) AS INT) AS n_targets, bool_and(is_reference) AS is_reference FROM sheets LEFT JOIN own USING (source_file) GROUP BY source_file""")
 def file_profile(spark, sf_dir):
     rows, headers, _, plan = planned(spark, sf_dir)
     return mapping.file_profile(mapping.sheet_profile(rows, headers, plan))
 
 
-@query()
+@query(f"""{PLAN_SQL} SELECT source_file, source_sheet, {_list("header || ' -> ' || target", 'target IS NOT NULL', 'idx')} AS mapped, count(target) AS n_mapped,
+  {_list('header', "disposition IN ('aside', 'unmapped')", 'header')} AS aside, {_list('header', "disposition = 'excluded'", 'header')} AS excluded, {_list('header', "disposition = 'unmapped'", 'header')} AS unmapped FROM plan GROUP BY ALL""")
 def mapping_report(spark, sf_dir):
-    return mapping.mapping_report(planned(spark, sf_dir)[3])
-
-
-@query()
+    return mapping.mapping_report(planned(spark, sf_dir)[3]).select(*mapping.SHEET, "n_mapped", *_joined("mapped", "aside", "excluded", "unmapped"))
+
+
+_row = "source_file, source_sheet, source_row"
+_first = lambda label: f"max(v) FILTER (target = {S.quoted([label])} AND place = 1)"
+_kind = lambda kind: f"max(v) FILTER (disposition = '{kind}')"
+_shown = ["name", "mobile_1", "mobile_2", "mobile_3", "email_address", "community", "sub_community", "project", "building_cluster", "unit_number", "size", "party_type"]
+
+MAPPED_SQL = rf"""{PLAN_SQL}, headed AS (SELECT body.*, string_split(header, '|') AS head FROM body JOIN headers USING (source_file, source_sheet) WHERE len(list_filter(cells, lambda c: {_filled('c')})) > 0),
+compared AS (SELECT *, list_filter(range(1, len(cells) + 1), lambda i: {_filled('head[i]')}) AS shown FROM headed),
+bodies AS (SELECT * FROM compared WHERE len(shown) = 0 OR len(list_filter(shown, lambda i: cells[i] IS NOT NULL AND {_norm('cells[i]')} = {_norm('head[i]')})) < greatest(2, len(shown) // 2)),
+entries AS (SELECT {_row}, idx, rank, header, header_norm, disposition, target, nullif(cells[idx + 1], '') AS v FROM bodies JOIN plan USING (source_file, source_sheet)),
+ranked AS (SELECT *, v IS NOT NULL AND (target <> 'Name' OR NOT regexp_matches(v, '(?i)^\s*owners?\s+data\s*#?\d*\s*$') AND NOT regexp_matches(trim(v), '^\d+$')) AS good FROM entries),
+choices AS (SELECT *, CASE WHEN good THEN row_number() OVER (PARTITION BY {_row}, target, good ORDER BY rank, idx) END AS place FROM ranked),
+wide AS (SELECT {_row}, {', '.join(f'{_first(label)} AS {c}' for label, c in V.LABELS.items() if c in _shown)}, {_kind('premise')} AS premise, {_kind('phones')} AS phones, {_kind('emails')} AS emails,
+  bool_or(coalesce(target = 'Sub-Community', FALSE) AND header_norm IN ({S.quoted(V.PROJECT_HEADERS)})) AS from_project FROM choices GROUP BY {_row}),
+parted AS (SELECT *, list_transform(string_split(premise, '|'), lambda p: trim(p)) AS p, list_filter(list_transform(string_split(replace(emails, ';', ','), ','), lambda e: trim(e)), lambda e: e <> '') AS e,
+  list_transform(list_filter(string_split(phones, ','), lambda x: regexp_matches(x, '(?i)(mobile|tel|phone)\s*\d*\s*:')), lambda x: trim(regexp_extract(x, ':(.*)', 1))) AS n FROM wide),
+kept AS (SELECT {_row}, header AS key, v, 0 AS kind, rank, idx FROM entries WHERE disposition IN ('aside', 'unmapped') AND v IS NOT NULL
+  UNION ALL SELECT {_row}, c.header, c.v, 1, c.rank, c.idx FROM choices c JOIN (SELECT {_row}, target, v AS won FROM choices WHERE place = 1) w USING ({_row}, target) WHERE c.v <> won
+  UNION ALL SELECT {_row}, 'additional_emails', array_to_string(e[2:], ','), 2, 0, 0 FROM parted WHERE len(e) > 1),
+extras AS (SELECT {_row}, string_agg(key || '=' || v, '; ' ORDER BY key || '=' || v) AS extras FROM (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY {_row}, key ORDER BY kind, rank, idx) = 1) GROUP BY ALL)
+SELECT {_row}, name, coalesce(mobile_1, n[1]) AS mobile_1, coalesce(mobile_2, n[2]) AS mobile_2, coalesce(mobile_3, n[3]) AS mobile_3, coalesce(email_address, e[1]) AS email_address,
+  coalesce(community, CASE WHEN len(p) >= 4 THEN coalesce({S.table(V.COMMUNITY_CODES, 'upper(p[1])')}, nullif(p[1], '')) END) AS community, coalesce(sub_community, project) AS sub_community, coalesce(project, CASE WHEN from_project THEN sub_community END) AS project,
+  coalesce(building_cluster, CASE WHEN len(p) >= 4 THEN nullif(p[4], '') ELSE nullif(trim(premise), '') END) AS building_cluster, coalesce(unit_number, CASE WHEN len(p) >= 4 AND upper(p[3]) NOT IN ('NA', '') THEN p[3] END) AS unit_number, size, party_type, coalesce(extras, '') AS extras
+FROM parted LEFT JOIN extras USING ({_row})"""
+
+
+@query(MAPPED_SQL)
 def map_columns(spark, sf_dir):
+    """All sheets under their plans; extras as sorted ``heading=value`` texts."""
     rows, headers, _, plan = planned(spark, sf_dir)
-    out = mapping.map_columns(rows, plan, headers)
-    return out.select(*mapping.SHEET, "source_row", "name", "mobile_1", "mobile_2", "email_address", "community", "sub_community", "project", "building_cluster", "unit_number", "size", "party_type", F.to_json("extras").alias("extras"))
+    pairs = F.transform(F.map_entries("extras"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return mapping.map_columns(rows, plan, headers).select(*mapping.SHEET, "source_row", *_shown, F.array_join(F.array_sort(pairs), "; ").alias("extras"))
 
 
 # premises of four, two and no parts, with codes in either case, blank parts and NA units

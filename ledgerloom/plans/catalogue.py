@@ -189,7 +189,23 @@ def reference_match(spark, sf_dir):
     return found.select("id", "dev.name", "dev.developer", "matched_by")
 
 
-@query()
+# names of the register's files have neither tags nor brackets nor words to leave out
+_GUESS = r"array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(source_file, '\.[^.]*$', ''), '[-_./\\]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+
+
+@query(f"""WITH {_BEST}, {views.REGISTER_SQL}, guessed AS (SELECT *, nullif({_GUESS}, '') AS guess FROM register),
+located AS (SELECT *, coalesce(community, '') = '' AND guess IS NOT NULL AS from_file, CASE WHEN coalesce(community, '') = '' THEN guess ELSE community END AS place FROM guessed),
+cand AS ({' UNION ALL '.join(f"SELECT source_row AS id, {pos} AS pos, {S.place_key(c)} AS key FROM located WHERE {c} IS NOT NULL" for pos, c in enumerate(("project", "sub_community", "place", "building_cluster", "guess")))}),
+keys AS (SELECT DISTINCT key FROM cand WHERE length(key) >= 5),
+parts AS (SELECT DISTINCT key, unnest(list_concat(string_split(key, ' '), list_transform(range(1, len(string_split(key, ' ')) + 1), lambda n: array_to_string(string_split(key, ' ')[1:n], ' ')))) AS ref_key FROM keys),
+found AS (SELECT key, 0 AS step, ref_ord, region, developer, dev_type FROM (SELECT DISTINCT key FROM cand) JOIN best ON key = ref_key UNION ALL SELECT key, 1, ref_ord, region, developer, dev_type FROM parts JOIN best USING (ref_key) WHERE length(ref_key) >= 5),
+firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY key, step ORDER BY ref_ord) = 1),
+hits AS (SELECT id, step, region AS r, developer AS d, dev_type AS t FROM cand JOIN firsts USING (key) QUALIFY row_number() OVER (PARTITION BY id ORDER BY step, pos) = 1),
+filled AS (SELECT source_row, from_file, step, coalesce(place, '') = '' AND r IS NOT NULL AS c_ref, coalesce(developer, '') = '' AND d IS NOT NULL AS d_ref, coalesce(property_type, '') = '' AND t IS NOT NULL AS t_ref, place, developer, property_type, r, d, t,
+  regexp_matches(lower(concat_ws(' ', coalesce(place, ''), coalesce(sub_community, ''), coalesce(project, ''), coalesce(building_cluster, ''), coalesce(guess, ''))), '{'|'.join(S.V.KNOWN_SUBPROJECTS)}') AS sub FROM located LEFT JOIN hits ON source_row = id),
+told AS (SELECT *, coalesce(developer, '') = '' AND NOT d_ref AND sub AS known FROM filled)
+SELECT source_row, CASE WHEN c_ref THEN r ELSE place END AS community, CASE WHEN d_ref THEN d WHEN known THEN {S.quoted([S.V.KNOWN_DEVELOPER])} ELSE nullif(developer, '') END AS developer, CASE WHEN t_ref THEN t ELSE nullif(property_type, '') END AS property_type,
+  array_to_string({S.compact("CASE WHEN from_file OR c_ref THEN 'community' END", "CASE WHEN d_ref OR known THEN 'developer' END", "CASE WHEN t_ref THEN 'property_type' END")}, ',') AS enriched_fields, CASE step WHEN 0 THEN 'exact' WHEN 1 THEN 'contained' END AS matched_by FROM told""")
 def enrich_fill(spark, sf_dir):
     rows = enrich.enrich(views.register(spark, sf_dir), views.developments(spark, sf_dir), id_col="source_row")
     return rows.select("source_row", "community", "developer", "property_type", F.array_join("enriched_fields", ",").alias("enriched_fields"), "matched_by")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -47,42 +49,84 @@ def _texts_with_hex(texts: pa.StringArray, least: int = 16) -> np.ndarray:
 class Novelty:
     """Marginal compressed bytes of a string, given the code around it and the identifiers of its text.
 
-    Identifiers count where they stand outside the string and its repeats among the ``candidates``; they prime the
-    compressor in blocks, so that none is left out.
+    An identifier counts for a string unless it stands nowhere but in that string and its repeats among the ``candidates``. A string's dictionary
+    holds, for each of its positions in turn, the longest run that continues there in any identifier: a compressor needs no more of them. The
+    runs are looked up in a sorted array of the identifiers' suffixes, so that work grows with the text and not with strings times identifiers.
     """
 
-    def __init__(self, text: str, candidates: list[str], around: int = 1024, block: int = 32_768):
-        self.text, self.around, self.block = text, around, block
-        self.count = Counter(_IDENTIFIER.findall(text))
-        self.repeats = Counter(candidates)
-        self.names = sorted(self.count)
-        self.blocks = self._blocks(self.names)
-
-    def _blocks(self, names: list[str]) -> list[bytes]:
-        out, size = [[]], 0
-        for name in names:
-            if out[-1] and size + len(name) + 1 > self.block:
-                out.append([])
-                size = 0
-            out[-1].append(name)
-            size += len(name) + 1
-        return [" ".join(x).encode() for x in out]
+    #: Bytes of a suffix that are sorted, and the least run that goes into a dictionary.
+    SORTED, RUN = 16, 4
+
+    def __init__(self, text: str, candidates: list[str], around: int = 1024, block: int = 1 << 22):
+        self.text, self.around = text, around
+        count, repeats = Counter(_IDENTIFIER.findall(text)), Counter(candidates)
+        self.strings = list(repeats)
+        self.number = {own: i for i, own in enumerate(self.strings)}
+        owner = {name: i for i, own in enumerate(self.strings) for name, n in Counter(_IDENTIFIER.findall(own)).items() if count[name] <= n * repeats[own]}
+        names = sorted(count)
+        self.best = [np.zeros(len(own), np.int64) for own in self.strings]
+        self.place = [np.zeros(len(own), np.int64) for own in self.strings]
+        self.names = (" ".join(names) + " ").encode()
+        sizes = np.array([len(name) + 1 for name in names], np.int64)
+        owners = np.repeat(np.array([owner.get(name, -1) for name in names], np.int32), sizes)
+        for at in range(0, len(self.names), block):
+            self._look_up(at, min(len(self.names), at + block), owners[at : at + block])
+
+    def _suffixes(self, data: bytes, filler: bytes) -> np.ndarray:
+        """The first bytes of every suffix, a row each."""
+        return np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + filler * (self.SORTED - 1), np.uint8), self.SORTED)
+
+    def _look_up(self, start: int, stop: int, owners: np.ndarray) -> None:
+        """Set for each position of each string where its longest run begins, if these identifiers hold a longer one."""
+        suffixes = self._suffixes(self.names[start : stop + self.SORTED - 1], b" ")[: stop - start]
+        as_text = np.ascontiguousarray(suffixes).view(f"S{self.SORTED}").ravel()
+        order = np.argsort(as_text, kind="stable")
+        as_text, owners = as_text[order], owners[order]
+        # a string's own identifiers stand in stretches, which are stepped over at once; what nobody owns is never stepped over
+        new = np.concatenate([[True], owners[1:] != owners[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(owners)), 0))
+        last = np.concatenate([np.flatnonzero(new)[1:], [len(owners)]])[np.cumsum(new) - 1]
+        for i, own in enumerate(self.strings):
+            wanted = self._suffixes(own.encode(), b"\0")
+            found = np.searchsorted(as_text, np.ascontiguousarray(wanted).view(f"S{self.SORTED}").ravel())
+            below, above = found - 1, found
+            mine = (below >= 0) & (owners[below] == i)
+            below = np.where(mine, first[below] - 1, below)
+            mine = (above < len(owners)) & (owners[np.minimum(above, len(owners) - 1)] == i)
+            above = np.where(mine, last[np.minimum(above, len(owners) - 1)], above)
+            for side, there in ((below, below >= 0), (above, above < len(owners))):
+                at = order[np.where(there, side, 0)]
+                same = suffixes[at] == wanted
+                run = np.where(there, np.where(same.all(1), self.SORTED, same.argmin(1)), 0)
+                longer = run > self.best[i]
+                self.best[i][longer] = run[longer]
+                self.place[i][longer] = at[longer] + start
+
+    def known_runs(self, own: str) -> list[bytes]:
+        """Runs of the identifiers that make up as much of the string as they can, from its start on."""
+        i, bytes_, out, at = self.number[own], own.encode(), [], 0
+        best, place = self.best[i].tolist(), self.place[i].tolist()
+        while at < len(bytes_):
+            size, begin = best[at], place[at]
+            if size < self.RUN:
+                at += 1
+                continue
+            while at + size < len(bytes_) and self.names[begin + size] == bytes_[at + size]:
+                size += 1
+            out.append(self.names[begin : begin + size])
+            at += size
+        return out
 
     def share(self, start: int, stop: int) -> float:
         """Bytes that the string adds to what stands before it, over its length: about 0 for known text, about 0.8 and more for random characters."""
         import zstandard
 
         own = self.text[start:stop]
-        parts = Counter(_IDENTIFIER.findall(own))
-        inside = {name for name, n in parts.items() if self.count[name] <= n * self.repeats[own]}
-        blocks = self._blocks([name for name in self.names if name not in inside]) if inside else self.blocks
         before, after = self.text[max(0, start - self.around) : start], self.text[stop : stop + self.around]
-        lead, least = before.encode()[-200:], float("inf")
-        for names in blocks:
-            prime = zstandard.ZstdCompressionDict(names + b" " + after.encode() + b" " + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            press = zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False)
-            least = min(least, len(press.compress(lead + own.encode())) - len(press.compress(lead)))
-        return least / len(own.encode())
+        lead = before.encode()[-200:]
+        prime = zstandard.ZstdCompressionDict(b" ".join([*self.known_runs(own), after.encode(), before.encode()]), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        press = zstandard.ZstdCompressor(level=19, dict_data=prime, write_content_size=False, write_checksum=False)
+        return (len(press.compress(lead + own.encode())) - len(press.compress(lead))) / len(own.encode())
 
 
 def spans_of(text: str, *, least_share: float = 0.75, reach: int = 64) -> list[tuple[int, int, str]]:
@@ -94,9 +138,10 @@ def spans_of(text: str, *, least_share: float = 0.75, reach: int = 64) -> list[t
     if sensitive:
         ends, near = np.array(sensitive), []
         taken = sorted((s, e) for s, e, _ in base)
+        begins, reached = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
         for m in CANDIDATE.finditer(text):
             at = np.searchsorted(ends, m.start(), side="right") - 1
-            if at < 0 or m.start() - ends[at] > reach or "\n" in text[ends[at] : m.start()] or any(s < m.end() and m.start() < e for s, e in taken):
+            if at < 0 or m.start() - ends[at] > reach or "\n" in text[ends[at] : m.start()] or (n := bisect_left(begins, m.end())) and reached[n - 1] > m.start():
                 continue
             near.append(m)
         novelty = Novelty(text, [m[0] for m in near]) if near else None

@@ -1,7 +1,7 @@
 """Re-run what has changed: files whose content, headings' aliases or reference table differ from their last run, and no others.
 
 A store is a folder with records/ and errors/ (a folder a run), runs/ (counters of each batch) and manifest/ (versions of one small table: which run of each
-file counts). A run's rows are staged first and count only once the manifest names them, in one file written last. So a batch that fails leaves
+file counts), failures/ (what left no rows). A run's rows are staged first and count only once the manifest names them, in one file written last. So a batch that fails leaves
 no rows, a re-run replaces all rows of a file even if it gives none, and readers see the old rows until then.
 """
 
@@ -74,47 +74,98 @@ def _publish(entries: DataFrame, store: str, version: int) -> None:
     entries.select("source_file", "fingerprint", "run").unionByName(none).coalesce(1).write.parquet(f"{store}/manifest/version={version}")  # a row a file, in one file
 
 
-def rerun(raw_rows: DataFrame, aliases: DataFrame, store: str, *, developments: DataFrame | None = None, files_a_batch: int = 1000, force: bool = False, run=normalise, **more) -> DataFrame:
+def _write(rows: DataFrame, aliases: DataFrame, store: str, name: str, run, told: list[tuple] = (), **more) -> dict[str, int]:
+    """Records and errors of one run, with ``told`` among the errors; counters are observed while the records are written."""
+    records, errors, _ = run(rows, aliases, **more)
+    seen = Observation()
+    watched = records.observe(seen, F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in COUNTED])
+    watched.write.parquet(f"{store}/records/run={name}")
+    if told:
+        errors = errors.unionByName(rows.sparkSession.createDataFrame(list(told), ERRORS))
+    errors.write.parquet(f"{store}/errors/run={name}")
+    return seen.get
+
+
+def _reason(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).splitlines()[0][:300] if str(e) else ''}"
+
+
+def _failed_sheets(rows: DataFrame, aliases: DataFrame, run, **more) -> tuple[dict[str, str], int]:
+    """(sheet and reason for each sheet of one file that fails when it runs alone, number of its sheets)."""
+    sheets = [r[0] for r in rows.select("source_sheet").distinct().orderBy("source_sheet").collect()]  # the sheets of one file
+    failed = {}
+    for sheet in sheets if len(sheets) > 1 else ():
+        try:
+            for out in run(rows.where(F.col("source_sheet").eqNullSafe(sheet)), aliases, **more)[:2]:
+                out.write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001  it is told
+            failed[sheet] = _reason(e)
+    return failed, len(sheets)
+
+
+def rerun(raw_rows: DataFrame, aliases: DataFrame, store: str, *, developments: DataFrame | None = None, files_a_batch: int = 1000, most_alone: int = 20, force: bool = False, run=normalise, **more) -> DataFrame:
     """Bring a store up to date with its raw rows, aliases and reference table. One row a file: source_file, action, run.
 
-    action is new, changed, kept, removed or failed. New and changed files (all, with ``force``) are normalised in batches of ``files_a_batch``;
-    a removed file's rows no longer count. A batch that fails leaves no rows: its files keep what they had and are tried at the next call, and one error
-    BATCH_INSERT_FAILED tells its rows and files. Counters of each batch are observed while its records are written, so
-    that no second pass is made; they go to ``store``/runs. A call that finds nothing new writes nothing.
+    action is new, changed, kept, removed, partial or failed. New and changed files (all, with ``force``) are normalised in batches of
+    ``files_a_batch``; a removed file's rows no longer count. A batch that fails leaves no rows and is halved until its bad files stand
+    alone, so that the others count. A bad file runs without those of its sheets that fail alone (partial): each is one error SHEET_FAILED among the
+    file's errors. Files that fail whole keep what they had, and one BATCH_INSERT_FAILED tells their rows and files. Where ``most_alone`` files of a batch have
+    failed, its other parts are halved no more. Partial and failed files are tried at the next call. Counters of each run are observed while its
+    records are written, so that no second pass is made; they go to ``store``/runs. A call that finds nothing new writes nothing.
     """
     spark = raw_rows.sparkSession
+    more["developments"] = developments
     now, before = written(fingerprints(raw_rows, aliases, developments)), written(manifest(spark, store))
     old = before.select("source_file", F.col("fingerprint").alias("was"), F.col("run").alias("old_run"))
     action = F.when(F.col("fingerprint").isNull(), "removed").when(F.col("was").isNull(), "new").when((F.col("was") != F.col("fingerprint")) | F.lit(force), "changed").otherwise("kept")
     files = now.join(old, "source_file", "full").withColumn("action", action)
     todo = F.col("action").isin("new", "changed")
-    number = F.when(todo, F.ceil(F.sum(todo.cast("int")).over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, 0)) / files_a_batch))  # a row a file
-    files = written(files.withColumn("batch", number.cast("int")))
-    batches = files.where("batch IS NOT NULL").groupBy("batch").agg(F.count(F.lit(1)).alias("files"), F.sum("n_rows").alias("rows")).orderBy("batch").collect()  # a row a batch
-    runs, version = [], _versions(spark, store)
-    for b in batches:
-        name = uuid.uuid4().hex
-        part = files.where(F.col("batch") == b["batch"])
-        counts = {"total": 0, **{s.lower(): 0 for s in COUNTED}}
-        failed = None
+    place = F.when(todo, F.sum(todo.cast("int")).over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, 0)))  # a row a file
+    files = written(files.withColumn("pos", place).withColumn("batch", F.ceil(F.col("pos") / files_a_batch).cast("int")))
+    some = [F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.sum("n_rows").alias("rows")]
+    open_ = [tuple(b) for b in files.where("batch IS NOT NULL").groupBy("batch").agg(*some).orderBy("batch").collect()]  # a row a batch
+    runs, ends, alone, version = [], [], {}, _versions(spark, store)
+    none = {"total": 0, **{s.lower(): 0 for s in COUNTED}}
+    while open_:
+        batch, lo, hi, n_rows = open_.pop(0)
+        name, counts, partial = uuid.uuid4().hex, none, False
+        part = files.where(F.col("pos").between(lo, hi))
+        rows = raw_rows.join(part.select("source_file"), "source_file", "left_semi")
         try:
-            records, errors, _ = run(raw_rows.join(part.select("source_file"), "source_file", "left_semi"), aliases, developments=developments, **more)
-            seen = Observation()
-            watched = records.observe(seen, F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in COUNTED])
-            watched.write.parquet(f"{store}/records/run={name}")
-            errors.write.parquet(f"{store}/errors/run={name}")
-            counts = seen.get
+            counts, failed = _write(rows, aliases, store, name, run, **more), None
         except Exception as e:  # noqa: BLE001  the job goes on; what failed is told
-            failed = f"{type(e).__name__}: {str(e).splitlines()[0][:300] if str(e) else ''}"
-            told = spark.createDataFrame([(None, None, None, "ERROR", "BATCH_INSERT_FAILED", failed, f'{{"files":{b["files"]},"rows":{b["rows"]}}}')], ERRORS)
+            failed = _reason(e)
+        if failed and hi > lo and alone.get(batch, 0) < most_alone:
+            middle = (lo + hi) // 2
+            halves = [(x, y) for x, y in ((lo, middle), (middle + 1, hi))]
+            open_[:0] = [(batch, x, y, files.where(F.col("pos").between(x, y)).agg(F.sum("n_rows")).first()[0]) for x, y in halves]
+            continue
+        if failed and hi == lo:
+            bad, n_sheets = _failed_sheets(rows, aliases, run, **more)
+            if 0 < len(bad) < n_sheets:
+                name, file = uuid.uuid4().hex, part.select("source_file").first()[0]
+                told = [(file, sheet, None, "ERROR", "SHEET_FAILED", reason, None) for sheet, reason in bad.items()]
+                others = F.lit(True)
+                for sheet in bad:
+                    others &= ~F.col("source_sheet").eqNullSafe(sheet)
+                try:
+                    counts, failed, partial = _write(rows.where(others), aliases, store, name, run, told, **more), None, True
+                except Exception as e:  # noqa: BLE001
+                    failed = _reason(e)
+        if failed:
+            alone[batch] = alone.get(batch, 0) + 1
+            told = spark.createDataFrame([(None, None, None, "ERROR", "BATCH_INSERT_FAILED", failed, f'{{"files":{hi - lo + 1},"rows":{n_rows}}}')], ERRORS)
             told.write.parquet(f"{store}/failures/run={name}")
-        runs.append((b["batch"], name, failed is None, b["files"], b["rows"], *(counts[k] for k in ("total", *(s.lower() for s in COUNTED)))))
-    done = spark.createDataFrame(runs, f"batch int, run string, done boolean, files long, rows long, total long, {', '.join(f'{s.lower()} long' for s in COUNTED)}")
+        runs.append((batch, name, failed is None, hi - lo + 1, n_rows, *(counts[k] for k in none)))
+        ends.append((lo, hi, name, failed is None, partial))
     if runs:
-        done.write.mode("append").parquet(f"{store}/runs")
-    judged = written(files.join(F.broadcast(done.select("batch", F.col("run").alias("new_run"), "done")), "batch", "left"))  # a row a batch
+        spark.createDataFrame(runs, f"batch int, run string, done boolean, files long, rows long, total long, {', '.join(f'{s.lower()} long' for s in COUNTED)}").write.mode("append").parquet(f"{store}/runs")
+    done = spark.createDataFrame(ends, "lo long, hi long, new_run string, done boolean, partial boolean")  # a row a run
+    judged = written(files.join(done.select(F.explode(F.sequence("lo", "hi")).alias("pos"), "new_run", "done", "partial"), "pos", "left"))
     kept_now = F.coalesce("done", F.lit(False))
     if runs or not judged.where("action = 'removed'").isEmpty():
-        entries = judged.where("action <> 'removed'").select("source_file", F.when(kept_now, F.col("fingerprint")).otherwise(F.col("was")).alias("fingerprint"), F.when(kept_now, F.col("new_run")).otherwise(F.col("old_run")).alias("run")).where("run IS NOT NULL")
+        mark = F.when(F.col("partial"), F.concat("fingerprint", F.lit(":partial"))).otherwise(F.col("fingerprint"))  # differs at the next call
+        entries = judged.where("action <> 'removed'").select("source_file", F.when(kept_now, mark).otherwise(F.col("was")).alias("fingerprint"), F.when(kept_now, F.col("new_run")).otherwise(F.col("old_run")).alias("run")).where("run IS NOT NULL")
         _publish(entries, store, version + 1)
-    return judged.select("source_file", F.when(F.col("batch").isNotNull() & ~kept_now, "failed").otherwise(F.col("action")).alias("action"), F.when(kept_now, F.col("new_run")).when(F.col("action") != "removed", F.col("old_run")).alias("run"))
+    told = F.when(F.col("partial"), "partial").when(F.col("batch").isNotNull() & ~kept_now, "failed").otherwise(F.col("action"))
+    return judged.select("source_file", told.alias("action"), F.when(kept_now, F.col("new_run")).when(F.col("action") != "removed", F.col("old_run")).alias("run"))

@@ -72,6 +72,38 @@ def test_a_failed_batch_leaves_no_rows_and_is_counted(spark, tmp_path):
     assert actions(R.rerun(rows, aliases, store, run=small)) == {"a": "kept", "b": "new", "c": "kept"} and len(names(spark, store)) == 5
 
 
+def test_bad_files_of_a_batch_are_found_and_the_others_count(spark, tmp_path):
+    store, aliases = str(tmp_path), mapping.alias_table(spark)
+    rows = raw(spark, a=A, b=B, c=A, d=B, e=A)
+    assert actions(R.rerun(rows, aliases, store, run=small, broken=["b.csv"])) == {"a": "new", "b": "failed", "c": "new", "d": "new", "e": "new"}
+    assert names(spark, store) == sorted(["Karoline Okonkwo", "Mustafa Lindqvist"] * 3 + ["Ines Castellanos"])
+    (told,) = spark.read.parquet(f"{store}/failures").collect()
+    assert told.payload == '{"files":1,"rows":2}'
+    assert sorted((r.files, r.rows, r.done) for r in spark.read.parquet(f"{store}/runs").collect()) == [(1, 2, False), (1, 3, True), (1, 3, True), (2, 5, True)]
+    # after most_alone failures what is left of a batch is told as it stands
+    store = str(tmp_path / "all")
+    assert set(actions(R.rerun(rows, aliases, store, run=small, most_alone=1, broken=[f"{f}.csv" for f in "abcde"])).values()) == {"failed"}
+    assert sorted(r.payload for r in spark.read.parquet(f"{store}/failures").collect()) == ['{"files":1,"rows":2}', '{"files":1,"rows":3}', '{"files":1,"rows":3}', '{"files":2,"rows":5}']
+
+
+def test_a_bad_sheet_is_told_and_the_other_sheets_count(spark, tmp_path):
+    store, aliases = str(tmp_path), mapping.alias_table(spark)
+    sheets = lambda good: raw(spark, a=A).unionByName(raw(spark, a=B).withColumn("source_sheet", F.lit("T")) if good else raw(spark, a=[LEAD, ["bad", None, "1"]]).withColumn("source_sheet", F.lit("T")))
+
+    def late(rows, aliases, developments=None):
+        records, errors, _ = small(rows, aliases)
+        return records.withColumn("name", F.when(F.col("name") == "bad", F.raise_error(F.lit("bad row"))).otherwise(F.col("name"))), errors, None
+
+    for _ in range(2):  # tried again at the next call
+        assert actions(R.rerun(sheets(False), aliases, store, run=late)) == {"a": "partial"}
+        assert names(spark, store) == ["Karoline Okonkwo", "Mustafa Lindqvist"]
+        (told,) = R.current(spark, store, "errors").collect()
+        assert (told.source_file, told.source_sheet, told.severity, told.code) == ("a.csv", "T", "ERROR", "SHEET_FAILED") and told.message
+    assert actions(R.rerun(sheets(True), aliases, store, run=late)) == {"a": "changed"}
+    assert names(spark, store) == ["Ines Castellanos", "Karoline Okonkwo", "Mustafa Lindqvist"] and R.current(spark, store, "errors").count() == 0
+    assert actions(R.rerun(sheets(True), aliases, store, run=late)) == {"a": "kept"}
+
+
 def test_a_late_failure_keeps_the_rows_of_before(spark, tmp_path):
     """A task that fails while records are written: the file's earlier rows still count."""
     store, aliases = str(tmp_path), mapping.alias_table(spark)

@@ -109,7 +109,8 @@ def rerun(raw_rows: DataFrame, aliases: DataFrame, store: str, *, developments:
     action is new, changed, kept, removed, partial or failed. New and changed files (all, with ``force``) are normalised in batches of
     ``files_a_batch``; a removed file's rows no longer count. A batch that fails leaves no rows and is halved until its bad files stand
     alone, so that the others count. A bad file runs without those of its sheets that fail alone (partial): each is one error SHEET_FAILED among the
-    file's errors. Files that fail whole keep what they had, and one BATCH_INSERT_FAILED tells their rows and files. Where ``most_alone`` files of a batch have
+    file's errors. Files that fail whole keep what they had, and one BATCH_INSERT_FAILED tells their rows and files, and the
+    file's name where it stands alone. Where ``most_alone`` files of a batch have
     failed, its other parts are halved no more. Partial and failed files are tried at the next call. Counters of each run are observed while its
     records are written, so that no second pass is made; they go to ``store``/runs. A call that finds nothing new writes nothing.
     """
@@ -154,7 +155,8 @@ def rerun(raw_rows: DataFrame, aliases: DataFrame, store: str, *, developments:
                     failed = _reason(e)
         if failed:
             alone[batch] = alone.get(batch, 0) + 1
-            told = spark.createDataFrame([(None, None, None, "ERROR", "BATCH_INSERT_FAILED", failed, f'{{"files":{hi - lo + 1},"rows":{n_rows}}}')], ERRORS)
+            file = part.select("source_file").first()[0] if hi == lo else None
+            told = spark.createDataFrame([(file, None, None, "ERROR", "BATCH_INSERT_FAILED", failed, f'{{"files":{hi - lo + 1},"rows":{n_rows}}}')], ERRORS)
             told.write.parquet(f"{store}/failures/run={name}")
         runs.append((batch, name, failed is None, hi - lo + 1, n_rows, *(counts[k] for k in none)))
         ends.append((lo, hi, name, failed is None, partial))

@@ -78,12 +78,13 @@ def test_bad_files_of_a_batch_are_found_and_the_others_count(spark, tmp_path):
     assert actions(R.rerun(rows, aliases, store, run=small, broken=["b.csv"])) == {"a": "new", "b": "failed", "c": "new", "d": "new", "e": "new"}
     assert names(spark, store) == sorted(["Karoline Okonkwo", "Mustafa Lindqvist"] * 3 + ["Ines Castellanos"])
     (told,) = spark.read.parquet(f"{store}/failures").collect()
-    assert told.payload == '{"files":1,"rows":2}'
+    assert (told.source_file, told.payload) == ("b.csv", '{"files":1,"rows":2}')
     assert sorted((r.files, r.rows, r.done) for r in spark.read.parquet(f"{store}/runs").collect()) == [(1, 2, False), (1, 3, True), (1, 3, True), (2, 5, True)]
     # after most_alone failures what is left of a batch is told as it stands
     store = str(tmp_path / "all")
     assert set(actions(R.rerun(rows, aliases, store, run=small, most_alone=1, broken=[f"{f}.csv" for f in "abcde"])).values()) == {"failed"}
     assert sorted(r.payload for r in spark.read.parquet(f"{store}/failures").collect()) == ['{"files":1,"rows":2}', '{"files":1,"rows":3}', '{"files":1,"rows":3}', '{"files":2,"rows":5}']
+    assert {r.payload for r in spark.read.parquet(f"{store}/failures").where("source_file IS NULL").collect()} == {'{"files":2,"rows":5}'}
 
 
 def test_a_bad_sheet_is_told_and_the_other_sheets_count(spark, tmp_path):

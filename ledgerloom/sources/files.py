@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -185,8 +188,15 @@ def legacy_format(content: Column, path: Column) -> Column:
 
 
 def file_inventory(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
-    """(filename, path, size_bytes, content_sha256, detected_format, allowed) of the files below a folder; contents go no further."""
+    """(filename, path, size_bytes, content_sha256, detected_format, allowed) of the files below a folder; contents go no further.
+
+    Spark's readers leave out empty files; those come from the listing, which the driver has for the scan.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    listed = [(name := re.sub("^file:/+", "file:/", uri), unquote(name)) for uri in files.inputFiles()]
+    read = files.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("uri"))
+    empty = spark.createDataFrame(listed, "uri string, path string").join(read, "uri", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    files = files.select("path", "length", "content").unionByName(empty)
     return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_sha256"), file_format(F.col("content"), F.col("path")).alias("detected_format"), allowed(F.col("path")).alias("allowed"))
 
 

@@ -1,7 +1,9 @@
 """File readers and the streaming sink on small files."""
 
 import csv
+import hashlib
 import io
+import pathlib
 import random
 
 import pytest
@@ -124,3 +126,26 @@ def test_reference_rows_are_numbered_in_order_of_the_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.ord for r in rows] == list(range(404)) and rows[0].region is None
     assert [r.name for r in rows] == [f"{f} {i}" for f, n in (("a.json", 400), ("b.json", 3), ("c.json", 1)) for i in range(n)]
+
+
+def test_inventory_of_files_by_their_bytes(spark, tmp_path):
+    """Size, digest and format of every file below a folder, held against the bytes themselves."""
+    ole = bytes.fromhex("D0CF11E0A1B11AE1")
+    bodies = {
+        "a.xlsx": (b"PK\x03\x04rest", "xlsx"), "sub/b.xls": (ole + b"\x00" * 600, "xls"), "c.xls": (ole + b"\x01" * 300 + "EncryptedPackage".encode("utf-16-le"), "encrypted"),
+        "late.xls": (ole + b"\x01" * 4000 + "EncryptedPackage".encode("utf-16-le"), "xls"), "d.xls": (b"  <HTML><TABLE>", "html"), "e.CSV": (b"NAME,UNIT\n", "csv"), "f.csv": (b"<table><tr>", "html"),
+        "g.pdf": (b"%PDF", "unknown"), "empty.xlsx": (b"", "unknown"), "empty.csv": (b"", "csv"), "big.csv": (b"x,1\n" * 500_000, "csv"), "same.csv": (b"NAME,UNIT\n", "csv"), "é 100%.csv": (b"", "csv"), "ü+%20.csv": (b"x", "csv"),
+    }
+    (tmp_path / "sub").mkdir()
+    for name, (body, _) in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.filename: (r.size_bytes, r.content_sha256, r.detected_format) for r in files.file_inventory(spark, str(tmp_path)).collect()}
+    assert got == {name.split("/")[-1]: (len(body), hashlib.sha256(body).hexdigest(), kind) for name, (body, kind) in bodies.items()}
+
+
+def test_inventory_query_equals_the_files(spark):
+    from ledgerloom.plans import catalogue_sheets
+
+    got = {r.filename: (r.size_bytes, r.content_sha256) for r in catalogue_sheets.file_inventory(spark, SF).collect()}
+    want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in pathlib.Path(SF).glob("*.parquet")}
+    assert got == want

@@ -14,7 +14,7 @@ from ledgerloom.plans import twins as S
 from ledgerloom.plans import views
 from ledgerloom.plans.catalogue import _BEST, _CHANGES, _edits, query, records
 from ledgerloom.sources import files, sinks
-from ledgerloom.sources.shared import shared_root
+from ledgerloom.sources.shared import shared_root, spread
 
 
 def _new_folder(spark) -> str:
@@ -78,7 +78,7 @@ SELECT c_custkey, field, value, CASE field {' '.join(f"WHEN '{c}' THEN {e}" for
 def edit_values(spark, sf_dir):
     """What an edit of each of the editable fields stores for a value."""
     value = F.expr(_VALUES.replace("(c_custkey // 3)", "(c_custkey DIV 3)"))
-    rows = views.table(spark, sf_dir, "customer").select("c_custkey", value.alias("value"), F.explode(F.array(*map(F.lit, maintain.EDITABLE))).alias("field"))
+    rows = spread(views.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", value.alias("value"), F.explode(F.array(*map(F.lit, maintain.EDITABLE))).alias("field"))
     return rows.select("c_custkey", "field", "value", maintain.cleaned_value(F.col("field"), F.col("value")).alias("cleaned"))
 
 

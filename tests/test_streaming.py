@@ -78,3 +78,11 @@ def test_an_identity_that_most_rows_share(spark, tmp_path):
     run(spark, tmp_path, rows.schema)
     records = spark.read.parquet(f"{tmp_path}/records")
     assert [r[0] for r in records.where("status <> 'DUPLICATE'").select("source_row").collect()] in ([0], [1500])
+
+
+def test_a_batch_is_judged_with_adaptive_planning(spark, tmp_path, monkeypatch):
+    rows, seen = people(spark).where("source_row < 10"), []
+    monkeypatch.setattr(ingest, "_append", lambda checked, *a: seen.append((checked.sparkSession.conf.get("spark.sql.adaptive.enabled"), checked.count())))
+    arrive(spark, tmp_path, "a", rows)
+    run(spark, tmp_path, rows.schema)
+    assert seen == [("true", rows.count())]

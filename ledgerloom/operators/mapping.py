@@ -215,6 +215,28 @@ def email_list(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, "[,;]"), lambda e: F.trim(e)), lambda e: e != "")
 
 
+def _folded(plan: DataFrame) -> DataFrame:
+    """The plan as one row a sheet: what its rows need of it, so that no row looks at headings and targets again.
+
+    _at: for each of ``V.LABELS`` the places of its columns, best first; _contested: entries of targets with several columns; _kept: entries kept
+    aside, and whether their headings repeat; _premise_at, _phones_at, _emails_at: places of the composites.
+    """
+    entry = F.struct("rank", "idx", "target", "disposition", "header", "header_norm")
+    sheets = plan.groupBy(*SHEET).agg(F.array_sort(F.collect_list(entry)).alias("_plan"))
+    places = lambda test: F.transform(F.filter("_plan", test), lambda e: e["idx"])
+    of = lambda label: places(lambda e: e["target"] == label)
+    first = lambda kind: F.get(places(lambda e: e["disposition"] == kind), F.lit(0)).alias(f"_{kind}_at")
+    several = lambda e: F.size(F.filter("_plan", lambda x: x["target"] == e["target"])) > 1
+    short = lambda e: F.struct(e["header"].alias("header"), e["target"].alias("target"), e["idx"].alias("idx"))
+    kept = F.transform(F.filter("_plan", lambda e: e["disposition"].isin("aside", "unmapped")), short)
+    from_project = F.exists("_plan", lambda e: (e["target"] == "Sub-Community") & e["header_norm"].isin(V.PROJECT_HEADERS))
+    out = sheets.select(
+        *SHEET, F.array(*map(of, V.LABELS)).alias("_at"), F.transform(F.filter("_plan", lambda e: e["target"].isNotNull() & several(e)), short).alias("_contested"),
+        kept.alias("_kept"), from_project.alias("_from_project"), first("premise"), first("phones"), first("emails"),
+    )
+    return out.withColumn("_repeats", F.size(F.array_distinct(F.transform("_kept", lambda e: e["header"]))) < F.size("_kept"))
+
+
 def map_columns(raw_rows: DataFrame, plan: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Raw rows as the 23 business columns (text) and ``extras``; sheets with different plans go in one pass.
 
@@ -224,50 +246,59 @@ def map_columns(raw_rows: DataFrame, plan: DataFrame, headers: DataFrame | None
     sub-community too, and a sub-community under a project heading names the project. Blank rows, rows above
     the heading and repeated headings are left out.
     """
-    entry = F.struct("rank", "idx", "target", "disposition", "header", "header_norm")
-    folded = plan.groupBy(*SHEET).agg(F.array_sort(F.collect_list(entry)).alias("_plan"))
-    rows = raw_rows.join(folded, SHEET)
+    rows = raw_rows.join(_folded(plan), SHEET)
     if headers is not None:
-        rows = rows.join(headers.select(*SHEET, F.col("header_row").alias("_header_row"), F.col("header").alias("_header")), SHEET, "left").where(F.col("source_row") > F.coalesce("_header_row", F.lit(-1))).where(~is_repeated_header(F.col("cells"), F.col("_header"))).drop("_header_row", "_header")
+        rows = rows.join(headers.select(*SHEET, F.col("header_row").alias("_header_row"), header_names(F.col("header")).alias("_names")), SHEET, "left").where(F.col("source_row") > F.coalesce("_header_row", F.lit(-1))).where(~is_repeated_header(F.col("cells"), F.col("_names"))).drop("_header_row", "_names")
     rows = rows.where(F.exists("cells", _full))
-    cell = lambda e: F.nullif(F.get(F.col("cells"), e["idx"]), F.lit(""))
-    of = lambda kind: F.get(F.transform(F.filter("_plan", lambda e: e["disposition"] == kind), cell), F.lit(0))
+    at = lambda place: F.nullif(F.get(F.col("cells"), place), F.lit(""))
+    cell = lambda e: at(e["idx"])
 
-    def first_of(label: str) -> Column:
-        values = F.transform(F.filter("_plan", lambda e: e["target"] == label), cell)
-        return F.get(F.filter(values, lambda v: v.isNotNull() & acceptable(label, v)), F.lit(0))
+    def first_of(number: int, label: str) -> Column:
+        return F.get(F.filter(F.transform(F.get("_at", F.lit(number)), at), lambda v: v.isNotNull() & acceptable(label, v)), F.lit(0))
 
     found = {}
-    for label, name in V.LABELS.items():
-        found[name] = first_of(label)
+    for number, (label, name) in enumerate(V.LABELS.items()):
+        found[name] = first_of(number, label)
     rows = rows.withColumns(found).select(F.inline(F.array(F.struct("*"))))  # so that no later step computes these again
     chosen = F.create_map(*[x for label, name in V.LABELS.items() for x in (F.lit(label), F.col(name))])
-    lost = F.filter("_plan", lambda e: e["target"].isNotNull() & cell(e).isNotNull() & (cell(e) != F.try_element_at(chosen, e["target"])))
-    aside = F.filter("_plan", lambda e: e["disposition"].isin("aside", "unmapped") & cell(e).isNotNull())
+    lost = F.filter("_contested", lambda e: cell(e).isNotNull() & (cell(e) != F.try_element_at(chosen, e["target"])))
+    aside = F.filter("_kept", lambda e: cell(e).isNotNull())
     as_map = lambda entries: F.map_from_entries(F.transform(entries, lambda e: F.struct(e["header"].alias("key"), cell(e).alias("value"))))
     once = lambda entries: F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["header"]), e["header"]) == i + 1)
-    rows = rows.withColumns({"_aside": as_map(once(aside)), "_lost": as_map(once(lost)), "_premise": premise(of("premise")), "_phones": labelled_phones(of("phones")), "_emails": email_list(of("emails"))})
+    none = F.create_map().cast("map<string,string>")
+    rows = rows.withColumns({
+        "_aside": F.when(F.size("_kept") == 0, none).when(F.col("_repeats"), as_map(once(aside))).otherwise(as_map(aside)), "_lost": F.when(F.size("_contested") == 0, none).otherwise(as_map(once(lost))),
+        "_premise": premise(at(F.col("_premise_at"))), "_phones": labelled_phones(at(F.col("_phones_at"))), "_emails": email_list(at(F.col("_emails_at"))),
+    })
     more = F.when(F.size("_emails") > 1, F.create_map(F.lit("additional_emails"), F.array_join(F.slice("_emails", 2, 1000), ",")))
-    from_project = F.exists("_plan", lambda e: (e["target"] == "Sub-Community") & e["header_norm"].isin(V.PROJECT_HEADERS))
     merged = F.map_concat(F.map_filter("_lost", lambda k, v: ~F.array_contains(F.map_keys("_aside"), k)), F.col("_aside"))
-    return rows.withColumns({
+    return rows.withColumn("_merged", F.when(F.size("_lost") == 0, F.col("_aside")).otherwise(merged)).withColumns({
         "sub_community": F.coalesce("sub_community", "project"),
-        "project": F.coalesce("project", F.when(from_project, F.col("sub_community"))),
+        "project": F.coalesce("project", F.when(F.col("_from_project"), F.col("sub_community"))),
         "community": F.coalesce("community", "_premise.community"),
         "building_cluster": F.coalesce("building_cluster", "_premise.building"),
         "unit_number": F.coalesce("unit_number", "_premise.unit"),
         **{f"mobile_{i + 1}": F.coalesce(f"mobile_{i + 1}", F.get("_phones", F.lit(i))) for i in range(3)},
         "email_address": F.coalesce("email_address", F.get("_emails", F.lit(0))),
-        "extras": F.coalesce(F.map_concat(merged, F.map_filter(more, lambda k, v: ~F.array_contains(F.map_keys(merged), k))), merged),
+        "extras": F.coalesce(F.map_concat("_merged", F.map_filter(more, lambda k, v: ~F.array_contains(F.map_keys("_merged"), k))), F.col("_merged")),
     }).select(*SHEET, "source_row", *V.FIELDS, "extras")
 
 
-def is_repeated_header(cells: Column, header: Column) -> Column:
-    """Whether a row repeats its sheet's heading: max(2, half of the headed cells) are equal."""
-    both = F.arrays_zip(cells.alias("c"), header.alias("h"))
-    headed = F.filter(F.slice(both, 1, F.greatest(F.size(cells), F.lit(1))), lambda p: _full(p["h"]))
-    hits = F.size(F.filter(headed, lambda p: p["c"].isNotNull() & (C.normal_header(p["c"]) == C.normal_header(p["h"]))))
-    return F.coalesce((F.size(headed) > 0) & (hits >= F.greatest(F.lit(2), F.floor(F.size(headed) / 2))), F.lit(False))
+def header_names(header: Column) -> Column:
+    """A heading's normal names, null where it is blank."""
+    return F.transform(header, lambda h: F.when(_full(h), C.normal_header(h)))
+
+
+def is_repeated_header(cells: Column, names: Column) -> Column:
+    """Whether a row repeats its sheet's heading, given by its :func:`header_names`: max(2, half of the headed cells) are equal.
+
+    A cell is brought into normal form only if it holds the first word of its heading, which few cells of data do.
+    """
+    both = F.arrays_zip(cells.alias("c"), names.alias("h"))
+    headed = F.size(F.filter(F.slice(names, 1, F.greatest(F.size(cells), F.lit(1))), lambda h: h.isNotNull()))
+    may = lambda p: F.upper(F.translate(p["c"], "`", "'")).contains(F.substring_index(p["h"], " ", 1))
+    hits = F.size(F.filter(both, lambda p: p["c"].isNotNull() & p["h"].isNotNull() & F.when(may(p), C.normal_header(p["c"]) == p["h"]).otherwise(F.lit(False))))
+    return F.coalesce((headed > 0) & (hits >= F.greatest(F.lit(2), F.floor(headed / 2))), F.lit(False))
 
 
 def is_building_row(unit: Column, extras: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import written
+
 # Delimiters told apart, file suffixes taken, and first characters of files to pass over.
 DELIMITERS = [",", ";", "\t", "|"]
 SUFFIXES = [".xlsx", ".xlsm", ".xls", ".csv"]
@@ -18,6 +22,9 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 
 
 HEAD_BYTES = 64 * 1024
+CHUNK_BYTES = 1 << 20
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|zstd|xz)$"
 
 
 def best_delimiter(lines: DataFrame, column: str = "value", by: str = "source_file") -> DataFrame:
@@ -187,17 +194,82 @@ def legacy_format(content: Column, path: Column) -> Column:
     return F.when(F.hex(F.substring(content, 1, 4)) == "D0CF11E0", "EXCEL").when(start.contains("<html") | start.contains("<table"), "HTML").when(F.lower(path).endswith(".csv"), "CSV").otherwise("EXCEL")
 
 
-def file_inventory(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
+def _uri() -> Column:
+    return F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+
+
+def _hashed(chunks):
+    """Digest and first bytes of each file, whose chunks come in order; one batch of them at a time is held."""
+    of, left = None, 0
+    for batch in chunks:
+        rows = []
+        for path, size, mark, chunk in zip(*(batch.column(c) for c in ("path", "size", "mark", "chunk"))):
+            path, size, data = path.as_py(), size.as_py(), memoryview(chunk.as_buffer())
+            if of != path:
+                if left:
+                    raise RuntimeError(f"{of} lacks {left} bytes")
+                of, head = path, BYTE_ORDER_MARK if mark.as_py() else b""
+                digest, left = hashlib.sha256(head), size - len(head)
+            data = data[:left]  # the last line has no break, unless the file has
+            digest.update(data)
+            left -= len(data)
+            head += bytes(data[: max(0, 2048 - len(head))])
+            if not left:
+                rows.append((path, size, digest.hexdigest(), head))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.binary()))], names=["path", "length", "content_sha256", "content"])
+    if left:
+        raise RuntimeError(f"{of} lacks {left} bytes")
+
+
+def _chunks(batches):
+    """Lines of a part of a file as chunks of about a MB, each line with its break."""
+    for batch in batches:
+        out, held, of = [], [], None
+        for path, block, size, line in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "size", "line"))):
+            if held and (of != (path, block, size) or weight > CHUNK_BYTES):
+                out.append((*of, held))
+                held = []
+            if not held:
+                of, weight = (path, block, size), 0
+            held.append(line)
+            weight += len(line) + 1
+        if held:
+            out.append((*of, held))
+        columns = [[o[0] for o in out], [o[1] for o in out], [o[2] for o in out], [b"\n".join(o[3]) + b"\n" for o in out]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["path", "block", "size", "chunk"])
+
+
+def _by_lines(lines: DataFrame) -> DataFrame:
+    """(uri, length, content_sha256, content: the first 2048 bytes) of large files, read in parts as lines and hashed in order, a batch of chunks at a time.
+
+    Spark's reader of whole files refuses those of 2 GB and more. Its reader of lines gives all bytes but the breaks, a byte order mark and whether the last line has a
+    break; the size of the file tells the last two. A digest needs its bytes in order, so one task a file sees all of them, as a stream.
+    """
+    lines = lines.select(_uri().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+    chunks = written(lines.mapInArrow(_chunks, "path string, block long, size long, chunk binary").withColumns({"at": F.monotonically_increasing_id(), "n_bytes": F.octet_length("chunk")}))
+    # lines hold all bytes and one more where the last line has no break; three are missing where a byte order mark was left out
+    marks = chunks.groupBy("path").agg((F.sum("n_bytes") < F.max("size")).alias("mark"))
+    ordered = chunks.join(F.broadcast(marks), "path").repartition("path").sortWithinPartitions("path", "block", "at")  # marks: a row a large file
+    return ordered.select("path", "size", "mark", "chunk").mapInArrow(_hashed, "path string, length long, content_sha256 string, content binary").withColumnRenamed("path", "uri")
+
+
+def file_inventory(spark: SparkSession, path: str, *, pattern: str = "*", whole_bytes: int = 256 << 20) -> DataFrame:
     """(filename, path, size_bytes, content_sha256, detected_format, allowed) of the files below a folder; contents go no further.
 
-    Spark's readers leave out empty files; those come from the listing, which the driver has for the scan.
+    Spark's readers leave out empty files; those come from the listing, which the driver has for the scan. Files over ``whole_bytes``
+    are not loaded whole.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    listed = [(name := re.sub("^file:/+", "file:/", uri), unquote(name)) for uri in files.inputFiles()]
-    read = files.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("uri"))
-    empty = spark.createDataFrame(listed, "uri string, path string").join(read, "uri", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
-    files = files.select("path", "length", "content").unionByName(empty)
-    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_sha256"), file_format(F.col("content"), F.col("path")).alias("detected_format"), allowed(F.col("path")).alias("allowed"))
+    below = lambda kind: spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").load(path)
+    files = below("binaryFile")
+    names = spark.createDataFrame([(re.sub("^file:/+", "file:/", uri), unquote(re.sub("^file:/+", "file:/", uri))) for uri in files.inputFiles()], "uri string, path string")
+    empty = names.join(files.select(_uri().alias("uri")), "uri", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.sha2(F.lit(b""), 256).alias("content_sha256"), F.lit(b"").alias("content"))
+    # packed files are left to the reader of whole files, as that of lines unpacks them; the scans read no files that these tests leave out
+    large = (F.col("_metadata.file_size") > whole_bytes) & ~F.lower("_metadata.file_path").rlike(PACKED)
+    whole = files.where(~large).select("path", "length", F.sha2("content", 256).alias("content_sha256"), F.substring("content", 1, 2048).alias("content"))
+    found = whole.unionByName(empty)
+    if not files.where(large).select("path").isEmpty():
+        found = found.unionByName(_by_lines(below("text").where(large)).join(names, "uri").drop("uri"))
+    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), "path", F.col("length").alias("size_bytes"), "content_sha256", file_format(F.col("content"), F.col("path")).alias("detected_format"), allowed(F.col("path")).alias("allowed"))
 
 
 def repeated_files(inventory: DataFrame, source_files: DataFrame, jobs: DataFrame, *, force: bool = False) -> DataFrame:

@@ -149,3 +149,25 @@ def test_inventory_query_equals_the_files(spark):
     got = {r.filename: (r.size_bytes, r.content_sha256) for r in catalogue_sheets.file_inventory(spark, SF).collect()}
     want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in pathlib.Path(SF).glob("*.parquet")}
     assert got == want
+
+
+def test_inventory_of_large_files_by_their_lines(spark, tmp_path):
+    """Files that are not loaded whole: read in parts, digest, size and format as by their bytes."""
+    import random
+
+    noise = random.Random(5)
+    bodies = {
+        "mark.csv": b"\xef\xbb\xbfa,b\nc,d\n", "mark and no break.csv": b"\xef\xbb\xbfa,b\nc,d", "two marks.csv": b"\xef\xbb\xbf\xef\xbb\xbfa", "é 100%.csv": b"a\r\nb\r\n\r", "breaks.csv": b"\n" * 50_000, "ends.csv": b"x\n\n", "none.csv": b"x" * 40_000,
+        "long.csv": b"y" * 70_000 + b"\n" + b"z" * 3_000_000, "lines.csv": b"x,1\n" * 900_000, "noise.xls": noise.randbytes(5_000_000), "zeros.xls": bytes(100_000), "page.html": b"\n\n <html>\n" + b"<p>" * 9_000, "packed.csv.gz": b"not packed at all " * 100, "small.csv": b"s", "[ab12] {x} *?.csv": b"odd,name\n" * 9,
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700000b")
+    try:
+        found = files.file_inventory(spark, str(tmp_path), whole_bytes=6).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {r.filename: (r.size_bytes, r.content_sha256) for r in found}
+    assert len(found) == len(bodies) and got == {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in bodies.items()}
+    assert {r.filename: r.detected_format for r in found}["page.html"] == "html"

@@ -296,7 +296,7 @@ def is_repeated_header(cells: Column, names: Column) -> Column:
     """
     both = F.arrays_zip(cells.alias("c"), names.alias("h"))
     headed = F.size(F.filter(F.slice(names, 1, F.greatest(F.size(cells), F.lit(1))), lambda h: h.isNotNull()))
-    may = lambda p: F.upper(F.translate(p["c"], "`", "'")).contains(F.substring_index(p["h"], " ", 1))
+    may = lambda p: F.upper(F.replace(p["c"], F.lit("`"), F.lit("'"))).contains(F.substring_index(p["h"], " ", 1))
     hits = F.size(F.filter(both, lambda p: p["c"].isNotNull() & p["h"].isNotNull() & F.when(may(p), C.normal_header(p["c"]) == p["h"]).otherwise(F.lit(False))))
     return F.coalesce((headed > 0) & (hits >= F.greatest(F.lit(2), F.floor(headed / 2))), F.lit(False))
 

@@ -91,3 +91,21 @@ def test_extras_of_contested_and_repeated_headings(spark):
     assert got[1][1:] == ("0501234567", {other[0]: other[1], "Notes": "second"})
     assert got[2][1:] == (None, {"Name": "12", "Notes": "first"})
     assert got[3][1:] == ("1", {}) and got[4][1:] == ("2", {"Notes": " "})
+
+
+def test_each_text_is_squeezed_once(spark):
+    """The plan of the cleaning holds one pass over the white space of each of the 16 texts and the e-mail, however often the text is looked at."""
+    from ledgerloom.functions import vocabulary as V
+    from ledgerloom.operators import quality
+
+    rows = spark.range(1).select(*[F.lit(None).cast("string").alias(c) for c in V.FIELDS]).localCheckpoint()
+    plan = quality.validate(quality.standardise(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)\s+") == 17
+
+
+def test_the_reference_table_is_spread_over_all_cores(spark, tmp_path):
+    from ledgerloom.plans import views
+
+    spark.range(1, 30).selectExpr("id AS p_partkey", "'p' AS p_name", "'t' AS p_type", "CAST(id AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = views.developments(spark, str(tmp_path))
+    assert rows.count() == 29 and rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1

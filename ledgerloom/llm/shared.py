@@ -98,6 +98,15 @@ def release() -> None:
         pass
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` for a join that broadcasts neither side.
+
+    Spark sizes a written table by its compressed files, and what an explode makes by the rows before it. So it may take a table of ten
+    times its threshold for a small one, which the driver's memory then has to hold. For tables that grow with the input.
+    """
+    return df.hint("merge")
+
+
 #: Keys that hold more than one row in so many are joined on their own; there are fewer than this.
 HOT_SHARE = 1000
 

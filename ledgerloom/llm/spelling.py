@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import hot_join, hot_keys, plain_strings, release, written
+from ledgerloom.llm.shared import hot_join, hot_keys, plain_strings, release, unsent, written
 from ledgerloom.llm.words import SPACED, pieces_of, word_codes
 
 _SAME = np.arange(256, dtype=np.uint8)
@@ -126,10 +126,10 @@ def near_words(words: DataFrame, least_chars: int) -> DataFrame:
     prefixes = _prefixes(words, least)
     nodes = written(prefixes.groupBy("node").agg(F.min("after").alias("low"), F.max("after").alias("high"), F.max(F.when(F.col("after") == _END, F.col("id"))).alias("ends"), F.count(F.lit(1)).alias("n")).where(f"low <> high OR low = {_END}"))
     hot = hot_keys(nodes.select("node", "n"))
-    steps = hot_join(prefixes.select("id", "side", "depth", "node"), nodes.select("node", "ends"), ["node"], hot)
+    steps = hot_join(prefixes.select("id", "side", "depth", "node"), unsent(nodes.select("node", "ends")), ["node"], hot)
     paths = steps.groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "ends"))).alias("path"))  # at most a step a letter
     forms = words.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("word").alias("form")), F.struct(F.lit(1).alias("side"), F.reverse("word").alias("form")))).alias("f")).select("id", "f.*")
-    walks = written(forms.join(paths, ["id", "side"]))
+    walks = written(forms.join(unsent(paths), ["id", "side"]))
 
     pair = F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("top"), F.slice("path", 2, F.size("path")).alias("end"))).alias("e")
     parted = walks.where(F.size("path") > 1).select("form", pair)
@@ -142,7 +142,7 @@ def near_words(words: DataFrame, least_chars: int) -> DataFrame:
     rest, more = _tail(F.col("form"), F.col("pos")), _tail(F.col("label"), F.lit(1))
     replaced = F.when((F.length("label") <= F.length(rest)) & _tail(rest, F.lit(1)).startswith(more), F.col("pos") + F.length("label"))
     inserted = F.when((F.length("label") <= F.length(rest) + 1) & rest.startswith(more), F.col("pos") + F.length("label") - 1)
-    left = hot_join(unedited, edges, ["node"], hot).where(F.substring(rest, 1, 1) != F.col("letter"))
+    left = hot_join(unedited, unsent(edges), ["node"], hot).where(F.substring(rest, 1, 1) != F.col("letter"))
     states = left.select("id", "form", F.explode(F.array_compact(F.array(replaced, inserted))).alias("pos"), F.col("child").alias("node"), "ends")
     open_ = F.col("pos") < F.length("form")
     found = []
@@ -153,13 +153,15 @@ def near_words(words: DataFrame, least_chars: int) -> DataFrame:
         if going.isEmpty():
             break
         on = ["node", "letter"]
-        last = hot_join(going, edges, on, hot_keys(going.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))))
+        last = hot_join(going, unsent(edges), on, hot_keys(going.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))))
         states = last.where(_tail(F.col("form"), F.col("pos")).startswith(F.col("label"))).select("id", "form", (F.col("pos") + F.length("label")).alias("pos"), F.col("child").alias("node"), "ends")
     pairs = found[0]
     for more_pairs in found[1:]:
         pairs = pairs.union(more_pairs)
     pairs = pairs.union(pairs.select("b", "a")).distinct()
-    named = pairs.join(words.select(F.col("id").alias("a"), F.col("word").alias("word_a")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("word_b"), F.col("n").alias("n_b")), "b")
+    ours = words.select(F.col("id").alias("a"), F.col("word").alias("word_a"))
+    theirs = words.select(F.col("id").alias("b"), F.col("word").alias("word_b"), F.col("n").alias("n_b"))
+    named = pairs.join(unsent(ours), "a").join(unsent(theirs), "b")
     return named.where(F.levenshtein("word_a", "word_b", 1) == 1).select("a", "b", "word_b", "n_b")
 
 
@@ -168,7 +170,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     links = written(forms)
     while True:
         ahead = links.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        longer = written(links.join(ahead, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        longer = written(links.join(unsent(ahead), "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         links = longer.select("id", "root")
         if longer.where("moved").isEmpty():
             return links
@@ -188,8 +190,8 @@ def spelling_variants(docs: DataFrame, *, least_chars: int = 6, least_count: int
     words = word_table(docs, least_chars=least_chars, least_count=least_count, every=every, id_col=id_col, text_col=text_col)
     best = F.min(F.struct((-F.col("n_b")).alias("less"), F.col("word_b").alias("form"), F.col("b").alias("of"))).alias("best")
     near = near_words(words, least_chars).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_near"), best)
-    judged = words.join(near, "id", "left").withColumn("is_form", F.coalesce(-F.col("best.less") >= ratio * F.col("n"), F.lit(False)))
+    judged = words.join(unsent(near), "id", "left").withColumn("is_form", F.coalesce(-F.col("best.less") >= ratio * F.col("n"), F.lit(False)))
     judged = written(judged.select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), *[F.when(F.col("is_form"), c).alias(name) for c, name in ((F.col("best.form"), "form"), (-F.col("best.less"), "form_n"), (F.col("best.of"), "of"))]))
     roots = _roots(judged.where("of IS NOT NULL").select("id", F.col("of").alias("root")))
-    last = roots.join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    return judged.join(last, "id", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root_word", "word").alias("root"))
+    last = roots.join(unsent(words.select(F.col("id").alias("root"), F.col("word").alias("root_word"))), "root").select("id", "root_word")
+    return judged.join(unsent(last), "id", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root_word", "word").alias("root"))

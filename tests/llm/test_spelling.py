@@ -98,3 +98,17 @@ def test_hot_prefixes(spark, monkeypatch):
     words = ["prefix" + "".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(80)]
     rows = [(i, " ".join(rng.choices(words, k=60))) for i in range(20)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_tables_that_grow_with_the_input_are_not_broadcast(spark, monkeypatch):
+    """Only tables of hot keys, which are bounded, are sent to the driver; their joins are on nodes."""
+    plans, plain = [], spelling.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling, "written", lambda df: plans.append(plan(df)) or plain(df))
+    rows = register(random.Random(3), 20)
+    out = spelling.spelling_variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(plan(out))
+    assert Counter((r.word, r.n, r.n_near, r.form, r.form_n, r.root) for r in out.collect()) == brute(rows)
+    assert [p for p in plans if re.search(r"BroadcastHashJoin \[(?!node)", p)] == []
+    hot = [p for p in plans if "BroadcastHashJoin [node" in p]
+    assert len(hot) > 2 and all("SortMergeJoin [node" in p for p in hot)
